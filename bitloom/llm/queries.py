@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bitloom.llm.common import table
+from bitloom.llm.common import remainder, table
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,18 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_fingerprint": op1_fingerprint}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    split = docs.withColumn("held_out", remainder("doc_id", 3) == 1)
+    model = learn(split.where(~F.col("held_out")))
+    return identify(split, model, keep=["doc_id", "held_out"])
+
+
+QUERIES = {
+    "op1_fingerprint": op1_fingerprint,
+    "op10_langid": op10_langid,
+}
 
 ORACLE_SQL: dict[str, str] = {}
