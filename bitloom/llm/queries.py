@@ -22,9 +22,19 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(split, model, keep=["doc_id", "held_out"])
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.toxicity import detect, learn
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
+    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & (remainder("doc_id", 4) != 2)).select("doc_id", "toxic")
+    model = learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return detect(docs, model, keep=["doc_id", "held_out"]).withColumn("n_sentences", F.size("sentences")).drop("sentences")
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op10_langid": op10_langid,
+    "op4_toxicity": op4_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
