@@ -31,10 +31,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(docs, model, keep=["doc_id", "held_out"]).withColumn("n_sentences", F.size("sentences")).drop("sentences")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op10_langid": op10_langid,
     "op4_toxicity": op4_toxicity,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
