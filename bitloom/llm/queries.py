@@ -37,11 +37,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from bitloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op10_langid": op10_langid,
     "op4_toxicity": op4_toxicity,
     "op9_quality": op9_quality,
+    "op6_packing": op6_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
