@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 
 
 #: Bounds of the sample the model is fitted on: documents, and characters over all of them.
-TRAIN_DOCS = 12_000
-TRAIN_CHARS = 40_000_000
+TRAIN_DOCS = 8_000
+TRAIN_CHARS = 16_000_000
 VOCABULARY = 200_000
 LEAST_DOCS = 5
 PREFIXES = range(3, 10)
@@ -61,13 +62,13 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> dict:
     if not len(y) or y.all() or not y.any():
         return {"weights": {}, "bias": math.log(rate / (1 - rate))}
     word_id: dict[str, int] = {}
-    word_in, row, owner, df = [], [], [], Counter()
+    word_in, row, owner, df = array("i"), array("i"), array("i"), Counter()
     for d, text in enumerate(texts):
         seen = set()
         for _, _, words in sentences(text):
             distinct = set(words)
-            word_in += [word_id.setdefault(w, len(word_id)) for w in distinct]
-            row += [len(owner)] * len(distinct)
+            word_in.extend(word_id.setdefault(w, len(word_id)) for w in distinct)
+            row.extend([len(owner)] * len(distinct))
             owner.append(d)
             seen |= distinct
         df.update({f for w in seen for f in features(w)})
