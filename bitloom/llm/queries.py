@@ -45,12 +45,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.pii import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op10_langid": op10_langid,
     "op4_toxicity": op4_toxicity,
     "op9_quality": op9_quality,
     "op6_packing": op6_packing,
+    "op5_pii": op5_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
