@@ -51,6 +51,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.mixing import mix, token_count
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", token_count(F.col("text")).alias("tokens"), "mix_epoch", "mix_block", "mix_place", "mix_weight")
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op10_langid": op10_langid,
@@ -58,6 +64,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op6_packing": op6_packing,
     "op5_pii": op5_pii,
+    "op3_mixing": op3_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
