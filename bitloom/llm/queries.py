@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bitloom.llm.common import remainder, table
+from bitloom.llm.common import remainder, scratch, table
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", token_count(F.col("text")).alias("tokens"), "mix_epoch", "mix_block", "mix_place", "mix_weight")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.sharding import ShardStore
+
+    store = ShardStore(spark, scratch(spark, "shards"))
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op10_langid": op10_langid,
@@ -65,6 +75,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op5_pii": op5_pii,
     "op3_mixing": op3_mixing,
+    "op2_sharding": op2_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
