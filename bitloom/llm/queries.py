@@ -67,6 +67,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.jaccard import link
+
+    return link(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op10_langid": op10_langid,
@@ -76,6 +82,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op3_mixing": op3_mixing,
     "op2_sharding": op2_sharding,
+    "op8_jaccard": op8_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
