@@ -20,10 +20,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bitloom.llm.common import settle
+
 #: Words are runs of anything but these blanks; the class is the complement of [\x20\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"
-BLANKS = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
@@ -42,13 +43,19 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def line_key(line: Column) -> Column:
-    """Hash of the normalised line: lower case, digits as 0, runs of blanks as one."""
-    return F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")))
+def normalised(line: Column) -> Column:
+    """Lower case, digits as 0, runs of blanks as one, none at the ends; empty if there is no word."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " "))
 
 
 def has_word(line: Column) -> Column:
-    return F.length(F.translate(line, BLANKS, "")) > 0
+    return line.rlike(WORD)
+
+
+def joined_windows(hashes: Column, width: int) -> Column:
+    """From the hashes of all windows of ``width`` words those of all windows of twice as many."""
+    n = F.greatest(F.size(hashes) - width, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 1 + width, n), lambda a, b: F.xxhash64(a, b))
 
 
 def repeated_words(hashes: Column, n_words: Column) -> Column:
@@ -77,52 +84,57 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
     rows = rows.select("doc_id", "_text", words(F.col("_text")).alias("_words"), F.filter(F.split("_text", "\n", -1), has_word).alias("_lines"))
     rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    at = lambda i, k: F.get(F.col("_hashes"), i + k)
-    windows = F.when(F.size("_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW), lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
     rows = rows.select(
         "doc_id",
         F.size("_words").cast("bigint").alias("n_words"),
-        F.length(F.translate("_text", BLANKS, "")).cast("bigint").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
+        F.regexp_count("_text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        windows.alias("_windows"),
+        "_hashes",
     )
+    # windows of two, four, then eight words: each step hashes an array with itself moved on
+    for width in (1, 2, 4):
+        rows = rows.withColumn("_hashes", joined_windows(F.col("_hashes"), width))
+    rows = rows.withColumnRenamed("_hashes", "_windows")
     rows = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("_windows"), F.col("n_words")).alias("n_repeat_words"))
     return rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """A row for each distinct normalised line of each document: id, host, key, words in its occurrences, mark.
+def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """A row for each line with a word: id, host, key, words, mark; settled, as it is read twice.
 
     ``mark`` is the document's smallest line hash.
     """
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), has_word).alias("_l"))
-    keyed = kept.select("doc_id", "host", F.transform("_l", lambda line: F.struct(line_key(line).alias("key"), F.size(words(line)).alias("n"))).alias("_k"))
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), normalised), lambda line: line != "").alias("_l"))
+    keyed = kept.select("doc_id", "host", F.transform("_l", lambda line: F.struct(F.xxhash64(line).alias("key"), (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("n"))).alias("_k"))
     marked = keyed.withColumn("mark", F.array_min(F.transform("_k", lambda k: k["key"])))
-    return marked.select("doc_id", "host", "mark", F.explode("_k").alias("k")).select("doc_id", "host", "mark", F.col("k.key").alias("key"), F.col("k.n").alias("n"))
+    rows = marked.select("doc_id", "host", "mark", F.explode("_k").alias("k")).select("doc_id", "host", "mark", F.col("k.key").alias("key"), F.col("k.n").alias("n"))
+    return settle(rows, "lines")
 
 
-def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE) -> DataFrame:
-    """Host and key of the lines that too many distinct documents of the host hold, with that count."""
-    lines = _lines(docs, id_col, text_col, host_col)
-    once = lines.select("host", "key", "mark").distinct()
-    counts = once.groupBy("host", "key").agg(F.count("*").alias("n_docs"))
-    hosts = docs.groupBy(F.col(host_col).cast("string").alias("host")).agg(F.count("*").alias("host_docs"))
-    over = counts.where(F.col("n_docs") > line_documents).join(hosts, counts["host"].eqNullSafe(hosts["host"])).where(F.col("n_docs") > line_share * F.col("host_docs"))
-    return over.select(counts["host"], "key", "n_docs")
+def frequent_lines(lines: DataFrame, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE) -> DataFrame:
+    """Host and key of the lines that too many distinct documents of the host hold, with that count.
+
+    Counted over all rows of :func:`line_table`; only (host, key, mark) is shuffled, made distinct before.
+    """
+    counts = lines.select("host", "key", "mark").distinct().groupBy("host", "key").agg(F.count("*").alias("n_docs"))
+    hosts = lines.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "of")
+    over = counts.where(F.col("n_docs") > line_documents).join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_docs") > line_share * F.col("host_docs"))
+    return over.select("host", "key", "n_docs")
 
 
-def depleted(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def removals(lines: DataFrame, frequent: DataFrame) -> DataFrame:
     """For documents that hold frequent lines: id, the removed lines' keys and the words removed."""
-    lines = _lines(docs, id_col, text_col, host_col)
-    hit = lines.join(frequent, lines["host"].eqNullSafe(frequent["host"]) & (lines["key"] == frequent["key"])).select("doc_id", lines["key"], "n")
+    over = frequent.select(F.col("host").alias("of"), F.col("key").alias("frequent"))
+    hit = lines.join(over, F.col("host").eqNullSafe(F.col("of")) & (F.col("key") == F.col("frequent")))
     return hit.groupBy("doc_id").agg(F.collect_set("key").alias("removed"), F.sum("n").cast("bigint").alias("removed_words"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Base statistics, base_failed, removed_words and kept of every row."""
     base = base_rules(docs, id_col, text_col)
-    lost = depleted(docs, frequent_lines(docs, id_col, text_col, host_col), id_col, text_col, host_col).select("doc_id", "removed_words")
+    lines = line_table(docs, id_col, text_col, host_col)
+    lost = removals(lines, frequent_lines(lines)).select("doc_id", "removed_words")
     joined = base.join(lost, "doc_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("bigint")))
     left = F.col("n_words") - F.col("removed_words")
     kept = ~F.col("base_failed") & (left >= LEAST_LEFT * F.col("n_words"))
