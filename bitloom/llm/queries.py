@@ -27,7 +27,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
     labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & (remainder("doc_id", 4) != 2)).select("doc_id", "toxic")
-    model = learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = learn(docs, labels)
     return detect(docs, model, keep=["doc_id", "held_out"]).withColumn("n_sentences", F.size("sentences")).drop("sentences")
 
 
@@ -73,6 +73,16 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
 
+#: The rules that query op7 judges by before its models do.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.urls import Rule, filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), [Rule(*r) for r in URL_RULES])
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op10_langid": op10_langid,
@@ -83,6 +93,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op2_sharding": op2_sharding,
     "op8_jaccard": op8_jaccard,
+    "op7_urls": op7_urls,
 }
 
 ORACLE_SQL: dict[str, str] = {}
