@@ -46,6 +46,8 @@ SIMILAR = (3, 4)
 BLOCK = 256
 #: Weight of a binary probe against a merge step when the long lists are chosen.
 PROBE_COST = 0.02
+#: Most ids to drop that are broadcast.
+BROADCAST_IDS = 1_000_000
 _BLOCK_CHARS = 4_000_000
 _TOKEN = np.uint64((1 << 40) - 1)
 
@@ -424,3 +426,26 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     joined = members.where("sid is not null").join(of_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies")
     alone = members.where("sid is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
     return joined.unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id.
+
+    The ids to drop are broadcast if there are at most ``BROADCAST_IDS``; else both sides
+    are shuffled by id.  Rows that share an id and a text count as one document, and rows without
+    an id stay unless they are copies of one with an id.
+    """
+    linked = settle(link(docs, id_col, text_col), "linked")
+    dropped = settle(linked.where("doc_id != component_id").select(F.col("doc_id").alias("_drop")).distinct(), "dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(dropped) if few else dropped, docs[id_col] == dropped["_drop"], "left_anti")
+    repeated = linked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice"))
+    if repeated.head(1):
+        repeated = settle(repeated, "repeated")
+        again = kept.join(repeated, kept[id_col] == repeated["_twice"], "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(repeated, kept[id_col] == repeated["_twice"], "left_anti").unionByName(again)
+    if linked.where("doc_id is null and component_id is not null").head(1):
+        ids = linked.where("doc_id is not null").select("doc_id")
+        named = docs.join(ids, docs[id_col] == ids["doc_id"], "left_semi").select(F.col(text_col).alias("_text")).distinct()
+        kept = kept.where(F.col(id_col).isNotNull()).unionByName(kept.where(F.col(id_col).isNull()).join(named, F.col(text_col) == F.col("_text"), "left_anti"))
+    return kept

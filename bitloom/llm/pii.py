@@ -150,20 +150,20 @@ def all_spans() -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; overlapping spans become one."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    names = [f"pii_{k}" for k in (*BASE, *ADDED)]
+    rows = find_spans(docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_text")
     ordered = F.array_sort(F.transform(all_spans(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    rows = find_spans(docs, text_col).withColumn("_spans", ordered).drop(*names)
+    rows = rows.select("_row", "_text", ordered.alias("_spans"))
     cut = F.aggregate(
         "_spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(acc["out"]).alias("out"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr("_text", acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(acc["out"]).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)),
+        lambda acc: F.concat(acc["out"], F.substr("_text", acc["at"] + 1)),
     )
-    return rows.withColumn(text_col, F.when(F.size("_spans") > 0, cut).otherwise(F.col(text_col))).drop("_spans")
+    redacted = F.when(F.size("_spans") > 0, cut).otherwise(F.col("_row")[text_col])
+    return rows.select(*[(redacted if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,7 +36,7 @@ LINE_SHARE = 0.001
 #: A document is depleted if less than this share of its words remains.
 LEAST_LEFT = 0.3
 #: Most rows (document, removed lines) that are broadcast; beyond, both sides are shuffled by id.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -78,14 +78,13 @@ def repeated_words(hashes: Column, n_words: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("bigint")).otherwise(covered)
 
 
-def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, the five base statistics and base_failed.  One pass, no shuffle."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
-    rows = rows.select("doc_id", "_text", words(F.col("_text")).alias("_words"), F.filter(F.split("_text", "\n", -1), has_word).alias("_lines"))
+def base_rules(docs: DataFrame, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
+    """Per row: what ``keep`` names, the five base statistics and base_failed.  One pass, no shuffle."""
+    rows = docs.select(*[c.alias(name) for name, c in keep.items()], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = rows.select(*keep, "_text", words(F.col("_text")).alias("_words"), F.filter(F.split("_text", "\n", -1), has_word).alias("_lines"))
     rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     rows = rows.select(
-        "doc_id",
+        *keep,
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
@@ -96,7 +95,7 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for width in (1, 2, 4):
         rows = rows.withColumn("_hashes", joined_windows(F.col("_hashes"), width))
     rows = rows.withColumnRenamed("_hashes", "_windows")
-    rows = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("_windows"), F.col("n_words")).alias("n_repeat_words"))
+    rows = rows.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("_windows"), F.col("n_words")).alias("n_repeat_words"))
     return rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
 
 
@@ -130,12 +129,32 @@ def removals(lines: DataFrame, frequent: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id").agg(F.collect_set("key").alias("removed"), F.sum("n").cast("bigint").alias("removed_words"))
 
 
+def enough_left(n_words: Column, removed_words: Column) -> Column:
+    return n_words - removed_words >= LEAST_LEFT * n_words
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Base statistics, base_failed, removed_words and kept of every row."""
-    base = base_rules(docs, id_col, text_col)
+    base = base_rules(docs, {"doc_id": F.col(id_col)}, text_col)
     lines = line_table(docs, id_col, text_col, host_col)
     lost = removals(lines, frequent_lines(lines)).select("doc_id", "removed_words")
     joined = base.join(lost, "doc_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("bigint")))
-    left = F.col("n_words") - F.col("removed_words")
-    kept = ~F.col("base_failed") & (left >= LEAST_LEFT * F.col("n_words"))
-    return joined.withColumn("kept", kept)
+    return joined.withColumn("kept", ~F.col("base_failed") & enough_left(F.col("n_words"), F.col("removed_words")))
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``docs`` without rejected documents and, in the others, without the frequent lines.
+
+    Texts stay where they are: the table of removed lines is broadcast if it has at most
+    ``BROADCAST_ROWS`` rows, else both sides are shuffled by id.
+    """
+    lines = line_table(docs, id_col, text_col, host_col)
+    lost = settle(removals(lines, frequent_lines(lines)).withColumnRenamed("doc_id", "_id"), "removals")
+    lost = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost
+    rows = base_rules(docs, {"_row": F.struct("*"), "_own": F.col(id_col)}, text_col)
+    # a filter isn't pushed below a row number, so the statistics are computed once and not again inside the filter
+    rows = rows.withColumn("_at", F.monotonically_increasing_id()).where(~F.col("base_failed") & (F.col("_at") >= 0))
+    joined = rows.join(lost, F.col("_own") == F.col("_id"), "left").where(F.col("removed_words").isNull() | enough_left(F.col("n_words"), F.col("removed_words")))
+    text = F.col(f"_row.{text_col}")
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line: ~F.array_contains(F.col("removed"), F.xxhash64(normalised(line)))), "\n")
+    return joined.select(*[(F.when(F.col("removed").isNotNull(), left).otherwise(text) if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
