@@ -18,7 +18,9 @@ empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,38 +33,71 @@ END_ID = 0
 #: Pieces packed together by one task.
 GROUP = 1 << 16
 #: Pieces up to one of these lengths are held back to the end.
-SHORT = (64, 128, 256, CAPACITY)
+SHORT = (128, 256, 64, CAPACITY)
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 _BLOCK_CHARS = 4_000_000
 
+LATIN = re.compile("[\x00-\xff]*")
+PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
+#: Byte-level vocabularies spell the bytes that print in Latin-1 as themselves and the others, in order, from U+0100 on.
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with the ids of words remembered.
 
-    The tokenizer named must split at blanks before anything else, so that a text's
-    ids are its blank-separated parts' ids in sequence.
+    The tokenizer named must lower-case, split at blanks first and between letters and
+    other characters next, as word-end BPE vocabularies do.  A text's ids are then those
+    of its blank-separated parts in sequence, and a plain word followed by punctuation is
+    the word's ids and the punctuation's.  A plain word (lower-case Latin-1 letters) goes
+    straight to the BPE model, everything else through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
 
+    def _plain(self, word: str) -> bytes:
+        """Ids of a plain word; the model wants its UTF-8 bytes spelled as letters."""
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def learn(self, new: set[str]) -> None:
+        known, hard = self.known, []
+        for w in new:
+            m = PLAIN.fullmatch(w)
+            if m is None:
+                hard.append(w)
+                continue
+            word, rest = m.groups()
+            if (ids := known.get(word)) is None:
+                ids = known[word] = self._plain(word)
+            if rest:
+                if (after := known.get(rest)) is None:
+                    after = known[rest] = self._whole([rest])[0]
+                known[w] = ids + after
+        for w, ids in zip(hard, self._whole(hard), strict=True):
+            known[w] = ids
+
+    def _whole(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = []
         for t in texts:
-            if t.isascii() and "<|" not in t:  # the tokenizer lower-cases, except in the names of special tokens
+            # lower-casing is the tokenizer's own first step for these characters; the names of special tokens stay
+            if LATIN.fullmatch(t) and "<|" not in t:
                 t = t.lower()
             parts.append(t.replace("\n", " ").split(" "))
         if len(self.known) > CACHED_WORDS:
             self.known = {"": b""}
-        new = list({w for p in parts for w in p if w not in self.known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self.learn(set().union(*parts).difference(self.known))
         known = self.known.__getitem__
         return [b"".join(map(known, p)) for p in parts]
 
@@ -150,6 +185,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
             found = place(lengths[turn], capacity)
             if best is None or found[0].max() < best[1].max():
                 best = turn, *found
+            least = -(-int(lengths.sum()) // capacity)
+            if best[1].max() + 1 <= least + least // 1000:
+                break
         turn = best[0]
         sequence, offset = np.zeros(len(turn), dtype=np.int64), np.zeros(len(turn), dtype=np.int64)
         sequence[turn], offset[turn] = best[1:]
