@@ -123,29 +123,34 @@ def score(text: str, weights: WordWeights, bias: float, span_at: float = THRESHO
     return -math.expm1(-silent), spans
 
 
-def sample(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most ``TRAIN_DOCS`` labelled rows of ``TRAIN_CHARS`` characters together, drawn by a hash of the text.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
+    """At most ``TRAIN_DOCS`` labelled texts of ``TRAIN_CHARS`` characters together, drawn by a hash of the text.
 
-    Whole texts are taken; the hash order keeps the labels' shares and does not depend on row order.
+    Only ids, hashes and lengths meet the labels; the texts drawn are fetched afterwards by
+    their ids, whose number is bounded.  Copies with one label count once, whole texts are
+    taken, and the hash order keeps the labels' shares whatever the order of rows.
     """
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    heads = rows.select("h", F.length("text").alias("n")).orderBy("h", "n").limit(TRAIN_DOCS).collect()
-    room, last = TRAIN_CHARS, None
-    for r in heads:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    heads = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.length(text).alias("n"))
+    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    drawn = heads.join(known, "id").groupBy("h", "label").agg(F.min("id").alias("id"), F.max("n").alias("n")).orderBy("h", "label").limit(TRAIN_DOCS).collect()
+    room, chosen = TRAIN_CHARS, []
+    for r in drawn:
         room -= r["n"]
         if room < 0:
             break
-        last = r["h"]
-    if last is None:
+        chosen.append((r["id"], r["h"], r["label"]))
+    if not chosen:
         return [], []
-    # rows of one hash are equal texts: a group of copies counts once for each label, so its size doesn't matter here
-    drawn = rows.where(F.col("h") <= last).groupBy("h", "label").agg(F.first("text").alias("text"), F.count("*").alias("n")).orderBy("h", "label").collect()
-    return [r["text"] for r in drawn], [r["label"] for r in drawn]
+    wanted = docs.sparkSession.createDataFrame(chosen, "id long, h long, label int")
+    fetched = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(wanted), "id").where(F.xxhash64("text") == F.col("h"))
+    texts = {(r["h"], r["label"]): r["text"] for r in fetched.select("h", "label", "text").collect()}
+    found = [(texts[h, label], label) for _, h, label in chosen if (h, label) in texts]
+    return [t for t, _ in found], [y for _, y in found]
 
 
-def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> dict:
-    return fit(*sample(labelled, text_col, label_col))
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
+    return fit(*sample(docs, labels, id_col, text_col, label_col))
 
 
 def detect(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
