@@ -1,4 +1,527 @@
-"""The queries over the driver's tables and the SQL they are checked with."""
+"""The queries over the driver's tables and the SQL they are checked with.
 
-QUERIES: dict = {}
+Every query runs over its whole table.  Base bits are the first K of the entropy order
+where a query is about what follows the selection, so that SQL can follow.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from bitloom import sqltext
+from bitloom.functions import numbers
+from bitloom.operators import analysis, basetable, condense, encode, entropy, images, ingest, normalize, selection
+from bitloom.operators.distinct import ExactCounter, HyperLogLogCounter
+from bitloom.operators.normalize import Options
+from bitloom.operators.ordered import settle
+from bitloom.plans.compress import Compressed, Plan, compress, compress_normalized
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+TWO = Options(decimals=2)
+LINEITEM = {"l_quantity": "round(l_quantity * 100)", "l_extendedprice": "round(l_extendedprice * 100)", "l_discount": "round(l_discount * 100)", "l_tax": "round(l_tax * 100)", "l_linenumber": "l_linenumber", "l_partkey": "l_partkey"}
+NARROW = {"l_quantity": "round(l_quantity * 100)", "l_discount": "round(l_discount * 100)", "l_tax": "round(l_tax * 100)", "l_linenumber": "l_linenumber"}
+ORDERS = {"o_custkey": "o_custkey", "o_totalprice": "round(o_totalprice * 100)"}
+EVENTS = {"user_id": "user_id", "value": "round(value * 100)"}
+K = 14
+L_ROW, O_ROW, E_ROW = "row_number() OVER () - 1", "o_orderkey", "event_id"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = " ".join(sql.split())
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lineitem(spark, sf_dir, columns):
+    # lineitem has no key; these queries need no order, so any number does
+    df = _table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("row_idx"), *columns)
+    return normalize.normalize(df, "row_idx", list(columns), TWO)
+
+
+def _orders(spark, sf_dir):
+    return normalize.normalize(_table(spark, sf_dir, "orders").select("o_orderkey", *ORDERS), "o_orderkey", list(ORDERS), TWO)
+
+
+def _events(spark, sf_dir):
+    return normalize.normalize(_table(spark, sf_dir, "events").select("event_id", *EVENTS), "event_id", list(EVENTS), TWO)
+
+
+def _with(*ctes: str) -> str:
+    return "WITH " + ", ".join(ctes) + " "
+
+
+_N_LINEITEM = sqltext.normalized("lineitem", L_ROW, LINEITEM)
+_N_NARROW = sqltext.normalized("lineitem", L_ROW, NARROW)
+_N_ORDERS = sqltext.normalized("orders", O_ROW, ORDERS)
+_N_EVENTS = sqltext.normalized("events", E_ROW, EVENTS)
+_EVENTS_BASED = (_N_EVENTS, sqltext.masks(2, K), sqltext.based(2))
+
+
+# scans and normalisation
+
+
+@query(
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, CAST(min({e}) AS BIGINT) AS minimum, CAST(max({e}) - min({e}) AS BIGINT) AS span, CAST(CASE WHEN max({e}) - min({e}) < 256 THEN 8 WHEN max({e}) - min({e}) < 65536 THEN 16 WHEN max({e}) - min({e}) < 4294967296 THEN 32 ELSE 64 END AS INTEGER) AS bits FROM lineitem" for n, e in LINEITEM.items()) + ")"
+)
+def feature_spec_lineitem(spark, sf_dir):
+    df = _table(spark, sf_dir, "lineitem")
+    found = normalize.profile(df, list(LINEITEM), TWO)
+    kinds = dict(df.dtypes)
+    features = [normalize.specify(n, kinds[n], p, TWO) for n, p in found.items()]
+    return spark.createDataFrame([(f.name, f.minimum, int(found[f.name]["max"]) - int(found[f.name]["min"]), f.bits) for f in features], "feature string, minimum long, span long, bits int")
+
+
+@query(_with(_N_ORDERS) + "SELECT row_idx, c0 AS o_custkey, c1 AS o_totalprice FROM norm")
+def zero_normalize_orders(spark, sf_dir):
+    return _orders(spark, sf_dir)[0]
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, count(*) AS n, count(*) - count({n}) AS nulls, count_if(isnan({n}::DOUBLE) OR isinf({n}::DOUBLE)) AS nonfinite FROM lineitem" for n in LINEITEM) + ")")
+def null_nonfinite_check(spark, sf_dir):
+    found = normalize.profile(_table(spark, sf_dir, "lineitem"), list(LINEITEM), TWO)
+    return spark.createDataFrame([(n, p["n"], p["nulls"], p["nonfinite"]) for n, p in found.items()], "feature string, n long, nulls long, nonfinite long")
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def raw_float_roundtrip_events(spark, sf_dir):
+    """Floats kept as IEEE bits come back exactly."""
+    rows, info = normalize.normalize(_table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "event_id", ["user_id", "value"], Options(floats="raw"))
+    return normalize.reconstruct(rows, info).withColumnRenamed("row_idx", "event_id")
+
+
+@query(
+    """WITH gappy AS (SELECT event_id, CASE WHEN event_id % 3 = 1 THEN NULL ELSE value END AS value FROM events)
+    SELECT event_id, last_value(value IGNORE NULLS) OVER (ORDER BY event_id) AS forward, first_value(value IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS backward,
+    coalesce(value, (SELECT min(value) FROM gappy)) AS least, coalesce(value, (SELECT max(value) FROM gappy)) AS most, coalesce(value, 0.0) AS zero, coalesce(value, 1.0) AS one FROM gappy"""
+)
+def fill_null_events(spark, sf_dir):
+    gappy = _table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 != 1, F.col("value")).alias("value"))
+    out = gappy.select("event_id")
+    for strategy, name in {"forward": "forward", "backward": "backward", "min": "least", "max": "most", "zero": "zero", "one": "one"}.items():
+        out = out.join(ingest.fill_nulls(gappy, strategy, ["value"], "event_id").withColumnRenamed("value", name), "event_id")
+    return out
+
+
+# entropy and orders
+
+
+@query(_with(_N_LINEITEM) + f"SELECT CAST(bit AS INTEGER) AS bit, feature, CAST(local_bit AS INTEGER) AS local_bit, ones, n, round({sqltext.entropy()}, 6) AS entropy FROM bits")
+def bit_entropy_lineitem(spark, sf_dir):
+    rows, info = _lineitem(spark, sf_dir, LINEITEM)
+    return entropy.as_table(spark, entropy.bit_scores(rows, info), info).withColumn("entropy", F.round("entropy", 6))
+
+
+@query(_with(_N_EVENTS) + "SELECT CAST(bit AS INTEGER) AS bit, CAST(CASE WHEN ones = n THEN 1 ELSE 0 END AS INTEGER) AS polarity FROM bits WHERE ones IN (0, n)")
+def constant_bits_events(spark, sf_dir):
+    rows, info = _events(spark, sf_dir)
+    zeros, ones = entropy.constant_bits(entropy.bit_scores(rows, info))
+    return spark.createDataFrame([(b, 0) for b in zeros] + [(b, 1) for b in ones], "bit int, polarity int")
+
+
+@query(_with(_N_LINEITEM) + "SELECT CAST(rank AS INTEGER) AS rank, CAST(bit AS INTEGER) AS bit FROM ranked")
+def entropy_order_lineitem(spark, sf_dir):
+    rows, info = _lineitem(spark, sf_dir, LINEITEM)
+    return spark.createDataFrame([(i + 1, b) for i, b in enumerate(entropy.entropy_order(entropy.bit_scores(rows, info)))], "rank int, bit int")
+
+
+@query()
+def feature_order_orders(spark, sf_dir):
+    rows, info = _orders(spark, sf_dir)
+    return spark.createDataFrame([(i + 1, b) for i, b in enumerate(entropy.feature_order(entropy.bit_scores(rows, info), info))], "rank int, bit int")
+
+
+# distinct prefixes and selection
+
+
+def _narrow_curve(spark, sf_dir):
+    rows, info = _lineitem(spark, sf_dir, NARROW)
+    scores = entropy.bit_scores(rows, info)
+    return rows, info, scores, entropy.entropy_order(scores)
+
+
+@query(_with(_N_NARROW, sqltext.curve(4)) + "SELECT CAST(k AS INTEGER) AS k, CAST(n_b AS BIGINT) AS n_b FROM curve")
+def prefix_distinct_curve(spark, sf_dir):
+    rows, info, _, order = _narrow_curve(spark, sf_dir)
+    return spark.createDataFrame(list(enumerate(ExactCounter().curve(rows, info, order))), "k int, n_b long")
+
+
+@query(_with(_N_NARROW, sqltext.curve(4), sqltext.sizes(4)) + "SELECT CAST(k AS INTEGER) AS k, CAST(n_b AS BIGINT) AS n_b, CAST(size_bases AS BIGINT) AS size_bases, CAST(size_deviations AS BIGINT) AS size_deviations, CAST(size_ids AS BIGINT) AS size_ids, CAST(size_params AS BIGINT) AS size_params, CAST(total_size AS BIGINT) AS total_size FROM sizes")
+def size_breakdown_curve(spark, sf_dir):
+    rows, info, scores, order = _narrow_curve(spark, sf_dir)
+    out = []
+    for k, n_b in enumerate(ExactCounter().curve(rows, info, order)):
+        s = selection.size_of(scores[0].n, len(info.features), info.chunk_size, k, n_b)
+        out.append((k, n_b, s.size_bases, s.size_deviations, s.size_ids, s.size_params, s.total))
+    return spark.createDataFrame(out, "k int, n_b long, size_bases long, size_deviations long, size_ids long, size_params long, total_size long")
+
+
+def _selected(spark, rows, info, scores, **how):
+    found = selection.select(rows, info, scores, **how)
+    return spark.createDataFrame([(found.k, found.bases, found.size)], "k int, n_b long, total_size long")
+
+
+@query(_with(_N_NARROW, sqltext.curve(4), sqltext.sizes(4), sqltext.greedy("(SELECT constants FROM dim)", 10)).strip())
+def select_bases_naive(spark, sf_dir):
+    rows, info, scores, _ = _narrow_curve(spark, sf_dir)
+    return _selected(spark, rows, info, scores, method="naive", patience=10)
+
+
+@query(_with(_N_NARROW, sqltext.curve(4), sqltext.sizes(4), sqltext.greedy(f"(SELECT greatest(max(constants), count_if({sqltext.entropy('ranked.ones', 'ranked.n')} <= 0.5)) FROM dim, ranked)", 3)).strip())
+def select_bases_threshold(spark, sf_dir):
+    rows, info, scores, _ = _narrow_curve(spark, sf_dir)
+    return _selected(spark, rows, info, scores, method="threshold", threshold=0.5, patience=3)
+
+
+@query(
+    _with(
+        _N_NARROW,
+        sqltext.curve(4),
+        sqltext.sizes(4),
+        f"ent AS (SELECT rank AS k, {sqltext.entropy()} AS e FROM ranked)",
+        "nc AS (SELECT min(e) AS lo, max(e) AS hi FROM ent WHERE k > (SELECT constants FROM dim))",
+        "clus AS (SELECT constants AS pos, (SELECT (hi - lo) * 0.5 FROM nc) AS width, (SELECT total_size FROM sizes WHERE k = constants) AS best FROM dim UNION ALL SELECT nxt, width * 0.5, sz FROM (SELECT c.width, c.best, x.nxt, s.total_size AS sz FROM clus c, LATERAL (SELECT max(b.k) AS nxt FROM ent a, ent b WHERE a.k = c.pos + 1 AND b.k > c.pos AND b.e - a.e <= c.width) x JOIN sizes s ON s.k = x.nxt) WHERE sz < best)",
+        sqltext.greedy("(SELECT max(pos) FROM clus)", 10),
+    )
+    .strip()
+    .replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def select_bases_adaptive(spark, sf_dir):
+    rows, info, scores, _ = _narrow_curve(spark, sf_dir)
+    return _selected(spark, rows, info, scores, method="adaptive", decay=0.5, patience=10)
+
+
+@query(_with(_N_NARROW, sqltext.curve(4), sqltext.sizes(4)) + "SELECT CAST(k AS INTEGER) AS k, CAST(n_b AS BIGINT) AS n_b, CAST(total_size AS BIGINT) AS total_size FROM sizes ORDER BY k DESC LIMIT 1")
+def select_bases_all_bits(spark, sf_dir):
+    rows, info, scores, _ = _narrow_curve(spark, sf_dir)
+    return _selected(spark, rows, info, scores, method="all")
+
+
+@query()
+def select_bases_approximate(spark, sf_dir):
+    rows, info, scores, _ = _narrow_curve(spark, sf_dir)
+    return _selected(spark, rows, info, scores, method="adaptive", counter=HyperLogLogCounter())
+
+
+@query()
+def selection_trace(spark, sf_dir):
+    rows, info, scores, _ = _narrow_curve(spark, sf_dir)
+    return selection.trace(spark, selection.select(rows, info, scores, "naive"))
+
+
+@query()
+def hll_precision(spark, sf_dir):
+    rows, info, scores, order = _narrow_curve(spark, sf_dir)
+    return analysis.counter_precision(spark, rows, info, scores, order)
+
+
+# base table and rows
+
+
+def _events_compressed(spark, sf_dir, in_order: bool = False, k: int = K) -> Compressed:
+    rows, info = _events(spark, sf_dir)
+    rows = settle(rows, "events")
+    scores = entropy.bit_scores(rows, info)
+    zeros, ones = entropy.constant_bits(scores)
+    layout = basetable.Layout.of(info, entropy.entropy_order(scores)[:k], zeros, ones)
+    bases, order = basetable.build(rows, info, layout, in_order)
+    bases = settle(bases, "bases")
+    n_bases = bases.count()
+    return Compressed(info, layout, bases, basetable.assign(rows, info, layout, bases, n_bases), n_bases, Plan(), order, scores=scores)
+
+
+@query(_with(*_EVENTS_BASED) + "SELECT base_id, b0 AS user_id, b1 AS value, count(*) AS cnt FROM based GROUP BY ALL")
+def base_table_events(spark, sf_dir):
+    return _events_compressed(spark, sf_dir).bases.select("base_id", "user_id", "value", "cnt")
+
+
+@query(_with(_N_LINEITEM, sqltext.masks(6, 60), f"split AS (SELECT {', '.join(f'c{i} & m{i} AS b{i}' for i in range(6))} FROM norm, masks)") + f"SELECT {', '.join(f'b{i} AS {n}' for i, n in enumerate(LINEITEM))}, count(*) AS cnt FROM split GROUP BY ALL")
+def base_table_lineitem(spark, sf_dir):
+    rows, info = _lineitem(spark, sf_dir, LINEITEM)
+    order = entropy.entropy_order(entropy.bit_scores(rows, info))
+    layout = basetable.Layout.of(info, order[:60], [], [])
+    from bitloom.functions.bits import base_columns
+
+    return rows.select(*[c.alias(n) for n, c in base_columns(info, list(layout.selected)).items()]).groupBy(*LINEITEM).agg(F.count("*").alias("cnt"))
+
+
+@query(
+    _with(*_EVENTS_BASED, "tab AS (SELECT DISTINCT b0, b1 FROM based)", f"vars AS (SELECT f, local_bit, bit FROM ranked WHERE rank <= {K} AND ones NOT IN (0, n))", "cols AS (SELECT f, local_bit, row_number() OVER (ORDER BY least(o, t - o), bit) AS pos FROM (SELECT f, local_bit, bit, sum((CASE f WHEN 0 THEN b0 ELSE b1 END >> local_bit) & 1) AS o, count(*) AS t FROM tab, vars GROUP BY ALL))", "skey AS (SELECT b0, b1, string_agg(CAST((CASE f WHEN 0 THEN b0 ELSE b1 END >> local_bit) & 1 AS VARCHAR), '' ORDER BY pos) AS key FROM tab, cols GROUP BY ALL)")
+    + "SELECT row_number() OVER (ORDER BY key DESC) - 1 AS base_id, b0 AS user_id, b1 AS value FROM skey"
+)
+def base_table_sorted_events(spark, sf_dir):
+    return _events_compressed(spark, sf_dir, in_order=True).bases.select("base_id", "user_id", "value")
+
+
+@query(_with(*_EVENTS_BASED) + "SELECT row_idx AS event_id, CAST(row_idx // 1024 AS BIGINT) AS block_id, base_id, v0 AS user_id, v1 AS value FROM based")
+def row_base_id_events(spark, sf_dir):
+    return _events_compressed(spark, sf_dir).rows.select(F.col("row_idx").alias("event_id"), "block_id", "base_id", "user_id", "value")
+
+
+@query(_with(*_EVENTS_BASED) + "SELECT base_id, count(*) AS cnt FROM based GROUP BY base_id")
+def recount_bases_events(spark, sf_dir):
+    return basetable.recount(_events_compressed(spark, sf_dir).rows)
+
+
+@query(_with(_N_EVENTS) + f"SELECT CAST(bit AS INTEGER) AS bit, CAST(CASE WHEN rank > {K} THEN 0 WHEN ones = 0 THEN 2 WHEN ones = n THEN 3 ELSE 1 END AS INTEGER) AS state FROM ranked")
+def layout_events(spark, sf_dir):
+    c = _events_compressed(spark, sf_dir)
+    return spark.createDataFrame(list(enumerate(c.layout.states)), "bit int, state int")
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def roundtrip_events(spark, sf_dir):
+    """Selected, deduplicated, joined and reconstructed: the table itself."""
+    plan = Plan(options=TWO, m_max=None)
+    return compress(_table(spark, sf_dir, "events").select("event_id", *EVENTS), "event_id", plan=plan).decompress().withColumnRenamed("row_idx", "event_id")
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_id IN (0, 5) OR event_id BETWEEN 10 AND 20")
+def random_access_rows(spark, sf_dir):
+    from bitloom.cli import parse_rows
+
+    return _events_compressed(spark, sf_dir).rows_at(parse_rows("0,5,10-20")).withColumnRenamed("row_idx", "event_id")
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_id BETWEEN 100 AND 3000")
+def range_access_rows(spark, sf_dir):
+    return _events_compressed(spark, sf_dir).rows_between([(100, 3000)]).withColumnRenamed("row_idx", "event_id")
+
+
+# condensed samples
+
+_TOP = "tops AS (SELECT bit, f, local_bit, row_number() OVER (ORDER BY CASE WHEN ones IN (0, n) THEN 0 ELSE 1 END, local_bit DESC, bit DESC) AS trank FROM bits)"
+
+
+@query()
+def condensed_samples_orders(spark, sf_dir):
+    rows, info = _orders(spark, sf_dir)
+    return condense.condense(settle(rows, "orders"), info, entropy.bit_scores(rows, info), 30)[0]
+
+
+@query(_with(_N_ORDERS, "split AS (SELECT c0 & 1792 AS b0, c1 & 62914560 AS b1, c0 & (65535 - 1792) AS v0, c1 & (4294967295 - 62914560) AS v1 FROM norm)") + "SELECT count(*) AS weight, (b0 + CAST(sum(v0) // count(*) AS BIGINT)) & 65535 AS o_custkey, (b1 + CAST(sum(v1) // count(*) AS BIGINT)) & 4294967295 AS o_totalprice FROM split GROUP BY b0, b1")
+def condensed_means_orders(spark, sf_dir):
+    """Means over groups of fixed bits: 8 to 10 of o_custkey, 22 to 25 of o_totalprice."""
+    from bitloom.schema import DatasetInfo, Feature
+
+    rows, info = _orders(spark, sf_dir)
+    wide = DatasetInfo([Feature("o_custkey", "int64", 16), Feature("o_totalprice", "int64", 32)], info.n)
+    return condense.means(rows, wide, [8, 9, 10, *(16 + b for b in range(22, 26))])
+
+
+@query(_with(*_EVENTS_BASED) + "SELECT count(*) AS weight, b0 + (SELECT m0 FROM st) AS user_id, round((b1 + (SELECT m1 FROM st)) / 100.0, 2) AS value FROM based GROUP BY b0, b1")
+def base_samples_events(spark, sf_dir):
+    return _events_compressed(spark, sf_dir).base_samples().withColumn("value", F.round("value", 2))
+
+
+# encodings
+
+_USERS = "runs AS (SELECT event_id AS row_idx, event_id // 1024 AS block_id, CASE WHEN event_id % 97 < 60 THEN 0 ELSE user_id % 3 END AS s FROM events), flagged AS (SELECT *, CASE WHEN lag(s) OVER (PARTITION BY block_id ORDER BY row_idx) IS NOT DISTINCT FROM s THEN 0 ELSE 1 END AS new FROM runs), isl AS (SELECT *, sum(new) OVER (PARTITION BY block_id ORDER BY row_idx) AS island FROM flagged), islands AS (SELECT block_id, s, min(row_idx) AS start, count(*) AS length FROM isl GROUP BY block_id, island, s)"
+
+
+def _symbols(spark, sf_dir):
+    """A column with runs, for the run-length queries."""
+    e = _table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("row_idx"), F.floor(F.col("event_id") / 1024).alias("block_id"), F.when(F.col("event_id") % 97 < 60, 0).otherwise(F.col("user_id") % 3).alias("s"))
+
+
+@query(_with(_USERS) + "SELECT CAST(block_id AS BIGINT) AS block_id, s, start, length FROM islands")
+def rle_runs_events(spark, sf_dir):
+    return encode.islands(_symbols(spark, sf_dir), ["s"])
+
+
+@query(
+    _with(
+        _USERS,
+        "pieces AS (SELECT block_id, start + p * 136 AS start, least(136, length - p * 136) AS length FROM islands, range(0, 10) t(p) WHERE p * 136 < length)",
+        "grp AS (SELECT *, sum(CASE WHEN length > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY block_id ORDER BY start) AS pair FROM pieces)",
+        "pr AS (SELECT block_id, pair, min(start) AS start, max(CASE WHEN length > 1 THEN length END) AS run, count_if(length = 1) AS lit FROM grp GROUP BY block_id, pair)",
+    )
+    + "SELECT CAST(block_id AS BIGINT) AS block_id, CAST(CASE WHEN q = 0 THEN start ELSE start + coalesce(run, 0) + q * 135 END AS BIGINT) AS start, CAST(CASE WHEN q = 0 AND run IS NOT NULL THEN run - 1 ELSE 0 END AS INTEGER) AS r, CAST(least(135, lit - q * 135) AS INTEGER) AS m FROM pr, range(0, 10) t(q) WHERE q = 0 OR q * 135 < lit"
+)
+def rle_pairs_events(spark, sf_dir):
+    return encode.run_pairs(_symbols(spark, sf_dir), ["s"])
+
+
+@query("SELECT event_id AS row_idx, CASE WHEN event_id % 97 < 60 THEN 0 ELSE user_id % 3 END AS s FROM events")
+def rle_decode_events(spark, sf_dir):
+    return encode.expand_runs(encode.islands(_symbols(spark, sf_dir), ["s"]), ["s"])
+
+
+@query()
+def rle_offsets_events(spark, sf_dir):
+    return encode.pair_offsets(encode.run_pairs(_symbols(spark, sf_dir), ["s"]), 2)
+
+
+@query()
+def huffman_codes_events(spark, sf_dir):
+    return encode.code_table(spark, _events_compressed(spark, sf_dir).bases)
+
+
+@query()
+def huffman_offsets_events(spark, sf_dir):
+    c = _events_compressed(spark, sf_dir)
+    return encode.block_code_offsets(c.rows, encode.code_table(spark, c.bases))
+
+
+_DELTAS = (
+    *_EVENTS_BASED,
+    "tab AS (SELECT DISTINCT b0, b1 FROM based)",
+    f"vars AS (SELECT f, local_bit, bit FROM ranked WHERE rank <= {K} AND ones NOT IN (0, n))",
+    "cols AS (SELECT f, local_bit, row_number() OVER (ORDER BY least(o, t - o), bit) AS pos FROM (SELECT f, local_bit, bit, sum((CASE f WHEN 0 THEN b0 ELSE b1 END >> local_bit) & 1) AS o, count(*) AS t FROM tab, vars GROUP BY ALL))",
+    "skey AS (SELECT b0, b1, CAST(sum(((CASE f WHEN 0 THEN b0 ELSE b1 END >> local_bit) & 1) << ((SELECT count(*) FROM cols) - pos)) AS BIGINT) AS key FROM tab, cols GROUP BY ALL)",
+    "dl AS (SELECT row_number() OVER (ORDER BY key DESC) - 1 AS base_id, lag(key) OVER (ORDER BY key DESC) - key - 1 AS delta FROM skey)",
+    "dd AS (SELECT base_id, delta, CAST(CASE WHEN delta = 0 THEN 0 ELSE length(ltrim(CAST(bin(delta) AS VARCHAR), '0')) END AS INTEGER) AS bit_length FROM dl WHERE delta IS NOT NULL)",
+)
+
+
+def _tier_sql(tiers) -> str:
+    return "CASE " + " ".join(f"WHEN bit_length <= {w} THEN {i}" for i, w in enumerate(tiers[:20])) + " END", "CASE " + " ".join(f"WHEN bit_length <= {w} THEN {w}" for w in tiers[:20]) + " END"
+
+
+@query(_with(*_DELTAS) + f"SELECT base_id, delta, bit_length, CAST({_tier_sql(encode.UNARY_TIERS)[0]} AS INTEGER) AS tier, CAST({_tier_sql(encode.UNARY_TIERS)[0]} + 1 AS INTEGER) AS prefix_bits, CAST({_tier_sql(encode.UNARY_TIERS)[1]} AS INTEGER) AS payload_bits FROM dd")
+def delta_tiers_unary(spark, sf_dir):
+    c = _events_compressed(spark, sf_dir, in_order=True)
+    return encode.deltas(settle(encode.sort_keys(c.bases, c.info, c.layout, c.order), "keys"), True)
+
+
+@query(_with(*_DELTAS) + f"SELECT base_id, delta, bit_length, CAST({_tier_sql(encode.FIXED_TIERS)[0]} AS INTEGER) AS tier, CAST(6 AS INTEGER) AS prefix_bits, CAST({_tier_sql(encode.FIXED_TIERS)[1]} AS INTEGER) AS payload_bits FROM dd")
+def delta_tiers_fixed(spark, sf_dir):
+    c = _events_compressed(spark, sf_dir, in_order=True)
+    return encode.deltas(settle(encode.sort_keys(c.bases, c.info, c.layout, c.order), "keys"), False)
+
+
+@query(_with(*_DELTAS) + "SELECT row_number() OVER (ORDER BY key DESC) - 1 AS base_id, key FROM skey")
+def delta_roundtrip_keys(spark, sf_dir):
+    c = _events_compressed(spark, sf_dir, in_order=True)
+    keys = settle(encode.sort_keys(c.bases, c.info, c.layout, c.order), "keys")
+    first = keys.where("base_id = 0").first()["key"]
+    return encode.undo_deltas(first, settle(encode.deltas(keys), "deltas"))
+
+
+@query(_with(*_DELTAS) + "SELECT bit_length, count(*) AS cnt, round(100.0 * sum(count(*)) OVER (ORDER BY bit_length) / sum(count(*)) OVER (), 6) AS cumulative_pct FROM dd GROUP BY bit_length")
+def delta_bitlen_histogram(spark, sf_dir):
+    c = _events_compressed(spark, sf_dir, in_order=True)
+    return analysis.bit_length_histogram(encode.deltas(settle(encode.sort_keys(c.bases, c.info, c.layout, c.order), "keys"))).withColumn("cumulative_pct", F.round("cumulative_pct", 6))
+
+
+# analyses
+
+
+@query(
+    _with(*_EVENTS_BASED)
+    + """SELECT count(*) AS n_ids, round(-sum(p * log2(p)), 6) AS id_entropy, (SELECT count(*) FROM (SELECT DISTINCT v0, v1 FROM based)) AS n_deviations,
+    (SELECT round(-sum(q * log2(q)), 6) FROM (SELECT count(*)::DOUBLE / (SELECT count(*) FROM based) AS q FROM based GROUP BY v0, v1)) AS deviation_entropy
+    FROM (SELECT count(*)::DOUBLE / (SELECT count(*) FROM based) AS p FROM based GROUP BY base_id)"""
+)
+def id_deviation_entropy(spark, sf_dir):
+    c = _events_compressed(spark, sf_dir)
+    return analysis.id_deviation_entropy(c.rows, list(EVENTS)).select("n_ids", F.round("id_entropy", 6).alias("id_entropy"), "n_deviations", F.round("deviation_entropy", 6).alias("deviation_entropy"))
+
+
+@query(_with(*_EVENTS_BASED) + "SELECT base_id AS value, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, base_id) AS rank FROM based GROUP BY base_id")
+def base_id_frequencies(spark, sf_dir):
+    return analysis.frequencies(_events_compressed(spark, sf_dir).rows, "base_id")
+
+
+@query()
+def delta_tier_plan(spark, sf_dir):
+    c = _events_compressed(spark, sf_dir, in_order=True)
+    histogram = analysis.bit_length_histogram(encode.deltas(settle(encode.sort_keys(c.bases, c.info, c.layout, c.order), "keys")))
+    return analysis.tier_plans(spark, {r["bit_length"]: r["cnt"] for r in histogram.collect()})
+
+
+@query()
+def compression_metrics_lineitem(spark, sf_dir):
+    rows, info = _lineitem(spark, sf_dir, LINEITEM)
+    c = compress_normalized(settle(rows, "lineitem"), info, Plan(m_max=None))
+    s = c.sizes()
+    return spark.createDataFrame([(c.n_bases, s.size_bases, s.size_deviations, s.size_ids, s.size_params, s.total, info.original_size_bits / s.total)], "num_bases long, size_bases long, size_deviations long, size_ids long, size_params long, total_size long, ratio double")
+
+
+# images: pixels made from numbers, alike in both engines
+
+_PIXELS = "px AS (SELECT CAST(i AS INTEGER) AS i, CAST(i % 64 AS INTEGER) AS x, CAST(i // 64 AS INTEGER) AS y, CAST((i * 7 + i // 64 * 13) % 256 AS INTEGER) AS r, CAST((i * 31 + 5) % 256 AS INTEGER) AS g, CAST((i * i) % 256 AS INTEGER) AS b FROM range(4096) t(i))"
+_BYTE = "((({0}) % 256) + 256) % 256"
+_HALF = "(((CASE WHEN ({0}) > 127 THEN ({0}) - 256 ELSE ({0}) END >> 1) % 256) + 256) % 256"
+_YCOCGR = (
+    _PIXELS,
+    f"s1 AS (SELECT *, {_BYTE.format('r - b')} AS co0 FROM px)",
+    f"s2 AS (SELECT *, {_BYTE.format('b + ' + _HALF.format('co0'))} AS t0 FROM s1)",
+    f"s3 AS (SELECT *, {_BYTE.format('g - t0')} AS cg0 FROM s2)",
+    f"yc AS (SELECT i, x, y, {_BYTE.format('t0 + ' + _HALF.format('cg0'))} AS c0, (co0 + 128) % 256 AS c1, (cg0 + 128) % 256 AS c2 FROM s3)",
+)
+
+
+def _pixels(spark: SparkSession) -> DataFrame:
+    i = F.col("id")
+    return spark.range(4096).select(F.lit("made").alias("image"), (i % 64).cast("int").alias("x"), F.floor(i / 64).cast("int").alias("y"), ((i * 7 + F.floor(i / 64) * 13) % 256).cast("int").alias("r"), ((i * 31 + 5) % 256).cast("int").alias("g"), ((i * i) % 256).cast("int").alias("b"))
+
+
+_IMAGE = images.ImageInfo(64, 64, group_width=3, group_height=2)
+
+
+@query(_with(*_YCOCGR) + "SELECT x, y, CAST(c0 AS INTEGER) AS c0, CAST(c1 AS INTEGER) AS c1, CAST(c2 AS INTEGER) AS c2 FROM yc")
+def ycocg_r_pixels(spark, sf_dir):
+    return images.to_channels(_pixels(spark), _IMAGE).drop("image")
+
+
+@query(_with(_PIXELS) + "SELECT x, y, CAST((r >> 2) + (g >> 1) + (b >> 2) AS INTEGER) AS c0, CAST((r >> 1) - (b >> 1) + 128 AS INTEGER) AS c1, CAST((g >> 1) - (r >> 2) - (b >> 2) + 128 AS INTEGER) AS c2 FROM px")
+def ycocg_pixels(spark, sf_dir):
+    return images.to_channels(_pixels(spark), images.ImageInfo(64, 64, color_model="ycocg")).drop("image")
+
+
+@query(_with(_PIXELS) + "SELECT x, y, r, g, b FROM px")
+def image_roundtrip(spark, sf_dir):
+    """Colour model, grouping, base table, join, ungrouping, inverse colour model."""
+    rows, info = images.group_pixels(_pixels(spark), _IMAGE)
+    c = compress_normalized(settle(rows.drop("image", "gx", "gy"), "groups"), info, Plan(method="adaptive", decay=0.45, patience=5, m_max=None, in_order=True, block_rows=_IMAGE.grid[0]))
+    return images.ungroup_pixels(c.normalized(), _IMAGE, "made").drop("image")
+
+
+def _group_sql(first: str) -> str:
+    return _with(*_YCOCGR, "cells AS (SELECT x // 3 AS gx, y // 2 AS gy, (y % 2) * 3 + x % 3 AS p, c0 FROM yc)", "grid AS (SELECT gx, gy, p FROM range(22) a(gx), range(32) b(gy), range(6) c(p))", "full_cells AS (SELECT grid.gx, grid.gy, grid.p, coalesce(c0, 0) AS v FROM grid LEFT JOIN cells USING (gx, gy, p))", "arr AS (SELECT gx, gy, list(v ORDER BY p) AS a FROM full_cells GROUP BY gx, gy)") + first
+
+
+@query(_group_sql("SELECT CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy, CAST(a[1] AS BIGINT) AS c0_0, " + ", ".join(f"CAST(CASE WHEN a[{i + 1}] >= a[1] THEN 2 * (a[{i + 1}] - a[1]) ELSE 2 * (a[1] - a[{i + 1}]) - 1 END AS BIGINT) AS c0_{i}" for i in range(1, 6)) + " FROM arr"))
+def pixel_group_for_first(spark, sf_dir):
+    return images.group_pixels(_pixels(spark), _IMAGE)[0].select("gx", "gy", *[f"c0_{i}" for i in range(6)])
+
+
+@query(_group_sql("SELECT CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy, CAST(list_min(a) AS BIGINT) AS c0_0, CAST(list_position(a, list_min(a)) - 1 AS BIGINT) AS c0_1, " + ", ".join(f"CAST(CASE WHEN {i} < list_position(a, list_min(a)) - 1 THEN a[{i + 1}] ELSE a[{i + 2}] END - list_min(a) AS BIGINT) AS c0_{i + 2}" for i in range(5)) + " FROM arr"))
+def pixel_group_for_min(spark, sf_dir):
+    info = images.ImageInfo(64, 64, grouping="for_min", group_width=3, group_height=2)
+    return images.group_pixels(_pixels(spark), info)[0].select("gx", "gy", *[f"c0_{i}" for i in range(7)])
+
+
+@query(_group_sql("SELECT CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy, " + ", ".join(f"CAST(a[{i + 1}] AS BIGINT) AS c0_{i}" for i in range(6)) + " FROM arr"))
+def pixel_group_raw(spark, sf_dir):
+    info = images.ImageInfo(64, 64, grouping="raw", group_width=3, group_height=2)
+    return images.group_pixels(_pixels(spark), info)[0].select("gx", "gy", *[f"c0_{i}" for i in range(6)])
+
+
+@query(_with(_PIXELS) + "SELECT CAST(x - 10 AS INTEGER) AS x, CAST(y - 20 AS INTEGER) AS y, r, g, b FROM px WHERE x BETWEEN 10 AND 30 AND y BETWEEN 20 AND 25")
+def crop_blocks(spark, sf_dir):
+    """Only the groups that cover the crop are decoded."""
+    rows, _ = images.group_pixels(_pixels(spark), _IMAGE)
+    some = rows.where(images.crop_groups(_IMAGE, 10, 20, 30, 25)).drop("gx", "gy")
+    return images.crop_pixels(images.ungroup_pixels(some, _IMAGE), 10, 20, 30, 25).drop("image")
+
+
+@query("SELECT CAST(i - 300 AS INTEGER) AS v, CAST(CASE WHEN i >= 300 THEN 2 * (i - 300) ELSE 2 * (300 - i) - 1 END AS INTEGER) AS z, CAST(i - 300 AS INTEGER) AS back FROM range(601) t(i)")
+def zigzag(spark, sf_dir):
+    v = spark.range(601).select((F.col("id") - 300).cast("int").alias("v")).withColumn("z", numbers.zigzag_encode(F.col("v")))
+    return v.withColumn("back", numbers.zigzag_decode(F.col("z")))
