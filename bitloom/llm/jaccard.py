@@ -97,8 +97,10 @@ def _from_five(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-DEALT = "part int, doc_id long, sid long, other long, n long, sids binary, counts binary, tokens binary"
-_DEALT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("sid", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("sids", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
+DEALT = "part int, doc_id long, sid long, other long, n long, sets binary, counts binary, tokens binary"
+_DEALT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("sid", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("sets", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
+#: A packed set: its name and its number of shingles.
+_SET = np.dtype([("sid", "<i8"), ("n", "<u4")])
 
 
 def _deal(parts: int):
@@ -141,65 +143,124 @@ def _deal(parts: int):
                     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
                     counts = np.diff(np.r_[starts, len(cell)]).astype("<u4")
                     cell_part, cell_owner = cell[starts] // len(found), cell[starts] % len(found)
-                    sids = np.array(owners, dtype="<i8")[cell_owner]
+                    sets = np.empty(len(owners), dtype=_SET)
+                    sets["sid"], sets["n"] = owners, sizes
+                    sets = sets[cell_owner]
                     first = np.flatnonzero(np.r_[True, cell_part[1:] != cell_part[:-1]])
                     for a, b in zip(first, [*first[1:], len(starts)], strict=True):
                         s, c, t = packed[int(cell_part[a])]
-                        s.append(sids[a:b].tobytes())
+                        s.append(sets[a:b].tobytes())
                         c.append(counts[a:b].tobytes())
                         t.append(tokens[starts[a] : starts[b] if b < len(starts) else len(cell)].tobytes())
                 at = stop
-            out = [{"part": (sid or 0) % parts, "doc_id": d, "sid": sid, "other": o, "n": n, "sids": None, "counts": None, "tokens": None} for d, sid, o, n in members]
-            out += [{"part": p, "doc_id": None, "sid": None, "other": None, "n": None, "sids": b"".join(s), "counts": b"".join(c), "tokens": b"".join(t)} for p, (s, c, t) in packed.items()]
+            out = [{"part": (sid or 0) % parts, "doc_id": d, "sid": sid, "other": o, "n": n, "sets": None, "counts": None, "tokens": None} for d, sid, o, n in members]
+            out += [{"part": p, "doc_id": None, "sid": None, "other": None, "n": None, "sets": b"".join(s), "counts": b"".join(c), "tokens": b"".join(t)} for p, (s, c, t) in packed.items()]
             yield pa.RecordBatch.from_pylist(out, schema=_DEALT)
 
     return rows
 
 
-INDEXED = "doc_id long, sid long, other long, n long, shared long, tokens binary, dfs binary"
-_INDEXED = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("tokens", pa.binary()), ("dfs", pa.binary())])
+INDEXED = "bucket int, doc_id long, sid long, other long, n long, sets binary, counts binary, tokens binary, dfs binary"
+_INDEXED = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("sid", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("sets", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("dfs", pa.binary())])
 
 
-def _index(batches):
-    """The rows of one part: documents pass through; for each set its shingles that another set of the part has, with their list lengths."""
-    sids, counts, tokens, part = [], [], [], None
+def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal values."""
+    if not len(sorted_values):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    starts = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
+    return starts, np.diff(np.r_[starts, len(sorted_values)])
+
+
+def _index(parts: int):
+    """The rows of one part: documents pass through; the shingles that two sets or more hold go, with their list lengths, to their sets' buckets, packed."""
+
+    def rows(batches):
+        sets, counts, tokens, part = [], [], [], None
+        for batch in batches:
+            packed = batch.column("sets").is_valid().to_numpy(zero_copy_only=False)
+            members = batch.filter(pa.array(~packed))
+            if members.num_rows:
+                blob = pa.nulls(members.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.nulls(members.num_rows, pa.int32()), *(members.column(c) for c in ("doc_id", "sid", "other", "n")), blob, blob, blob, blob], schema=_INDEXED)
+            for p, s, c, t in zip(*(batch.filter(pa.array(packed)).column(c).to_pylist() for c in ("part", "sets", "counts", "tokens")), strict=True):
+                part = p
+                sets.append(np.frombuffer(s, dtype=_SET))
+                counts.append(np.frombuffer(c, dtype="<u4"))
+                tokens.append(_from_five(t))
+        if part is None:
+            return
+        sets, counts, tokens = np.concatenate(sets), np.concatenate(counts).astype(np.int64), np.concatenate(tokens)
+        _, first = np.unique(sets["sid"], return_index=True)  # one set may come from several tasks
+        once = np.zeros(len(sets), dtype=bool)
+        once[first] = True
+        tokens, sets, counts = tokens[np.repeat(once, counts)], sets[once], counts[once]
+        # sets by bucket from here on, so that a bucket's entries are one stretch
+        bucket = _bucket_of(sets["sid"], parts)
+        place = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(place), dtype=np.int64)
+        rank[place] = np.arange(len(place))
+        owner = np.repeat(rank, counts)
+        sets, bucket = sets[place], bucket[place]
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        _, sizes = _runs(tokens)
+        df = np.repeat(sizes, sizes)
+        shared = df > 1
+        tokens, owner, df = tokens[shared] | np.uint64(part << 40), owner[shared], df[shared].astype("<u4")
+        order = np.argsort(owner, kind="stable")
+        tokens, owner, df = tokens[order], owner[order], df[order]
+        starts, sizes = _runs(owner)
+        held, cut = sets[owner[starts]], np.r_[starts, len(owner)]
+        out = []
+        for a, n in zip(*_runs(bucket[owner[starts]]), strict=True):
+            low, high = cut[a], cut[a + n]
+            out.append({"bucket": int(bucket[owner[starts[a]]]), "sets": held[a : a + n].tobytes(), "counts": sizes[a : a + n].astype("<u4").tobytes(), "tokens": tokens[low:high].astype("<u8").tobytes(), "dfs": df[low:high].tobytes()})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=_INDEXED)
+
+    return rows
+
+
+def _bucket_of(sids: np.ndarray, parts: int) -> np.ndarray:
+    return ((sids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+
+
+SURVIVING = "sid long, n long, shared long, tokens binary"
+
+
+def _surviving(batches):
+    """The packed entries of one bucket to its sets of which enough shingles are shared, rarest shingles first."""
+    sets, counts, tokens, dfs = [], [], [], []
     for batch in batches:
-        packed = batch.column("sids").is_valid().to_numpy(zero_copy_only=False)
-        members = batch.filter(pa.array(~packed))
-        if members.num_rows:
-            none = pa.nulls(members.num_rows, pa.int64())
-            blob = pa.nulls(members.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([*(members.column(c) for c in ("doc_id", "sid", "other", "n")), none, blob, blob], schema=_INDEXED)
-        for p, s, c, t in zip(*(batch.filter(pa.array(packed)).column(c).to_pylist() for c in ("part", "sids", "counts", "tokens")), strict=True):
-            part = p
-            sids.append(np.frombuffer(s, dtype="<i8"))
+        for s, c, t, d in zip(*(batch.column(c).to_pylist() for c in ("sets", "counts", "tokens", "dfs")), strict=True):
+            sets.append(np.frombuffer(s, dtype=_SET))
             counts.append(np.frombuffer(c, dtype="<u4"))
-            tokens.append(_from_five(t))
-    if part is None:
+            tokens.append(np.frombuffer(t, dtype="<u8"))
+            dfs.append(np.frombuffer(d, dtype="<u4"))
+    if not sets:
         return
-    sids, counts, tokens = np.concatenate(sids), np.concatenate(counts).astype(np.int64), np.concatenate(tokens)
-    distinct, first = np.unique(sids, return_index=True)  # one set may come from several tasks
-    once = np.zeros(len(sids), dtype=bool)
-    once[first] = True
-    tokens = tokens[np.repeat(once, counts)]
-    owner = np.repeat(np.searchsorted(distinct, sids[once]), counts[once])
-    order = np.argsort(tokens, kind="stable")
+    sets, counts, tokens, dfs = np.concatenate(sets), np.concatenate(counts), np.concatenate(tokens), np.concatenate(dfs)
+    distinct, first, inverse = np.unique(sets["sid"], return_index=True, return_inverse=True)
+    n, owner = sets["n"][first].astype(np.int64), np.repeat(inverse, counts)
+    shared = np.bincount(owner, minlength=len(distinct))
+    enough = SIMILAR[1] * shared >= SIMILAR[0] * n
+    keep = enough[owner]
+    tokens, dfs, owner = tokens[keep], dfs[keep], owner[keep]
+    order = np.lexsort((tokens, dfs, owner))
     tokens, owner = tokens[order], owner[order]
-    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    df = np.repeat(np.diff(np.r_[starts, len(tokens)]), np.diff(np.r_[starts, len(tokens)]))
-    shared = df > 1
-    tokens, owner, df = tokens[shared], owner[shared], df[shared]
-    order = np.argsort(owner, kind="stable")
-    tokens, owner, df = tokens[order] | np.uint64(part << 40), owner[order], df[order].astype("<u4")
-    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, dtype=int)
     out = []
-    for a, b in zip(starts, [*starts[1:], len(owner)], strict=True):
-        out.append({"sid": int(distinct[owner[a]]), "shared": int(b - a), "tokens": tokens[a:b].tobytes(), "dfs": df[a:b].tobytes()})
-        if len(out) == 5000:
-            yield pa.RecordBatch.from_pylist(out, schema=_INDEXED)
+    for a, size in zip(*_runs(owner), strict=True):
+        k = owner[a]
+        out.append({"sid": int(distinct[k]), "n": int(n[k]), "shared": int(size), "tokens": tokens[a : a + size].tobytes()})
+        if len(out) == 2000:
+            yield pa.RecordBatch.from_pylist(out, schema=_SURVIVING)
             out = []
     if out:
-        yield pa.RecordBatch.from_pylist(out, schema=_INDEXED)
+        yield pa.RecordBatch.from_pylist(out, schema=_SURVIVING)
+
+
+_SURVIVING = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("tokens", pa.binary())])
 
 
 # step 3
@@ -211,10 +272,8 @@ def _prefixes(parts: int):
     def rows(batches):
         for batch in batches:
             table, tokens, of = [], [], []
-            for sid, n, shared, t, d in zip(*(batch.column(c).to_pylist() for c in ("sid", "n", "shared", "tokens", "dfs")), strict=True):
-                token, df = np.frombuffer(b"".join(t), dtype="<u8"), np.frombuffer(b"".join(d), dtype="<u4")
-                length = shared - needed(n) + 1
-                chosen = token[np.lexsort((token, df))[:length]]
+            for sid, n, shared, t in zip(*(batch.column(c).to_pylist() for c in ("sid", "n", "shared", "tokens")), strict=True):
+                chosen = np.frombuffer(t, dtype="<u8")[: shared - needed(n) + 1]
                 of.append(np.full(len(chosen), len(table), dtype="<u4"))
                 table.append((sid, n, n - shared))
                 tokens.append(chosen)
@@ -323,8 +382,8 @@ def _search(batches):
 
     links = []
     for rows in tasks():
-        index = [(r, np.frombuffer(b"".join(r[5]), dtype="<u8").tolist()) for r in rows if not r[1]]
-        queries = [(r, np.frombuffer(b"".join(r[5]), dtype="<u8").tolist()) for r in rows if r[1]]
+        index = [(r, np.frombuffer(r[5], dtype="<u8").tolist()) for r in rows if not r[1]]
+        queries = [(r, np.frombuffer(r[5], dtype="<u8").tolist()) for r in rows if r[1]]
         wanted = set().union(*(t for _, t in queries)) if queries else set()
         postings = defaultdict(list)
         for k, (_, tokens) in enumerate(index):
@@ -402,15 +461,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     parts = min(partitions(spark), 1 << 16)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    indexed = settle(rows.mapInArrow(_deal(parts), DEALT).repartitionById(parts, F.col("part")).mapInArrow(_index, INDEXED), "index")
-    members = indexed.where("shared is null").select("doc_id", "sid", "other", "n")
+    indexed = settle(rows.mapInArrow(_deal(parts), DEALT).repartitionById(parts, F.col("part")).mapInArrow(_index(parts), INDEXED), "index")
+    members = indexed.where("bucket is null").select("doc_id", "sid", "other", "n")
     sets = settle(members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.max("n").alias("n"), (F.min("other") != F.max("other")).alias("clash")), "sets")
     if sets.where("clash").head(1):
         raise RuntimeError("two different sets share a 64-bit name")
-    a, b = SIMILAR
-    enough = indexed.where("shared is not null").groupBy("sid").agg(F.sum("shared").alias("shared")).join(sets.select("sid", "n"), "sid").where(b * F.col("shared") >= a * F.col("n"))
-    tokens = indexed.where("shared is not null").select("sid", F.struct("tokens", "dfs").alias("t")).join(enough, "sid").groupBy("sid").agg(F.max("n").alias("n"), F.max("shared").alias("shared"), F.collect_list("t").alias("t"))
-    surviving = settle(tokens.select("sid", "n", "shared", F.col("t.tokens").alias("tokens"), F.col("t.dfs").alias("dfs")), "surviving")
+    packed = indexed.where("bucket is not null").select("bucket", "sets", "counts", "tokens", "dfs")
+    surviving = settle(packed.repartitionById(parts, F.col("bucket")).mapInArrow(_surviving, SURVIVING), "surviving")
     lists = surviving.mapInArrow(_prefixes(parts), "part int, sets binary, tokens binary, of binary").repartitionById(parts, F.col("part")).mapInArrow(_lists, LISTS)
     lists = settle(lists.distinct(), "lists")
     found = _run_search(_star_tasks(lists, surviving.select("sid", "n", "tokens")), "links")
