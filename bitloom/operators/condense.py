@@ -33,10 +33,12 @@ def means(rows: DataFrame, info: DatasetInfo, bits: list[int]) -> DataFrame:
     def value(f):
         if f.bits < 44:
             return (F.col(f"_b_{f.name}") + F.floor(F.col(f"_s_{f.name}") / F.col("weight"))).bitwiseAND(F.lit(signed64(f.mask)))
-        mean = F.expr(f"cast(floor(`_s_{f.name}` / weight) as decimal(20,0))")
-        top = F.lit(str(1 << 63)).cast("decimal(20,0)")
-        pattern = F.when(mean >= top, mean - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(mean).cast("bigint")
-        return F.try_add(F.col(f"_b_{f.name}"), pattern).bitwiseAND(F.lit(signed64(f.mask)))
+        # the sum of two unsigned 64-bit patterns, wrapped: in decimals, then back to a pattern
+        base, whole, half = F.col(f"_b_{f.name}").cast("decimal(22,0)"), F.lit(str(1 << 64)).cast("decimal(22,0)"), F.lit(str(1 << 63)).cast("decimal(22,0)")
+        mean = F.expr(f"cast(floor(`_s_{f.name}` / weight) as decimal(22,0))")
+        total = F.when(base < 0, base + whole).otherwise(base) + mean
+        total = F.when(total >= whole, total - whole).otherwise(total)
+        return F.when(total >= half, total - whole).otherwise(total).cast("bigint").bitwiseAND(F.lit(signed64(f.mask)))
 
     return grouped.select("weight", *[value(f).alias(f.name) for f in info.features])
 

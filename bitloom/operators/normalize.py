@@ -79,11 +79,12 @@ def specify(name: str, spark_type: str, found: dict, options: Options = Options(
         if least < -(1 << 63) or most >= 1 << 63:
             raise InvalidFeatureSpec(f"column {name}: scaled by 10^{options.decimals}, values pass 64 bits")
         if options.floats == "scaled":
-            return Feature(name, dtype, 64, SCALED, fixed_signed_bias(64), options.decimals)
+            return Feature(name, dtype, smallest_unsigned(most - fixed_signed_bias(64)), SCALED, fixed_signed_bias(64), options.decimals)
         return Feature(name, dtype, smallest_unsigned(most - least), SCALED_OFFSET, least, options.decimals)
     signed = dtype.startswith("int")
     if not options.zero_integers:
-        return Feature(name, dtype, width, OFFSET_SIGNED, fixed_signed_bias(width)) if signed else Feature(name, dtype, width)
+        most = int(found["max"])
+        return Feature(name, dtype, smallest_unsigned(most - fixed_signed_bias(width)), OFFSET_SIGNED, fixed_signed_bias(width)) if signed else Feature(name, dtype, smallest_unsigned(most))
     least = int(found["min"])
     return Feature(name, dtype, smallest_unsigned(int(found["max"]) - least), OFFSET_SIGNED if signed else OFFSET_UNSIGNED, least)
 

@@ -15,7 +15,7 @@ from bitloom.errors import MissingSample
 from bitloom.operators import basetable, condense, encode, entropy, normalize, selection
 from bitloom.operators.basetable import Layout
 from bitloom.operators.distinct import DistinctCounter
-from bitloom.operators.ordered import settle
+from bitloom.operators.ordered import settle, with_position
 from bitloom.schema import DatasetInfo
 from bitloom.timing import timed
 
@@ -37,6 +37,8 @@ class Plan:
     delta: str | None = None  # None, unary or fixed; sorts the base table
     counter: DistinctCounter | None = None
     block_rows: int = encode.BLOCK_ROWS
+    #: Store the condensed rows behind the data rows, where containers keep them.
+    append_condensed: bool = False
 
 
 @dataclass
@@ -58,8 +60,8 @@ class Compressed:
         return basetable.merge(self.rows, self.info, self.bases, self.n_bases, check)
 
     def decompress(self, check: bool = False) -> DataFrame:
-        """All rows with their original values."""
-        return normalize.reconstruct(self.normalized(check), self.info)
+        """All data rows with their original values."""
+        return normalize.reconstruct(self.normalized(check).where(F.col("row_idx") < self.info.n), self.info)
 
     def rows_at(self, indices: list[int]) -> DataFrame:
         """The rows with these numbers, ascending, repeated as asked; a number out of range is an error.
@@ -88,6 +90,11 @@ class Compressed:
 
     def analytics(self) -> DataFrame:
         """Condensed rows in original values, with weights; no stored row is read."""
+        if self.condensed is None and self.info.weights:
+            spark = self.rows.sparkSession
+            weights = spark.createDataFrame([(self.info.n + i, w) for i, w in enumerate(self.info.weights)], "row_idx long, weight long")
+            part = Compressed(self.info, self.layout, self.bases, self.rows.where(F.col("row_idx") >= self.info.n), self.n_bases, self.plan)
+            return normalize.reconstruct(part.normalized().join(F.broadcast(weights), "row_idx"), self.info, keep=["weight"])
         if self.condensed is None:
             return self.base_samples()
         return normalize.reconstruct(self.condensed, self.info, keep=["weight"])
@@ -116,9 +123,19 @@ def compress_normalized(rows: DataFrame, info: DatasetInfo, plan: Plan = Plan())
     if plan.m_max is not None:
         with timed("condense"):
             condensed, _ = condense.condense(rows, info, scores, plan.m_max)
+    zeros, ones = entropy.constant_bits(scores)
+    if condensed is not None and plan.append_condensed:
+        condensed = settle(with_position(condensed, [F.col(f"`{f.name}`") for f in info.features], "row_idx", info.n), "condensed")
+        rows = settle(rows.unionByName(condensed.drop("weight")), "appended")
+        weights = [r["weight"] for r in condensed.orderBy("row_idx").select("weight").collect()]
+        info = DatasetInfo(info.features, info.n, weights)
+        # scores stay those of the data; constants that a mean has changed are constants no more
+        zeros, ones = entropy.still_constant(condensed, info, zeros, ones)
+        kept = {*zeros, *ones}
+        scores = [s if not s.constant or s.bit in kept else entropy.BitScore(s.bit, abs(s.ones - 1), s.n) for s in scores]
+        scores = [entropy.BitScore(s.bit, s.n + len(weights) if s.ones == s.n else s.ones, s.n + len(weights)) for s in scores]
     with timed("select"):
         chosen = selection.select(rows, info, scores, plan.method, plan.patience, plan.threshold, plan.decay, plan.counter)
-    zeros, ones = entropy.constant_bits(scores)
     layout = Layout.of(info, chosen.bits, zeros, ones)
     with timed("base table"):
         bases, order = basetable.build(rows, info, layout, plan.in_order or plan.delta is not None)
