@@ -101,6 +101,8 @@ DEALT = "part int, doc_id long, sid long, other long, n long, sets binary, count
 _DEALT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("sid", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("sets", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
 #: A packed set: its name and its number of shingles.
 _SET = np.dtype([("sid", "<i8"), ("n", "<u4")])
+#: Most shingles of one packed entry; larger stretches take several.
+_MOST = (1 << 16) - 1
 
 
 def _deal(parts: int):
@@ -141,11 +143,10 @@ def _deal(parts: int):
                     order = np.argsort(cell, kind="stable")
                     cell, tokens = cell[order], _five_bytes(h[order])
                     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-                    counts = np.diff(np.r_[starts, len(cell)]).astype("<u4")
+                    starts = np.concatenate([np.arange(a, b, _MOST) for a, b in zip(starts, [*starts[1:], len(cell)], strict=True)]) if len(cell) > _MOST else starts
+                    counts = np.diff(np.r_[starts, len(cell)]).astype("<u2")
                     cell_part, cell_owner = cell[starts] // len(found), cell[starts] % len(found)
-                    sets = np.empty(len(owners), dtype=_SET)
-                    sets["sid"], sets["n"] = owners, sizes
-                    sets = sets[cell_owner]
+                    sets = np.array(owners, dtype="<i8")[cell_owner]
                     first = np.flatnonzero(np.r_[True, cell_part[1:] != cell_part[:-1]])
                     for a, b in zip(first, [*first[1:], len(starts)], strict=True):
                         s, c, t = packed[int(cell_part[a])]
@@ -153,15 +154,15 @@ def _deal(parts: int):
                         c.append(counts[a:b].tobytes())
                         t.append(tokens[starts[a] : starts[b] if b < len(starts) else len(cell)].tobytes())
                 at = stop
-            out = [{"part": (sid or 0) % parts, "doc_id": d, "sid": sid, "other": o, "n": n, "sets": None, "counts": None, "tokens": None} for d, sid, o, n in members]
+            out = [{"part": bucket_of(sid or 0, parts), "doc_id": d, "sid": sid, "other": o, "n": n, "sets": None, "counts": None, "tokens": None} for d, sid, o, n in members]
             out += [{"part": p, "doc_id": None, "sid": None, "other": None, "n": None, "sets": b"".join(s), "counts": b"".join(c), "tokens": b"".join(t)} for p, (s, c, t) in packed.items()]
             yield pa.RecordBatch.from_pylist(out, schema=_DEALT)
 
     return rows
 
 
-INDEXED = "bucket int, doc_id long, sid long, other long, n long, sets binary, counts binary, tokens binary, dfs binary"
-_INDEXED = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("sid", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("sets", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("dfs", pa.binary())])
+INDEXED = "bucket int, part int, doc_id long, sid long, other long, n long, sets binary, counts binary, tokens binary, dfs binary"
+_INDEXED = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("sid", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("sets", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("dfs", pa.binary())])
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,86 +174,101 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _index(parts: int):
-    """The rows of one part: documents pass through; the shingles that two sets or more hold go, with their list lengths, to their sets' buckets, packed."""
+    """The rows of one part: documents pass through; the shingles that two sets or more hold go, with their list lengths, to their sets' buckets, packed.
+
+    A document's row is dealt to its set's bucket, so each set's size is packed here once.
+    """
 
     def rows(batches):
-        sets, counts, tokens, part = [], [], [], None
+        sids, counts, tokens, sizes, part = [], [], [], {}, None
         for batch in batches:
             packed = batch.column("sets").is_valid().to_numpy(zero_copy_only=False)
             members = batch.filter(pa.array(~packed))
             if members.num_rows:
-                blob = pa.nulls(members.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.nulls(members.num_rows, pa.int32()), *(members.column(c) for c in ("doc_id", "sid", "other", "n")), blob, blob, blob, blob], schema=_INDEXED)
+                part = members.column("part")[0].as_py()
+                sizes |= {sid: n for sid, n in zip(members.column("sid").to_pylist(), members.column("n").to_pylist(), strict=True) if sid is not None}
+                number, blob = pa.nulls(members.num_rows, pa.int32()), pa.nulls(members.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([number, number, *(members.column(c) for c in ("doc_id", "sid", "other", "n")), blob, blob, blob, blob], schema=_INDEXED)
             for p, s, c, t in zip(*(batch.filter(pa.array(packed)).column(c).to_pylist() for c in ("part", "sets", "counts", "tokens")), strict=True):
                 part = p
-                sets.append(np.frombuffer(s, dtype=_SET))
-                counts.append(np.frombuffer(c, dtype="<u4"))
+                sids.append(np.frombuffer(s, dtype="<i8"))
+                counts.append(np.frombuffer(c, dtype="<u2"))
                 tokens.append(_from_five(t))
-        if part is None:
+        if sizes:
+            known = np.fromiter(sizes.items(), dtype=_SET, count=len(sizes))
+            yield pa.RecordBatch.from_pylist([{"bucket": part, "sets": known.tobytes()}], schema=_INDEXED)
+        if not sids:
             return
-        sets, counts, tokens = np.concatenate(sets), np.concatenate(counts).astype(np.int64), np.concatenate(tokens)
-        _, first = np.unique(sets["sid"], return_index=True)  # one set may come from several tasks
-        once = np.zeros(len(sets), dtype=bool)
-        once[first] = True
-        tokens, sets, counts = tokens[np.repeat(once, counts)], sets[once], counts[once]
-        # sets by bucket from here on, so that a bucket's entries are one stretch
-        bucket = _bucket_of(sets["sid"], parts)
-        place = np.argsort(bucket, kind="stable")
+        sids, counts, tokens = np.concatenate(sids), np.concatenate(counts).astype(np.int64), np.concatenate(tokens)
+        # a set may come from several tasks and in several entries; equal shingles of one set count once
+        names, owner = np.unique(sids, return_inverse=True)
+        bucket = buckets_of(names, parts)
+        place = np.argsort(bucket, kind="stable")  # by bucket from here on, so that a bucket's entries are one stretch
         rank = np.empty(len(place), dtype=np.int64)
         rank[place] = np.arange(len(place))
-        owner = np.repeat(rank, counts)
-        sets, bucket = sets[place], bucket[place]
-        order = np.argsort(tokens, kind="stable")
+        owner, names, bucket = np.repeat(rank[owner], counts), names[place], bucket[place]
+        order = np.lexsort((owner, tokens))
         tokens, owner = tokens[order], owner[order]
-        _, sizes = _runs(tokens)
-        df = np.repeat(sizes, sizes)
+        first = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]
+        tokens, owner = tokens[first], owner[first]
+        _, lengths = _runs(tokens)
+        df = np.repeat(lengths, lengths)
         shared = df > 1
-        tokens, owner, df = tokens[shared] | np.uint64(part << 40), owner[shared], df[shared].astype("<u4")
+        tokens, owner, df = tokens[shared], owner[shared], np.minimum(df[shared], 255).astype(np.uint8)
         order = np.argsort(owner, kind="stable")
         tokens, owner, df = tokens[order], owner[order], df[order]
-        starts, sizes = _runs(owner)
-        held, cut = sets[owner[starts]], np.r_[starts, len(owner)]
-        out = []
+        starts, lengths = _runs(owner)
+        starts = np.concatenate([np.arange(a, a + n, _MOST) for a, n in zip(starts, lengths, strict=True)]) if len(owner) else starts
+        cut = np.r_[starts, len(owner)]
+        held, out = names[owner[starts]], []
         for a, n in zip(*_runs(bucket[owner[starts]]), strict=True):
             low, high = cut[a], cut[a + n]
-            out.append({"bucket": int(bucket[owner[starts[a]]]), "sets": held[a : a + n].tobytes(), "counts": sizes[a : a + n].astype("<u4").tobytes(), "tokens": tokens[low:high].astype("<u8").tobytes(), "dfs": df[low:high].tobytes()})
+            out.append({"bucket": int(bucket[owner[low]]), "part": part, "sets": held[a : a + n].tobytes(), "counts": np.diff(cut[a : a + n + 1]).astype("<u2").tobytes(), "tokens": _five_bytes(tokens[low:high]).tobytes(), "dfs": df[low:high].tobytes()})
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_INDEXED)
 
     return rows
 
 
-def _bucket_of(sids: np.ndarray, parts: int) -> np.ndarray:
+def buckets_of(sids: np.ndarray, parts: int) -> np.ndarray:
     return ((sids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
 
 
+def bucket_of(sid: int, parts: int) -> int:
+    return ((sid * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 33) % parts
+
+
 SURVIVING = "sid long, n long, shared long, tokens binary"
 
 
 def _surviving(batches):
     """The packed entries of one bucket to its sets of which enough shingles are shared, rarest shingles first."""
-    sets, counts, tokens, dfs = [], [], [], []
+    known, sids, counts, tokens, dfs = [], [], [], [], []
     for batch in batches:
-        for s, c, t, d in zip(*(batch.column(c).to_pylist() for c in ("sets", "counts", "tokens", "dfs")), strict=True):
-            sets.append(np.frombuffer(s, dtype=_SET))
-            counts.append(np.frombuffer(c, dtype="<u4"))
-            tokens.append(np.frombuffer(t, dtype="<u8"))
-            dfs.append(np.frombuffer(d, dtype="<u4"))
-    if not sets:
+        for p, s, c, t, d in zip(*(batch.column(c).to_pylist() for c in ("part", "sets", "counts", "tokens", "dfs")), strict=True):
+            if p is None:
+                known.append(np.frombuffer(s, dtype=_SET))
+                continue
+            sids.append(np.frombuffer(s, dtype="<i8"))
+            counts.append(np.frombuffer(c, dtype="<u2"))
+            tokens.append(_from_five(t) | np.uint64(p << 40))
+            dfs.append(np.frombuffer(d, dtype=np.uint8))
+    if not sids:
         return
-    sets, counts, tokens, dfs = np.concatenate(sets), np.concatenate(counts), np.concatenate(tokens), np.concatenate(dfs)
-    distinct, first, inverse = np.unique(sets["sid"], return_index=True, return_inverse=True)
-    n, owner = sets["n"][first].astype(np.int64), np.repeat(inverse, counts)
-    shared = np.bincount(owner, minlength=len(distinct))
-    enough = SIMILAR[1] * shared >= SIMILAR[0] * n
-    keep = enough[owner]
+    known = np.concatenate(known)
+    known = known[np.argsort(known["sid"])]
+    names, inverse = np.unique(np.concatenate(sids), return_inverse=True)
+    n = known["n"][np.searchsorted(known["sid"], names)].astype(np.int64)
+    tokens, dfs, owner = np.concatenate(tokens), np.concatenate(dfs), np.repeat(inverse, np.concatenate(counts))
+    shared = np.bincount(owner, minlength=len(names))
+    keep = (SIMILAR[1] * shared >= SIMILAR[0] * n)[owner]
     tokens, dfs, owner = tokens[keep], dfs[keep], owner[keep]
     order = np.lexsort((tokens, dfs, owner))
     tokens, owner = tokens[order], owner[order]
     out = []
     for a, size in zip(*_runs(owner), strict=True):
         k = owner[a]
-        out.append({"sid": int(distinct[k]), "n": int(n[k]), "shared": int(size), "tokens": tokens[a : a + size].tobytes()})
+        out.append({"sid": int(names[k]), "n": int(n[k]), "shared": int(size), "tokens": tokens[a : a + size].tobytes()})
         if len(out) == 2000:
             yield pa.RecordBatch.from_pylist(out, schema=_SURVIVING)
             out = []
@@ -466,7 +482,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sets = settle(members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.max("n").alias("n"), (F.min("other") != F.max("other")).alias("clash")), "sets")
     if sets.where("clash").head(1):
         raise RuntimeError("two different sets share a 64-bit name")
-    packed = indexed.where("bucket is not null").select("bucket", "sets", "counts", "tokens", "dfs")
+    packed = indexed.where("bucket is not null").select("bucket", "part", "sets", "counts", "tokens", "dfs")
     surviving = settle(packed.repartitionById(parts, F.col("bucket")).mapInArrow(_surviving, SURVIVING), "surviving")
     lists = surviving.mapInArrow(_prefixes(parts), "part int, sets binary, tokens binary, of binary").repartitionById(parts, F.col("part")).mapInArrow(_lists, LISTS)
     lists = settle(lists.distinct(), "lists")
