@@ -296,9 +296,9 @@ def random_access_rows(spark, sf_dir):
     return _events_compressed(spark, sf_dir).rows_at(parse_rows("0,5,10-20")).withColumnRenamed("row_idx", "event_id")
 
 
-@query("SELECT event_id, user_id, value FROM events WHERE event_id BETWEEN 100 AND 3000")
+@query("SELECT event_id, user_id, value FROM events WHERE event_id BETWEEN 100 AND 900")
 def range_access_rows(spark, sf_dir):
-    return _events_compressed(spark, sf_dir).rows_between([(100, 3000)]).withColumnRenamed("row_idx", "event_id")
+    return _events_compressed(spark, sf_dir).rows_between([(100, 900)]).withColumnRenamed("row_idx", "event_id")
 
 
 # condensed samples
