@@ -6,9 +6,9 @@ digits and blanks folded), counts for every host how many distinct documents hol
 line, removes the lines above the limits, and rejects documents of which too little
 remains.
 
-Documents that agree in their smallest line hash are counted once, so copies and
-near copies of one text don't make its lines look like boilerplate; a clean document
-isn't lost because it was copied.
+A line that travels with its whole text is no boilerplate: equal texts count as one
+document, and a line is kept where its texts agree too much beside it, which min-hashes of
+the other lines' four-word windows tell.  So a clean document isn't lost because it was copied.
 
 Edge cases: a null text has no words and fails the base rule; a null host is a host of
 its own; an empty table gives an empty result; repeated rows and ids are judged row by
@@ -31,8 +31,12 @@ MOST_REPEATED_PERCENT = 30
 
 #: A line is boilerplate for a host if more than this many distinct documents hold it ...
 LINE_DOCUMENTS = 20
-#: ... and they are more than this share of the host's documents.
+#: ... that are more than this share of the host's documents ...
 LINE_SHARE = 0.001
+#: ... and at least this share of which differ in a min-hash, for the best of MARKS hashes.
+LEAST_VARIETY = 0.5
+#: Constants that turn one hash into several orders, for min-hashes.
+MARKS = (0, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 #: A document is depleted if less than this share of its words remains.
 LEAST_LEFT = 0.3
 #: Most rows (document, removed lines) that are broadcast; beyond, both sides are shuffled by id.
@@ -100,26 +104,44 @@ def base_rules(docs: DataFrame, keep: dict[str, Column], text_col: str = "text")
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """A row for each line with a word: id, host, key, words, mark; settled, as it is read twice.
-
-    ``mark`` is the document's smallest line hash.
-    """
+    """A row for each line with a word: id, host, key, words, the text's hash and its min-hashes; settled, as it is read again."""
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), normalised), lambda line: line != "").alias("_l"))
-    keyed = kept.select("doc_id", "host", F.transform("_l", lambda line: F.struct(F.xxhash64(line).alias("key"), (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("n"))).alias("_k"))
-    marked = keyed.withColumn("mark", F.array_min(F.transform("_k", lambda k: k["key"])))
-    rows = marked.select("doc_id", "host", "mark", F.explode("_k").alias("k")).select("doc_id", "host", "mark", F.col("k.key").alias("key"), F.col("k.n").alias("n"))
-    return settle(rows, "lines")
+    # what a line holds is found step by step, each from the column before: key, words, hashes of its windows, their minima
+    words_of = lambda line: F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    rows = kept.select("doc_id", "host", F.xxhash64(F.array_join("_l", " ")).alias("copy"), F.transform("_l", lambda line: F.struct(F.xxhash64(line).alias("key"), words_of(line).alias("w"))).alias("_k"))
+    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), F.size(k["w"]).alias("n"), joined_windows(k["w"], 1).alias("w"))))
+    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), k["n"].alias("n"), joined_windows(k["w"], 2).alias("w"))))
+
+    def least(k: Column, seed: int) -> Column:
+        return F.coalesce(F.array_min(F.transform(k["w"], lambda h: h.bitwiseXOR(F.lit(seed)))), k["key"].bitwiseXOR(F.lit(seed)))
+
+    marks = [f"m{i}" for i in range(len(MARKS))]
+    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), k["n"].alias("n"), *[least(k, c).alias(m) for c, m in zip(MARKS, marks, strict=True)])))
+
+    def two_smallest(mark: str) -> Column:
+        return F.slice(F.array_sort(F.array_distinct(F.transform("_k", lambda k: k[mark]))), 1, 2).alias(f"_{mark}")
+
+    each = rows.select("doc_id", "host", "copy", *[two_smallest(m) for m in marks], F.explode("_k").alias("k"))
+    # the smallest among the other lines
+    beside = [F.when(F.col(f"k.{m}") == F.get(f"_{m}", F.lit(0)), F.coalesce(F.get(f"_{m}", F.lit(1)), F.col("copy"))).otherwise(F.get(f"_{m}", F.lit(0))).alias(m) for m in marks]
+    return settle(each.select("doc_id", "host", F.col("k.key").alias("key"), F.col("k.n").alias("n"), "copy", *beside), "lines")
 
 
 def frequent_lines(lines: DataFrame, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE) -> DataFrame:
     """Host and key of the lines that too many distinct documents of the host hold, with that count.
 
-    Counted over all rows of :func:`line_table`; only (host, key, mark) is shuffled, made distinct before.
+    All rows are counted, combined before the shuffle; distinct documents only for lines
+    that occur often enough at all.
     """
-    counts = lines.select("host", "key", "mark").distinct().groupBy("host", "key").agg(F.count("*").alias("n_docs"))
-    hosts = lines.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "of")
-    over = counts.where(F.col("n_docs") > line_documents).join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_docs") > line_share * F.col("host_docs"))
-    return over.select("host", "key", "n_docs")
+    often = lines.groupBy("host", "key").agg(F.count("*").alias("occurrences")).where(F.col("occurrences") > line_documents)
+    often = settle(often.select(F.col("host").alias("of"), F.col("key").alias("frequent")), "often")
+    some = lines.join(often, F.col("host").eqNullSafe(F.col("of")) & (F.col("key") == F.col("frequent")))
+    marks = [f"m{i}" for i in range(len(MARKS))]
+    counts = some.groupBy("host", "key").agg(F.count_distinct("copy").alias("n_docs"), *[F.count_distinct(m).alias(m) for m in marks])
+    hosts = lines.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "in_host")
+    varied = F.greatest(*marks)
+    over = counts.where((varied > line_documents) & (varied >= LEAST_VARIETY * F.col("n_docs"))).join(hosts, F.col("host").eqNullSafe(F.col("in_host")))
+    return over.where(varied > line_share * F.col("host_docs")).select("host", "key", "n_docs")
 
 
 def removals(lines: DataFrame, frequent: DataFrame) -> DataFrame:
