@@ -48,6 +48,11 @@ def precision_summary(precision: DataFrame) -> DataFrame:
     return precision.where("not is_constant").agg(F.count("*").alias("steps"), F.avg(F.abs(e)).alias("mape"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"))
 
 
+def precision_by_step(traces: DataFrame) -> DataFrame:
+    """Several precision traces averaged step by step."""
+    return traces.groupBy("step").agg(F.count("*").alias("traces"), F.avg("exact").alias("exact"), F.avg("approximate").alias("approximate"), F.avg("abs_error").alias("abs_error"), F.avg("relative_error").alias("relative_error"))
+
+
 def bit_length_histogram(deltas: DataFrame) -> DataFrame:
     """bit_length, cnt and the cumulative per cent; at most one row per length."""
     counts = deltas.groupBy("bit_length").agg(F.count("*").alias("cnt"))

@@ -96,7 +96,8 @@ def assign(rows: DataFrame, info: DatasetInfo, layout: Layout, bases: DataFrame,
     split = rows.select("row_idx", *[base[n].alias(f"_b_{n}") for n in names], *[deviation[n].alias(n) for n in names])
     table = bases.select("base_id", *[F.col(f"`{n}`").alias(f"_t_{n}") for n in names])
     condition = [F.col(f"_b_{n}") == F.col(f"_t_{n}") for n in names if any(info.place(b)[0] == n for b in layout.selected)]
-    joined = _join(split, table, condition, n_bases) if condition else split.crossJoin(F.broadcast(table.limit(1)))
+    # without base bits there is one base, and nothing to join on
+    joined = _join(split, table, condition, n_bases) if condition else split.withColumn("base_id", F.lit(0).cast("bigint"))
     out = joined.select("row_idx", "base_id", *names)
     return out.withColumn("block_id", F.floor(F.col("row_idx") / block)) if block else out
 

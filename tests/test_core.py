@@ -303,3 +303,19 @@ def test_fill_and_csv(spark, tmp_path):
 
 def test_chain():
     assert Chain().then(lambda x: x + 1).then(str)(4) == "5"
+
+
+def test_public_names():
+    import bitloom
+
+    assert all(callable(getattr(bitloom, n)) for n in bitloom.__all__)
+    with pytest.raises(AttributeError):
+        bitloom.nothing
+
+
+def test_no_base_bits(spark):
+    rows, info = bit_rows(spark, MATRIX)
+    layout = basetable.Layout.of(info, [], [], [])
+    bases, _ = basetable.build(rows, info, layout)
+    encoded = basetable.assign(rows, info, layout, bases)
+    assert bases.count() == 1 and basetable.merge(encoded, info, bases).exceptAll(rows).count() == 0
