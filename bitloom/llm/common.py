@@ -2,39 +2,48 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Used where the cluster names no shared folder, as in tests on one machine.
-LOCAL_SCRATCH = "file:///tmp/checkpoints"
+from bitloom.operators.ordered import scratch, settle
 
+__all__ = ["freeing", "partitions", "remainder", "scratch", "settle", "table", "text_blocks"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors and the driver share, from ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
 
+def release_memory() -> None:
+    """Give freed memory back to the system, as a Python worker lives on after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/bitloom/{name}-{uuid.uuid4().hex}"
 
+def freeing(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that releases its memory when its task ends."""
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again.
+    def run(batches):
+        yield from rows(batches)
+        release_memory()
 
-    This cuts the lineage: what follows survives the loss of an executor without
-    running the stages before it again.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return run
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete ``path`` recursively through Spark's file system layer."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def text_blocks(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, list]]:
+    """Stretches of a batch (from, to, values of a text column) of about ``most_bytes`` bytes of text, so that few texts are in memory twice."""
+    values = batch.column(column)
+    upto = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(values):
+        before = upto[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(upto, before + most_bytes, side="right")))
+        yield at, stop, values.slice(at, stop - at).to_pylist()
+        at = stop
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bitloom.llm.common import settle
+from bitloom.llm.common import freeing, settle
 
 #: Up to this many edges are solved by one task with a union-find; more are first contracted in rounds.
 LOCAL_EDGES = 500_000
@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = after
     if mark[0] <= LOCAL_EDGES:
-        return current.coalesce(1).mapInArrow(_union_find, "node long, component long")
+        return current.coalesce(1).mapInArrow(freeing(_union_find), "node long, component long")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bitloom.llm.common import partitions
+from bitloom.llm.common import freeing, partitions
 
 BUCKETS = 128
 #: Offsets of the byte triplets taken from each five-byte window.
@@ -152,4 +152,4 @@ def fingerprint_with_edits(docs: DataFrame, buckets: int = BUCKETS, id_col: str
     copies = F.when(F.col("at") == F.get(first_at, F.col("part")), F.array(own, F.struct(F.get(target, F.col("part")).alias("part"), F.lit(True).alias("is_next")))).otherwise(F.array(own))
     dealt_rows = rows.withColumn("part", dealt).withColumn("to", F.explode(copies)).select("doc_id", "text", "at", F.col("to.part").alias("part"), F.col("to.is_next").alias("is_next"))
     together = dealt_rows.repartitionById(size, F.col("part").cast("int")).sortWithinPartitions("is_next", "at", "text")
-    return together.select("doc_id", "text", "is_next").mapInArrow(_with_next(buckets), RESULT)
+    return together.select("doc_id", "text", "is_next").mapInArrow(freeing(_with_next(buckets)), RESULT)

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bitloom.llm.common import partitions, settle
+from bitloom.llm.common import freeing, partitions, settle, text_blocks
 from bitloom.llm.components import components
 
 WORDS = 5
@@ -48,7 +48,6 @@ BLOCK = 256
 PROBE_COST = 0.02
 #: Most ids to drop that are broadcast.
 BROADCAST_IDS = 1_000_000
-_BLOCK_CHARS = 4_000_000
 _TOKEN = np.uint64((1 << 40) - 1)
 
 
@@ -113,16 +112,10 @@ def _deal(parts: int):
 
         sent: set[int] = set()
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            members, packed = [], defaultdict(lambda: ([], [], []))
-            at = 0
-            while at < len(texts):
-                stop, held = at, 0
-                while stop < len(texts) and held < _BLOCK_CHARS:
-                    held += len(texts[stop])
-                    stop += 1
-                found, owners = [], []
-                for doc_id, text in zip(ids[at:stop], texts[at:stop], strict=True):
+            ids = batch.column("doc_id").to_pylist()
+            for at, stop, texts in text_blocks(batch, "text", 4 << 20):
+                members, packed, found, owners = [], [], [], []
+                for doc_id, text in zip(ids[at:stop], texts, strict=True):
                     h = shingles(text)
                     if not len(h):
                         members.append((doc_id, None, None, 0))
@@ -143,20 +136,14 @@ def _deal(parts: int):
                     order = np.argsort(cell, kind="stable")
                     cell, tokens = cell[order], _five_bytes(h[order])
                     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-                    starts = np.concatenate([np.arange(a, b, _MOST) for a, b in zip(starts, [*starts[1:], len(cell)], strict=True)]) if len(cell) > _MOST else starts
+                    starts = _cut(starts, len(cell))
                     counts = np.diff(np.r_[starts, len(cell)]).astype("<u2")
                     cell_part, cell_owner = cell[starts] // len(found), cell[starts] % len(found)
                     sets = np.array(owners, dtype="<i8")[cell_owner]
                     first = np.flatnonzero(np.r_[True, cell_part[1:] != cell_part[:-1]])
                     for a, b in zip(first, [*first[1:], len(starts)], strict=True):
-                        s, c, t = packed[int(cell_part[a])]
-                        s.append(sets[a:b].tobytes())
-                        c.append(counts[a:b].tobytes())
-                        t.append(tokens[starts[a] : starts[b] if b < len(starts) else len(cell)].tobytes())
-                at = stop
-            out = [{"part": bucket_of(sid or 0, parts), "doc_id": d, "sid": sid, "other": o, "n": n, "sets": None, "counts": None, "tokens": None} for d, sid, o, n in members]
-            out += [{"part": p, "doc_id": None, "sid": None, "other": None, "n": None, "sets": b"".join(s), "counts": b"".join(c), "tokens": b"".join(t)} for p, (s, c, t) in packed.items()]
-            yield pa.RecordBatch.from_pylist(out, schema=_DEALT)
+                        packed.append({"part": int(cell_part[a]), "sets": sets[a:b].tobytes(), "counts": counts[a:b].tobytes(), "tokens": tokens[starts[a] : starts[b] if b < len(starts) else len(cell)].tobytes()})
+                yield pa.RecordBatch.from_pylist([{"part": bucket_of(sid or 0, parts), "doc_id": d, "sid": sid, "other": o, "n": n} for d, sid, o, n in members] + packed, schema=_DEALT)
 
     return rows
 
@@ -173,6 +160,14 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(sorted_values)])
 
 
+def _cut(starts: np.ndarray, end: int) -> np.ndarray:
+    """Starts of stretches of at most _MOST entries."""
+    sizes = np.diff(np.r_[starts, end])
+    if not len(sizes) or sizes.max() <= _MOST:
+        return starts
+    return np.concatenate([np.arange(a, a + n, _MOST) for a, n in zip(starts, sizes, strict=True)])
+
+
 def _index(parts: int):
     """The rows of one part: documents pass through; the shingles that two sets or more hold go, with their list lengths, to their sets' buckets, packed.
 
@@ -206,9 +201,11 @@ def _index(parts: int):
         place = np.argsort(bucket, kind="stable")  # by bucket from here on, so that a bucket's entries are one stretch
         rank = np.empty(len(place), dtype=np.int64)
         rank[place] = np.arange(len(place))
-        owner, names, bucket = np.repeat(rank[owner], counts), names[place], bucket[place]
+        owner, names, bucket = np.repeat(rank[owner].astype(np.int32), counts), names[place], bucket[place]
+        del sids, counts
         order = np.lexsort((owner, tokens))
         tokens, owner = tokens[order], owner[order]
+        del order
         first = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]
         tokens, owner = tokens[first], owner[first]
         _, lengths = _runs(tokens)
@@ -217,8 +214,7 @@ def _index(parts: int):
         tokens, owner, df = tokens[shared], owner[shared], np.minimum(df[shared], 255).astype(np.uint8)
         order = np.argsort(owner, kind="stable")
         tokens, owner, df = tokens[order], owner[order], df[order]
-        starts, lengths = _runs(owner)
-        starts = np.concatenate([np.arange(a, a + n, _MOST) for a, n in zip(starts, lengths, strict=True)]) if len(owner) else starts
+        starts = _cut(_runs(owner)[0], len(owner))
         cut = np.r_[starts, len(owner)]
         held, out = names[owner[starts]], []
         for a, n in zip(*_runs(bucket[owner[starts]]), strict=True):
@@ -427,7 +423,7 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
 def _run_search(rows: DataFrame, name: str) -> DataFrame:
     """``rows``: task, query, sid, component, n, tokens.  Only links between different components come out."""
     dealt = rows.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "query", "sid")
-    return settle(dealt.mapInArrow(_search, "u long, v long").distinct(), name)
+    return settle(dealt.mapInArrow(freeing(_search), "u long, v long").distinct(), name)
 
 
 def _star_tasks(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -477,14 +473,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     parts = min(partitions(spark), 1 << 16)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    indexed = settle(rows.mapInArrow(_deal(parts), DEALT).repartitionById(parts, F.col("part")).mapInArrow(_index(parts), INDEXED), "index")
+    indexed = settle(rows.mapInArrow(freeing(_deal(parts)), DEALT).repartitionById(parts, F.col("part")).mapInArrow(freeing(_index(parts)), INDEXED), "index")
     members = indexed.where("bucket is null").select("doc_id", "sid", "other", "n")
     sets = settle(members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.max("n").alias("n"), (F.min("other") != F.max("other")).alias("clash")), "sets")
     if sets.where("clash").head(1):
         raise RuntimeError("two different sets share a 64-bit name")
     packed = indexed.where("bucket is not null").select("bucket", "part", "sets", "counts", "tokens", "dfs")
-    surviving = settle(packed.repartitionById(parts, F.col("bucket")).mapInArrow(_surviving, SURVIVING), "surviving")
-    lists = surviving.mapInArrow(_prefixes(parts), "part int, sets binary, tokens binary, of binary").repartitionById(parts, F.col("part")).mapInArrow(_lists, LISTS)
+    surviving = settle(packed.repartitionById(parts, F.col("bucket")).mapInArrow(freeing(_surviving), SURVIVING), "surviving")
+    lists = surviving.mapInArrow(freeing(_prefixes(parts)), "part int, sets binary, tokens binary, of binary").repartitionById(parts, F.col("part")).mapInArrow(freeing(_lists), LISTS)
     lists = settle(lists.distinct(), "lists")
     found = _run_search(_star_tasks(lists, surviving.select("sid", "n", "tokens")), "links")
     labels = settle(components(found), "labels")

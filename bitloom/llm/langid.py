@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from bitloom.llm.common import freeing, text_blocks
+
 UNKNOWN = "und"
 #: Symbols: 0 separates words, 1 is any rare letter, the others are frequent letters.
 SYMBOL_BITS = 6
@@ -168,18 +169,6 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], list[float
     return names, [float(s) if ok else 0.0 for s, ok in zip(score, lettered, strict=True)]
 
 
-def blocks(texts: list, most_chars: int = _BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Slices of a list of texts that hold about ``most_chars`` characters each."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "") + 1
-        if held >= most_chars:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
     """Build the model from a bounded sample: per language at most ``SAMPLE_DOCS`` texts, ``SAMPLE_PER_DOC`` characters of each.
 
@@ -208,10 +197,9 @@ def identify(docs: DataFrame, model: dict, keep: list[str], text_col: str = "tex
 
     def rows(batches):
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
             names, scores = [], []
-            for a, b in blocks(texts):
-                n, s = predict(texts[a:b], shared.value)
+            for _, _, texts in text_blocks(batch, "_text", 2 << 20):
+                n, s = predict(texts, shared.value)
                 names += n
                 scores += s
             kept = [batch.column(c) for c in keep]
@@ -219,4 +207,4 @@ def identify(docs: DataFrame, model: dict, keep: list[str], text_col: str = "tex
 
     chosen = docs.select(*keep, F.col(text_col).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(rows, f"{fields}, lang_pred string, score double")
+    return chosen.mapInArrow(freeing(rows), f"{fields}, lang_pred string, score double")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bitloom.llm.common import settle
+from bitloom.llm.common import freeing, settle, text_blocks
 
 CAPACITY = 2048
 END_ID = 0
@@ -34,9 +34,8 @@ END_ID = 0
 GROUP = 1 << 16
 #: Pieces up to one of these lengths are held back to the end.
 SHORT = (128, 256, 64, CAPACITY)
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 800_000
-_BLOCK_CHARS = 4_000_000
+#: Words whose ids a worker remembers, besides as many that it remembered before.
+CACHED_WORDS = 150_000
 
 LATIN = re.compile("[\x00-\xff]*")
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
@@ -62,6 +61,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
 
     def _plain(self, word: str) -> bytes:
         """Ids of a plain word; the model wants its UTF-8 bytes spelled as letters."""
@@ -69,15 +69,18 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def learn(self, new: set[str]) -> None:
-        known, hard = self.known, []
+        known, before, hard = self.known, self.before, []
         for w in new:
+            if (ids := before.get(w)) is not None:
+                known[w] = ids
+                continue
             m = PLAIN.fullmatch(w)
             if m is None:
                 hard.append(w)
                 continue
             word, rest = m.groups()
             if (ids := known.get(word)) is None:
-                ids = known[word] = self._plain(word)
+                ids = known[word] = before.get(word) or self._plain(word)
             if rest:
                 if (after := known.get(rest)) is None:
                     after = known[rest] = self._whole([rest])[0]
@@ -96,7 +99,7 @@ class WordEncoder:
                 t = t.lower()
             parts.append(t.replace("\n", " ").split(" "))
         if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
+            self.known, self.before = {"": b""}, self.known  # words in use come back from there
         self.learn(set().union(*parts).difference(self.known))
         known = self.known.__getitem__
         return [b"".join(map(known, p)) for p in parts]
@@ -122,25 +125,19 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         words = encoder(tokenizer_path)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            out, at = [], 0
-            while at < len(texts):
-                stop, held = at, 0
-                while stop < len(texts) and held < _BLOCK_CHARS:
-                    held += len(texts[stop])
-                    stop += 1
-                for doc_id, coded in zip(ids[at:stop], words.encode(texts[at:stop]), strict=True):
+            ids, out = batch.column("doc_id").to_pylist(), []
+            for at, stop, texts in text_blocks(batch, "text", 3 << 20):
+                for doc_id, coded in zip(ids[at:stop], words.encode(texts), strict=True):
                     coded += end
                     for k, b in enumerate(range(0, len(coded), 4 * capacity)):
                         part = coded[b : b + 4 * capacity]
                         out.append((doc_id, k, b // 4, len(part) // 4, zlib.crc32(part)))
-                at = stop
             if out:
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return chosen.mapInArrow(rows, PIECES)
+    return chosen.mapInArrow(freeing(rows), PIECES)
 
 
 def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +193,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
         yield from table.combine_chunks().to_batches()
 
     hashed = pieces.withColumn("_order", F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("_group", F.pmod(F.xxhash64("_order"), F.lit(groups)).cast("int"))
-    return hashed.repartitionById(groups, F.col("_group")).mapInArrow(rows, f"{PIECES}, sequence_id long, offset long")
+    return hashed.repartitionById(groups, F.col("_group")).mapInArrow(freeing(rows), f"{PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from bitloom.llm.common import freeing, text_blocks
+
 
 #: Bounds of the sample the model is fitted on: documents, and characters over all of them.
 TRAIN_DOCS = 8_000
@@ -161,11 +163,11 @@ def detect(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text"
     def rows(batches):
         weights, bias = WordWeights(shared.value["weights"]), shared.value["bias"]
         for batch in batches:
-            found = [score(t or "", weights, bias) for t in batch.column("_text").to_pylist()]
+            found = [score(t or "", weights, bias) for _, _, texts in text_blocks(batch, "_text") for t in texts]
             scores = [s for s, _ in found]
             kept = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([x for _, x in found], span)], names=[*keep, "score", "predicted", "sentences"])
 
     chosen = docs.select(*keep, F.col(text_col).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(rows, f"{fields}, score double, predicted int, sentences array<struct<start:bigint,end:bigint,score:double>>")
+    return chosen.mapInArrow(freeing(rows), f"{fields}, score double, predicted int, sentences array<struct<start:bigint,end:bigint,score:double>>")

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bitloom.llm.common import freeing
+
 ORDER = 5
 SAMPLE = 20_000
 #: Share of the sample that calibrates and isn't fitted on: one URL of so many.
@@ -169,7 +171,7 @@ def judge(pages: DataFrame, model: dict | None, keep: list[str], url_col: str =
 
     chosen = pages.select(*keep, F.col(url_col).alias("_url"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(rows, f"{fields}, difference double, p_block double")
+    return chosen.mapInArrow(freeing(rows), f"{fields}, difference double, p_block double")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", accepted: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
