@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bitloom.operators.ordered import scratch, settle
 
-__all__ = ["freeing", "partitions", "remainder", "scratch", "settle", "table", "text_blocks"]
+__all__ = ["freeing", "partitions", "parts_for", "remainder", "scratch", "settle", "table", "text_blocks"]
+
+
+#: Most partitions that are made on account of the input's size.
+MOST_PARTS = 1 << 20
 
 
 def release_memory() -> None:
@@ -50,6 +54,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(df: DataFrame, bytes_per_part: int = 16 << 20) -> int:
+    """Partitions for work that holds one in memory: as set for shuffles, and more where the input's size asks for them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))  # joins would multiply estimates
+    return max(partitions(df.sparkSession), min(-(-size // bytes_per_part), MOST_PARTS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

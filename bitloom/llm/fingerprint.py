@@ -19,9 +19,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from bitloom.llm.common import freeing, partitions
+from bitloom.llm.common import freeing, parts_for
 
 BUCKETS = 128
 #: Offsets of the byte triplets taken from each five-byte window.
@@ -29,6 +29,9 @@ TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
 #: Quartile codes three apart count double, as opposite ends seldom meet by chance.
 CODE_COST = np.array([[0, 1, 2, 6], [1, 0, 1, 2], [2, 1, 0, 1], [6, 2, 1, 0]], dtype=np.int64)
 LENGTH_CAP = 32
+#: Input bytes of a range of ids, and most ranges; a range is sorted with spills and then streamed.
+RANGE_BYTES = 128 << 20
+MOST_RANGES = 20_000
 _CHUNK = 1 << 20
 
 
@@ -124,6 +127,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+def _constants(values: list[int]) -> Column:
+    """An array that the optimizer folds to one literal, however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _rank(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending bounds are at most ``value``: among every step-th first, then within the step."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    coarse = F.size(F.filter(_constants(bounds[::step]), lambda b: b <= value))
+    fine = F.size(F.filter(F.slice(_constants(bounds), (coarse - 1) * step + 1, F.lit(step)), lambda b: b <= value))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
+
+
 def fingerprint_with_edits(docs: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digest every text, its edited text (see :func:`edited`) and compare it with the next document's.
 
@@ -131,23 +149,19 @@ def fingerprint_with_edits(docs: DataFrame, buckets: int = BUCKETS, id_col: str
     aggregate; each range's first documents are also sent to the range before, so
     every text crosses the network once and no global order is sorted in one task.
     """
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    lowest = -(1 << 63)
+    n, lowest = min(parts_for(docs, RANGE_BYTES), MOST_RANGES), -(1 << 63)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(lowest)))
     keys = rows.select("at")
-    bounds = keys.agg(F.percentile_approx("at", [i / n for i in range(1, n)] or [0.5], F.lit(100 * n)).alias("q")).first()["q"]
+    bounds = keys.agg(F.percentile_approx("at", [i / n for i in range(1, n)] or [0.5], F.lit(min(100 * n, 200_000))).alias("q")).first()["q"]
     bounds = sorted(set(bounds or []))
-    dealt = F.lit(0)
-    if bounds:
-        found = F.array(*[F.lit(b).cast("long") for b in bounds])
-        dealt = F.size(F.filter(found, lambda b: b <= F.col("at")))
+    dealt = _rank(bounds, F.col("at"))
     firsts = sorted((r["part"], r["first"]) for r in keys.withColumn("part", dealt).groupBy("part").agg(F.min("at").alias("first")).collect())
     before = {part: firsts[i - 1][0] for i, (part, _) in enumerate(firsts)}
     first_of = {part: first for part, first in firsts}
     size = len(bounds) + 1
-    first_at = F.array(*[F.lit(first_of.get(p, lowest)).cast("long") for p in range(size)])
-    target = F.array(*[F.lit(before.get(p, 0)) for p in range(size)])
+    first_at = _constants([first_of.get(p, lowest) for p in range(size)])
+    target = _constants([before.get(p, 0) for p in range(size)]).cast("array<int>")
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("is_next"))
     copies = F.when(F.col("at") == F.get(first_at, F.col("part")), F.array(own, F.struct(F.get(target, F.col("part")).alias("part"), F.lit(True).alias("is_next")))).otherwise(F.array(own))
     dealt_rows = rows.withColumn("part", dealt).withColumn("to", F.explode(copies)).select("doc_id", "text", "at", F.col("to.part").alias("part"), F.col("to.is_next").alias("is_next"))

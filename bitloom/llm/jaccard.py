@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bitloom.llm.common import freeing, partitions, settle, text_blocks
+from bitloom.llm.common import freeing, partitions, parts_for, settle, text_blocks
 from bitloom.llm.components import components
 
 WORDS = 5
@@ -83,7 +83,8 @@ def required(n: int, m: int) -> int:
 
 
 def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int32)
+    """A range of the upper 24 bits; the lower 40 are the shingle's name in its part."""
+    return ((h >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int32)
 
 
 def _five_bytes(h: np.ndarray) -> np.ndarray:
@@ -470,8 +471,7 @@ def _block_tasks(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document; n_copies counts the documents with an equal set."""
-    spark = docs.sparkSession
-    parts = min(partitions(spark), 1 << 16)
+    parts = parts_for(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     indexed = settle(rows.mapInArrow(freeing(_deal(parts)), DEALT).repartitionById(parts, F.col("part")).mapInArrow(freeing(_index(parts)), INDEXED), "index")
     members = indexed.where("bucket is null").select("doc_id", "sid", "other", "n")
