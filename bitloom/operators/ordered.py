@@ -9,12 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Used where the cluster names no shared folder, as in tests on one machine.
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 _ROW_BITS = 33
+_made: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the folder in ``spark.checkpoint.dir``, which executors and driver share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return f"{folder.rstrip('/')}/bitloom/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{folder.rstrip('/')}/bitloom/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process has made, once no frame is read from them any more; returns how many."""
+    gone = 0
+    while _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+    return gone
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -319,3 +319,13 @@ def test_no_base_bits(spark):
     bases, _ = basetable.build(rows, info, layout)
     encoded = basetable.assign(rows, info, layout, bases)
     assert bases.count() == 1 and basetable.merge(encoded, info, bases).exceptAll(rows).count() == 0
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    from bitloom.operators import ordered
+
+    kept, ordered._made[:] = list(ordered._made), []
+    path = ordered.scratch(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert ordered.clear_scratch(spark) == 1 and ordered.clear_scratch(spark) == 0
+    ordered._made[:] = kept
