@@ -7,8 +7,8 @@ line, removes the lines above the limits, and rejects documents of which too lit
 remains.
 
 A line that travels with its whole text is no boilerplate: equal texts count as one
-document, and a line is kept where its texts agree too much beside it, which min-hashes of
-the other lines' four-word windows tell.  So a clean document isn't lost because it was copied.
+document, and a line is kept where its texts agree too much beside it, which min- and max-hashes of
+the other lines' four-word pieces tell.  So a clean document isn't lost because it was copied.
 
 Edge cases: a null text has no words and fails the base rule; a null host is a host of
 its own; an empty table gives an empty result; repeated rows and ids are judged row by
@@ -33,10 +33,10 @@ MOST_REPEATED_PERCENT = 30
 LINE_DOCUMENTS = 20
 #: ... that are more than this share of the host's documents ...
 LINE_SHARE = 0.001
-#: ... and at least this share of which differ in a min-hash, for the best of MARKS hashes.
+#: ... and at least this share of which differ in their min-hash, or in their max-hash.
 LEAST_VARIETY = 0.5
-#: Constants that turn one hash into several orders, for min-hashes.
-MARKS = (0, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
+#: Words of the pieces of lines that are hashed for that.
+PIECE = 4
 #: A document is depleted if less than this share of its words remains.
 LEAST_LEFT = 0.3
 #: Most rows (document, removed lines) that are broadcast; beyond, both sides are shuffled by id.
@@ -104,27 +104,26 @@ def base_rules(docs: DataFrame, keep: dict[str, Column], text_col: str = "text")
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """A row for each line with a word: id, host, key, words, the text's hash and its min-hashes; settled, as it is read again."""
+    """A row for each line with a word: id, host, key, words, the text's hash and the min- and max-hash beside the line; settled, as it is read again."""
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), normalised), lambda line: line != "").alias("_l"))
-    # what a line holds is found step by step, each from the column before: key, words, hashes of its windows, their minima
-    words_of = lambda line: F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    rows = kept.select("doc_id", "host", F.xxhash64(F.array_join("_l", " ")).alias("copy"), F.transform("_l", lambda line: F.struct(F.xxhash64(line).alias("key"), words_of(line).alias("w"))).alias("_k"))
-    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), F.size(k["w"]).alias("n"), joined_windows(k["w"], 1).alias("w"))))
-    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), k["n"].alias("n"), joined_windows(k["w"], 2).alias("w"))))
+    # what a line holds is found step by step, each from the column before: key and words, hashes of its pieces, their extremes
+    rows = kept.select("doc_id", "host", F.xxhash64(F.array_join("_l", " ")).alias("copy"), F.transform("_l", lambda line: F.struct(F.xxhash64(line).alias("key"), F.split(line, " ").alias("w"))).alias("_k"))
 
-    def least(k: Column, seed: int) -> Column:
-        return F.coalesce(F.array_min(F.transform(k["w"], lambda h: h.bitwiseXOR(F.lit(seed)))), k["key"].bitwiseXOR(F.lit(seed)))
+    def pieces(w: Column) -> Column:
+        last = F.floor((F.size(w) - 1) / PIECE).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(w, i * PIECE + 1, F.lit(PIECE))))
 
-    marks = [f"m{i}" for i in range(len(MARKS))]
-    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), k["n"].alias("n"), *[least(k, c).alias(m) for c, m in zip(MARKS, marks, strict=True)])))
+    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), F.size(k["w"]).alias("n"), pieces(k["w"]).alias("p"))))
+    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), k["n"].alias("n"), F.array_min(k["p"]).alias("low"), F.array_max(k["p"]).alias("high"))))
+    distinct = lambda name: F.array_sort(F.array_distinct(F.transform("_k", lambda k: k[name])))
+    each = rows.select("doc_id", "host", "copy", F.slice(distinct("low"), 1, 2).alias("_low"), F.slice(F.reverse(distinct("high")), 1, 2).alias("_high"), F.explode("_k").alias("k"))
 
-    def two_smallest(mark: str) -> Column:
-        return F.slice(F.array_sort(F.array_distinct(F.transform("_k", lambda k: k[mark]))), 1, 2).alias(f"_{mark}")
+    def beside(name: str) -> Column:
+        """The extreme among the other lines; the text's hash if there is none."""
+        first, second = F.get(f"_{name}", F.lit(0)), F.get(f"_{name}", F.lit(1))
+        return F.when(F.col(f"k.{name}") == first, F.coalesce(second, F.col("copy"))).otherwise(first).alias(name)
 
-    each = rows.select("doc_id", "host", "copy", *[two_smallest(m) for m in marks], F.explode("_k").alias("k"))
-    # the smallest among the other lines
-    beside = [F.when(F.col(f"k.{m}") == F.get(f"_{m}", F.lit(0)), F.coalesce(F.get(f"_{m}", F.lit(1)), F.col("copy"))).otherwise(F.get(f"_{m}", F.lit(0))).alias(m) for m in marks]
-    return settle(each.select("doc_id", "host", F.col("k.key").alias("key"), F.col("k.n").alias("n"), "copy", *beside), "lines")
+    return settle(each.select("doc_id", "host", F.col("k.key").alias("key"), F.col("k.n").alias("n"), "copy", beside("low"), beside("high")), "lines")
 
 
 def frequent_lines(lines: DataFrame, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE) -> DataFrame:
@@ -136,10 +135,9 @@ def frequent_lines(lines: DataFrame, line_documents: int = LINE_DOCUMENTS, line_
     often = lines.groupBy("host", "key").agg(F.count("*").alias("occurrences")).where(F.col("occurrences") > line_documents)
     often = settle(often.select(F.col("host").alias("of"), F.col("key").alias("frequent")), "often")
     some = lines.join(often, F.col("host").eqNullSafe(F.col("of")) & (F.col("key") == F.col("frequent")))
-    marks = [f"m{i}" for i in range(len(MARKS))]
-    counts = some.groupBy("host", "key").agg(F.count_distinct("copy").alias("n_docs"), *[F.count_distinct(m).alias(m) for m in marks])
+    counts = some.groupBy("host", "key").agg(F.count_distinct("copy").alias("n_docs"), F.count_distinct("low").alias("low"), F.count_distinct("high").alias("high"))
     hosts = lines.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "in_host")
-    varied = F.greatest(*marks)
+    varied = F.greatest("low", "high")
     over = counts.where((varied > line_documents) & (varied >= LEAST_VARIETY * F.col("n_docs"))).join(hosts, F.col("host").eqNullSafe(F.col("in_host")))
     return over.where(varied > line_share * F.col("host_docs")).select("host", "key", "n_docs")
 
