@@ -35,7 +35,7 @@ GROUP = 1 << 16
 #: Pieces up to one of these lengths are held back to the end.
 SHORT = (128, 256, 64, CAPACITY)
 #: Words whose ids a worker remembers, besides as many that it remembered before.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 500_000
 
 LATIN = re.compile("[\x00-\xff]*")
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
@@ -126,7 +126,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
         words = encoder(tokenizer_path)
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), []
-            for at, stop, texts in text_blocks(batch, "text", 3 << 20):
+            for at, stop, texts in text_blocks(batch, "text", 4 << 20):
                 for doc_id, coded in zip(ids[at:stop], words.encode(texts), strict=True):
                     coded += end
                     for k, b in enumerate(range(0, len(coded), 4 * capacity)):
