@@ -138,7 +138,22 @@ def entropy_order_lineitem(spark, sf_dir):
     return spark.createDataFrame([(i + 1, b) for i, b in enumerate(entropy.entropy_order(entropy.bit_scores(rows, info)))], "rank int, bit int")
 
 
-@query()
+_FEATURE_ORDER = (
+    _N_ORDERS,
+    "nb AS (SELECT f, bit, least(ones, n - ones) AS e, row_number() OVER (PARTITION BY f ORDER BY bit DESC) AS i FROM bits WHERE ones NOT IN (0, n))",
+    """walk AS (SELECT CAST(1 AS BIGINT) AS a, CAST(1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS step, CAST(-1 AS BIGINT) AS bit UNION ALL
+    SELECT CASE WHEN first THEN a + 1 ELSE a END, CASE WHEN first THEN b ELSE b + 1 END, step + 1, CASE WHEN first THEN x ELSE y END
+    FROM (SELECT w.a, w.b, w.step, p.bit AS x, q.bit AS y, q.bit IS NULL OR (p.bit IS NOT NULL AND (p.e > q.e OR (p.e = q.e AND p.bit > q.bit))) AS first
+    FROM walk w LEFT JOIN nb p ON p.f = 0 AND p.i = w.a LEFT JOIN nb q ON q.f = 1 AND q.i = w.b WHERE p.bit IS NOT NULL OR q.bit IS NOT NULL))""",
+    "forder AS (SELECT bit, row_number() OVER (ORDER BY grp, step, bit) AS frank FROM (SELECT bit, 0 AS grp, 0 AS step FROM bits WHERE ones IN (0, n) UNION ALL SELECT bit, 1, step FROM walk WHERE step > 0))",
+)
+
+
+def _recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(ctes) + " "
+
+
+@query(_recursive(*_FEATURE_ORDER) + "SELECT CAST(frank AS INTEGER) AS rank, CAST(bit AS INTEGER) AS bit FROM forder")
 def feature_order_orders(spark, sf_dir):
     rows, info = _orders(spark, sf_dir)
     return spark.createDataFrame([(i + 1, b) for i, b in enumerate(entropy.feature_order(entropy.bit_scores(rows, info), info))], "rank int, bit int")
@@ -191,9 +206,7 @@ def select_bases_threshold(spark, sf_dir):
         _N_NARROW,
         sqltext.curve(4),
         sqltext.sizes(4),
-        f"ent AS (SELECT rank AS k, {sqltext.entropy()} AS e FROM ranked)",
-        "nc AS (SELECT min(e) AS lo, max(e) AS hi FROM ent WHERE k > (SELECT constants FROM dim))",
-        "clus AS (SELECT constants AS pos, (SELECT (hi - lo) * 0.5 FROM nc) AS width, (SELECT total_size FROM sizes WHERE k = constants) AS best FROM dim UNION ALL SELECT nxt, width * 0.5, sz FROM (SELECT c.width, c.best, x.nxt, s.total_size AS sz FROM clus c, LATERAL (SELECT max(b.k) AS nxt FROM ent a, ent b WHERE a.k = c.pos + 1 AND b.k > c.pos AND b.e - a.e <= c.width) x JOIN sizes s ON s.k = x.nxt) WHERE sz < best)",
+        sqltext.clusters(0.5),
         sqltext.greedy("(SELECT max(pos) FROM clus)", 10),
     )
     .strip()
@@ -216,7 +229,10 @@ def select_bases_approximate(spark, sf_dir):
     return _selected(spark, rows, info, scores, method="adaptive", counter=HyperLogLogCounter())
 
 
-@query()
+@query(
+    _with(_N_NARROW, sqltext.curve(4), sqltext.sizes(4), sqltext.greedy_walk("(SELECT constants FROM dim)", 10))
+    + "SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS trial, CAST(k AS INTEGER) AS base_bits, CAST(coalesce((SELECT bit FROM ranked WHERE rank = k), -1) AS INTEGER) AS bit_position, CAST(n_b AS BIGINT) AS num_bases, CAST(size_bases AS BIGINT) AS size_bases, CAST(size_deviations AS BIGINT) AS size_deviations, CAST(size_ids AS BIGINT) AS size_ids, CAST(size_params AS BIGINT) AS size_params, CAST(total_size AS BIGINT) AS total_size FROM marked, ended WHERE k <= stop"
+)
 def selection_trace(spark, sf_dir):
     rows, info, scores, _ = _narrow_curve(spark, sf_dir)
     return selection.trace(spark, selection.select(rows, info, scores, "naive"))
@@ -303,10 +319,20 @@ def range_access_rows(spark, sf_dir):
 
 # condensed samples
 
-_TOP = "tops AS (SELECT bit, f, local_bit, row_number() OVER (ORDER BY CASE WHEN ones IN (0, n) THEN 0 ELSE 1 END, local_bit DESC, bit DESC) AS trank FROM bits)"
+_CONDENSED = (
+    *_FEATURE_ORDER,
+    "fbits AS (SELECT bits.f, bits.local_bit, bits.ones, bits.n, frank FROM bits JOIN forder USING (bit))",
+    "fkeys AS (SELECT DISTINCT key FROM (SELECT row_idx, string_agg(CAST((CASE f WHEN 0 THEN c0 ELSE c1 END >> local_bit) & 1 AS VARCHAR), '' ORDER BY frank) AS key FROM norm, fbits GROUP BY row_idx))",
+    "fcurve AS (SELECT k, count(DISTINCT left(key, k)) AS n_b FROM fkeys, range(0, (SELECT count(*) + 1 FROM bits)) t(k) GROUP BY k)",
+    "fk AS (SELECT coalesce(min(CASE WHEN n_b >= 30 THEN k END), max(k)) AS k FROM fcurve WHERE k >= (SELECT count_if(ones IN (0, n)) FROM bits))",
+    "fmasks AS (SELECT "
+    + ", ".join(f"CAST(coalesce(sum(CASE WHEN f = {i} AND frank <= k THEN (1::BIGINT << local_bit) END), 0) AS BIGINT) AS m{i}, CAST(coalesce(sum(CASE WHEN f = {i} AND frank > k THEN (1::BIGINT << local_bit) END), 0) AS BIGINT) AS d{i}" for i in range(2))
+    + " FROM fbits, fk)",
+    "fsplit AS (SELECT c0 & m0 AS b0, c1 & m1 AS b1, c0 & d0 AS v0, c1 & d1 AS v1, m0 | d0 AS w0, m1 | d1 AS w1 FROM norm, fmasks)",
+)
 
 
-@query()
+@query(_recursive(*_CONDENSED) + "SELECT count(*) AS weight, (b0 + CAST(sum(v0) // count(*) AS BIGINT)) & w0 AS o_custkey, (b1 + CAST(sum(v1) // count(*) AS BIGINT)) & w1 AS o_totalprice FROM fsplit GROUP BY b0, b1, w0, w1")
 def condensed_samples_orders(spark, sf_dir):
     rows, info = _orders(spark, sf_dir)
     return condense.condense(settle(rows, "orders"), info, entropy.bit_scores(rows, info), 30)[0]
@@ -361,7 +387,16 @@ def rle_decode_events(spark, sf_dir):
     return encode.expand_runs(encode.islands(_symbols(spark, sf_dir), ["s"]), ["s"])
 
 
-@query()
+_PAIRS = (
+    _USERS,
+    "pieces AS (SELECT block_id, start + p * 136 AS start, least(136, length - p * 136) AS length FROM islands, range(0, 10) t(p) WHERE p * 136 < length)",
+    "grp AS (SELECT *, sum(CASE WHEN length > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY block_id ORDER BY start) AS pair FROM pieces)",
+    "pr AS (SELECT block_id, pair, max(CASE WHEN length > 1 THEN length END) AS run, count_if(length = 1) AS lit FROM grp GROUP BY block_id, pair)",
+    "per AS (SELECT block_id, CAST(sum(greatest(1, ceil(lit / 135.0))) AS BIGINT) AS pairs, CAST(2 * sum(lit + CASE WHEN run IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS bits FROM pr GROUP BY block_id)",
+)
+
+
+@query(_with(*_PAIRS) + "SELECT CAST(block_id AS BIGINT) AS block_id, pairs, bits, CAST(sum(pairs) OVER (ORDER BY block_id) - pairs AS BIGINT) AS pair_offset, CAST(sum(bits) OVER (ORDER BY block_id) - bits AS BIGINT) AS bit_offset FROM per")
 def rle_offsets_events(spark, sf_dir):
     return encode.pair_offsets(encode.run_pairs(_symbols(spark, sf_dir), ["s"]), 2)
 
@@ -444,12 +479,16 @@ def delta_tier_plan(spark, sf_dir):
     return analysis.tier_plans(spark, {r["bit_length"]: r["cnt"] for r in histogram.collect()})
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + ", ".join((_N_LINEITEM, sqltext.curve(6), sqltext.sizes(6), sqltext.clusters(0.5), sqltext.greedy_walk("(SELECT max(pos) FROM clus)", 10)))
+    + " SELECT CAST(n_b AS BIGINT) AS num_bases, CAST(size_bases AS BIGINT) AS size_bases, CAST(size_deviations AS BIGINT) AS size_deviations, CAST(size_ids AS BIGINT) AS size_ids, CAST(size_params AS BIGINT) AS size_params, CAST(total_size AS BIGINT) AS total_size, round((SELECT n * chunk FROM dim) / total_size::DOUBLE, 6) AS ratio FROM marked, ended WHERE k <= stop ORDER BY total_size, k LIMIT 1"
+)
 def compression_metrics_lineitem(spark, sf_dir):
     rows, info = _lineitem(spark, sf_dir, LINEITEM)
     c = compress_normalized(settle(rows, "lineitem"), info, Plan(m_max=None))
     s = c.sizes()
-    return spark.createDataFrame([(c.n_bases, s.size_bases, s.size_deviations, s.size_ids, s.size_params, s.total, info.original_size_bits / s.total)], "num_bases long, size_bases long, size_deviations long, size_ids long, size_params long, total_size long, ratio double")
+    return spark.createDataFrame([(c.n_bases, s.size_bases, s.size_deviations, s.size_ids, s.size_params, s.total, round(info.original_size_bits / s.total, 6))], "num_bases long, size_bases long, size_deviations long, size_ids long, size_params long, total_size long, ratio double")
 
 
 # images: pixels made from numbers, alike in both engines

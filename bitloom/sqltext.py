@@ -38,12 +38,25 @@ def sizes(columns: int) -> str:
     return f"dim AS (SELECT count(*) AS chunk, max(n) AS n, count_if(ones IN (0, n)) AS constants FROM bits), sizes AS (SELECT k, n_b, n_b * k AS size_bases, n * (chunk - k) AS size_deviations, n * {ident} AS size_ids, 16 * {columns} + 16 + chunk AS size_params, n_b * k + n * (chunk - k) + n * {ident} + 16 * {columns} + 16 + chunk AS total_size FROM curve, dim)"
 
 
-def greedy(start: str, patience: int) -> str:
-    """The selector's answer from ``start`` (a scalar subquery): k, n_b and size of the best prefix before patience ends."""
+def greedy_walk(start: str, patience: int) -> str:
+    """CTEs marked (sizes from ``start`` on, a scalar subquery) and ended (where patience ends)."""
     return f"""walk AS (SELECT s.*, min(total_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sizes s WHERE k >= {start}),
 marked AS (SELECT *, coalesce(max(CASE WHEN total_size < before THEN k END) OVER (ORDER BY k), {start}) AS last_better FROM walk),
-ended AS (SELECT coalesce(min(k), (SELECT max(k) FROM marked)) AS stop FROM marked WHERE k - last_better >= {patience} AND k > {start})
-SELECT CAST(k AS INTEGER) AS k, CAST(n_b AS BIGINT) AS n_b, CAST(total_size AS BIGINT) AS total_size FROM marked, ended WHERE k <= stop ORDER BY total_size, k LIMIT 1"""
+ended AS (SELECT coalesce(min(k), (SELECT max(k) FROM marked)) AS stop FROM marked WHERE k - last_better >= {patience} AND k > {start})"""
+
+
+def greedy(start: str, patience: int) -> str:
+    """The selector's answer: k, n_b and size of the best prefix before patience ends."""
+    return f"{greedy_walk(start, patience)} SELECT CAST(k AS INTEGER) AS k, CAST(n_b AS BIGINT) AS n_b, CAST(total_size AS BIGINT) AS total_size FROM marked, ended WHERE k <= stop ORDER BY total_size, k LIMIT 1"
+
+
+def clusters(decay: float) -> str:
+    """CTEs ent, nc and clus: the prefixes that cluster after cluster commits to (recursive)."""
+    return (
+        f"ent AS (SELECT rank AS k, {entropy()} AS e FROM ranked), nc AS (SELECT min(e) AS lo, max(e) AS hi FROM ent WHERE k > (SELECT constants FROM dim)), "
+        f"clus AS (SELECT constants AS pos, (SELECT (hi - lo) * {decay} FROM nc) AS width, (SELECT total_size FROM sizes WHERE k = constants) AS best FROM dim UNION ALL SELECT nxt, width * {decay}, sz FROM "
+        "(SELECT c.width, c.best, x.nxt, s.total_size AS sz FROM clus c, LATERAL (SELECT max(b.k) AS nxt FROM ent a, ent b WHERE a.k = c.pos + 1 AND b.k > c.pos AND b.e - a.e <= c.width) x JOIN sizes s ON s.k = x.nxt) WHERE sz < best)"
+    )
 
 
 def masks(columns: int, k: int) -> str:
