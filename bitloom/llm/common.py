@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bitloom.operators.ordered import scratch, settle
 
-__all__ = ["freeing", "partitions", "parts_for", "remainder", "scratch", "settle", "table", "text_blocks"]
+__all__ = ["freeing", "partitions", "parts_for", "remainder", "scratch", "settle", "small_batches", "table", "text_blocks"]
 
 
+#: Rows and bytes of a batch where texts or packed shingles go to Python.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 #: Most partitions that are made on account of the input's size.
 MOST_PARTS = 1 << 20
 
@@ -38,6 +41,19 @@ def freeing(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return run
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, jobs hand Python workers batches of the size in BATCHES; both sides hold less memory."""
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def text_blocks(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, list]]:
     """Stretches of a batch (from, to, values of a text column) of about ``most_bytes`` bytes of text, so that few texts are in memory twice."""
     values = batch.column(column)

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bitloom.llm.common import freeing, partitions, parts_for, settle, text_blocks
+from bitloom.llm.common import freeing, partitions, parts_for, settle, small_batches, text_blocks
 from bitloom.llm.components import components
 
 WORDS = 5
@@ -471,6 +471,11 @@ def _block_tasks(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document; n_copies counts the documents with an equal set."""
+    with small_batches(docs.sparkSession):
+        return _link(docs, id_col, text_col)
+
+
+def _link(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = parts_for(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     indexed = settle(rows.mapInArrow(freeing(_deal(parts)), DEALT).repartitionById(parts, F.col("part")).mapInArrow(freeing(_index(parts)), INDEXED), "index")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bitloom.llm.common import freeing, settle, text_blocks
+from bitloom.llm.common import freeing, settle, small_batches, text_blocks
 
 CAPACITY = 2048
 END_ID = 0
@@ -35,7 +35,7 @@ GROUP = 1 << 16
 #: Pieces up to one of these lengths are held back to the end.
 SHORT = (128, 256, 64, CAPACITY)
 #: Words whose ids a worker remembers, besides as many that it remembered before.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 
 LATIN = re.compile("[\x00-\xff]*")
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
@@ -198,4 +198,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize and pack all documents.  The pieces are settled between, so no text is tokenized twice."""
-    return pack(settle(tokenize(docs, tokenizer_path, capacity), "pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        pieces = settle(tokenize(docs, tokenizer_path, capacity), "pieces")
+    return pack(pieces, capacity)
