@@ -35,7 +35,7 @@ GROUP = 1 << 16
 #: Pieces up to one of these lengths are held back to the end.
 SHORT = (128, 256, 64, CAPACITY)
 #: Words whose ids a worker remembers, besides as many that it remembered before.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 
 LATIN = re.compile("[\x00-\xff]*")
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
@@ -74,6 +74,9 @@ class WordEncoder:
             if (ids := before.get(w)) is not None:
                 known[w] = ids
                 continue
+            if w.isascii() and w.isalpha() and w.islower():
+                known[w] = self._plain(w)
+                continue
             m = PLAIN.fullmatch(w)
             if m is None:
                 hard.append(w)
@@ -88,6 +91,10 @@ class WordEncoder:
         for w, ids in zip(hard, self._whole(hard), strict=True):
             known[w] = ids
 
+    def forget(self) -> None:
+        """Drop what is remembered; the worker may idle on beside other stages."""
+        self.known, self.before = {"": b""}, {}
+
     def _whole(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
@@ -109,7 +116,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker, kept from task to task."""
+    """One encoder for each Python worker; the tokenizer is kept from task to task."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
@@ -135,6 +142,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
             if out:
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        words.forget()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return chosen.mapInArrow(freeing(rows), PIECES)
