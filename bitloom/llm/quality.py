@@ -6,9 +6,12 @@ digits and blanks folded), counts for every host how many distinct documents hol
 line, removes the lines above the limits, and rejects documents of which too little
 remains.
 
-A line that travels with its whole text is no boilerplate: equal texts count as one
-document, and a line is kept where its texts agree too much beside it, which min- and max-hashes of
-the other lines' four-word pieces tell.  So a clean document isn't lost because it was copied.
+The limits hold for distinct documents: equal texts count as one, and near copies of one text
+are collapsed first.  What a text has besides frequent lines tells: its own lines are those that are no
+copies with edits of a line of many texts, which min- and max-hashes of each line's four-word windows
+show.  Texts with the same extremes over their own lines count once; texts all whose other lines
+are such copies count as one, and if those are most texts that hold a line, the line travels
+with its whole text and is kept.  How many frequent lines stand beside a line doesn't matter.
 
 Edge cases: a null text has no words and fails the base rule; a null host is a host of
 its own; an empty table gives an empty result; repeated rows and ids are judged row by
@@ -33,9 +36,9 @@ MOST_REPEATED_PERCENT = 30
 LINE_DOCUMENTS = 20
 #: ... that are more than this share of the host's documents ...
 LINE_SHARE = 0.001
-#: ... and at least this share of which differ in their min-hash, or in their max-hash.
+#: ... and at least this share of the texts that hold it have a line of their own, or frequent lines only.
 LEAST_VARIETY = 0.5
-#: Words of the pieces of lines that are hashed for that.
+#: Words of the windows of lines that are hashed for that; a shorter line is one window.
 PIECE = 4
 #: A document is depleted if less than this share of its words remains.
 LEAST_LEFT = 0.3
@@ -104,42 +107,60 @@ def base_rules(docs: DataFrame, keep: dict[str, Column], text_col: str = "text")
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """A row for each line with a word: id, host, key, words, the text's hash and the min- and max-hash beside the line; settled, as it is read again."""
+    """A row for each line with a word: id, host, the text's hash, key, words and the min- and max-hash of the line's windows; settled, as it is read again."""
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), normalised), lambda line: line != "").alias("_l"))
-    # what a line holds is found step by step, each from the column before: key and words, hashes of its pieces, their extremes
-    rows = kept.select("doc_id", "host", F.xxhash64(F.array_join("_l", " ")).alias("copy"), F.transform("_l", lambda line: F.struct(F.xxhash64(line).alias("key"), F.split(line, " ").alias("w"))).alias("_k"))
+    # what a line holds is found step by step, each from the column before: key and hashes of its words, hashes of its windows, their extremes
+    rows = kept.select("doc_id", "host", F.xxhash64(F.array_join("_l", " ")).alias("copy"), F.transform("_l", lambda line: F.struct(F.xxhash64(line).alias("key"), F.transform(F.split(line, " "), lambda w: F.xxhash64(w)).alias("w"))).alias("_k"))
+    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), F.size(k["w"]).alias("n"), joined_windows(k["w"], 1).alias("w"))))
+    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), k["n"].alias("n"), joined_windows(k["w"], PIECE // 2).alias("w"))))
+    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), k["n"].alias("n"), F.coalesce(F.array_min(k["w"]), k["key"]).alias("low"), F.coalesce(F.array_max(k["w"]), k["key"]).alias("high"))))
+    return settle(rows.select("doc_id", "host", "copy", F.inline("_k")), "lines")
 
-    def pieces(w: Column) -> Column:
-        last = F.floor((F.size(w) - 1) / PIECE).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(w, i * PIECE + 1, F.lit(PIECE))))
 
-    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), F.size(k["w"]).alias("n"), pieces(k["w"]).alias("p"))))
-    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), k["n"].alias("n"), F.array_min(k["p"]).alias("low"), F.array_max(k["p"]).alias("high"))))
-    distinct = lambda name: F.array_sort(F.array_distinct(F.transform("_k", lambda k: k[name])))
-    each = rows.select("doc_id", "host", "copy", F.slice(distinct("low"), 1, 2).alias("_low"), F.slice(F.reverse(distinct("high")), 1, 2).alias("_high"), F.explode("_k").alias("k"))
+def of_host(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on the host, which may be null, and ``names``; of ``right`` its other columns stay."""
+    other = right.select(*[F.col(c).alias(f"_{c}" if c in ["host", *names] else c) for c in right.columns])
+    on = F.col("host").eqNullSafe(F.col("_host"))
+    for name in names:
+        on &= F.col(name) == F.col(f"_{name}")
+    return left.join(other, on, how).drop("_host", *[f"_{name}" for name in names])
 
-    def beside(name: str) -> Column:
-        """The extreme among the other lines; the text's hash if there is none."""
-        first, second = F.get(f"_{name}", F.lit(0)), F.get(f"_{name}", F.lit(1))
-        return F.when(F.col(f"k.{name}") == first, F.coalesce(second, F.col("copy"))).otherwise(first).alias(name)
 
-    return settle(each.select("doc_id", "host", F.col("k.key").alias("key"), F.col("k.n").alias("n"), "copy", beside("low"), beside("high")), "lines")
+def labels(texts: DataFrame, over: DataFrame, line_documents: int) -> DataFrame:
+    """For each distinct text that holds a line of ``over``: host, copy and the extremes low and high over its own lines.
+
+    A line is a copy with edits if many texts have a line with the same min-hash, or the same
+    max-hash.  A text of frequent lines only is known by its hash; one without lines of its own by null.
+    """
+    holders = of_host(texts, over.select("host", "key"), ["key"], "left_semi").select("host", "copy").distinct()
+    rows = of_host(texts, holders, ["copy"], "left_semi")
+    rows = of_host(rows, over.select("host", "key", F.lit(True).alias("is_over")), ["key"], "left")
+    for name in ("low", "high"):
+        many = texts.groupBy("host", name).agg(F.count_distinct("copy").alias("_n")).where(F.col("_n") > line_documents)
+        rows = of_host(rows, many.select("host", name, F.lit(True).alias(f"same_{name}")), [name], "left")
+    other = F.col("is_over").isNull()
+    own = other & F.col("same_low").isNull() & F.col("same_high").isNull()
+    found = rows.groupBy("host", "copy").agg(F.min(F.when(own, F.col("low"))).alias("low"), F.max(F.when(own, F.col("high"))).alias("high"), F.count(F.when(other, 1)).alias("others"))
+    only = F.when(F.col("others") == 0, F.col("copy"))
+    return found.select("host", "copy", F.coalesce("low", only).alias("low"), F.coalesce("high", only).alias("high"))
 
 
 def frequent_lines(lines: DataFrame, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE) -> DataFrame:
-    """Host and key of the lines that too many distinct documents of the host hold, with that count.
+    """Host and key of the lines that too many distinct documents of the host hold, with the count of texts.
 
-    All rows are counted, combined before the shuffle; distinct documents only for lines
-    that occur often enough at all.
+    Rows are made distinct by text first, combined before the shuffle.
     """
-    often = lines.groupBy("host", "key").agg(F.count("*").alias("occurrences")).where(F.col("occurrences") > line_documents)
-    often = settle(often.select(F.col("host").alias("of"), F.col("key").alias("frequent")), "often")
-    some = lines.join(often, F.col("host").eqNullSafe(F.col("of")) & (F.col("key") == F.col("frequent")))
-    counts = some.groupBy("host", "key").agg(F.count_distinct("copy").alias("n_docs"), F.count_distinct("low").alias("low"), F.count_distinct("high").alias("high"))
-    hosts = lines.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "in_host")
-    varied = F.greatest("low", "high")
-    over = counts.where((varied > line_documents) & (varied >= LEAST_VARIETY * F.col("n_docs"))).join(hosts, F.col("host").eqNullSafe(F.col("in_host")))
-    return over.where(varied > line_share * F.col("host_docs")).select("host", "key", "n_docs")
+    texts = settle(lines.select("host", "copy", "key", "low", "high").distinct(), "texts")
+    hosts = lines.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    over = texts.groupBy("host", "key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_documents)
+    over = settle(of_host(over, hosts, []).where(F.col("n_docs") > line_share * F.col("host_docs")), "over")
+    held = of_host(texts.select("host", "copy", "key"), over.select("host", "key"), ["key"], "left_semi")
+    known = of_host(held, labels(texts, over, line_documents), ["copy"])
+    counts = known.groupBy("host", "key").agg(F.count("low").alias("own"), F.count_distinct("low").alias("low"), F.count_distinct("high").alias("high"))
+    counts = of_host(counts, over, ["key"])
+    varied = F.least("low", "high") + (F.col("own") < F.col("n_docs")).cast("int")
+    kept = (F.col("own") >= LEAST_VARIETY * F.col("n_docs")) & (varied > line_documents) & (varied > line_share * F.col("host_docs"))
+    return counts.where(kept).select("host", "key", "n_docs")
 
 
 def removals(lines: DataFrame, frequent: DataFrame) -> DataFrame:

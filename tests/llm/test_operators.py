@@ -539,6 +539,28 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert cleaned[3] == "\n".join(x for x in before[3].split("\n") if not x.startswith("All")) and cleaned[205] == copied and "Reserved" in cleaned[301]
 
 
+@pytest.mark.parametrize("own_words", [4, 13, 60])
+def test_templates_of_several_lines_go_and_families_of_copies_stay(spark, own_words):
+    rng = random.Random(own_words)
+    words = [a + b + c for a in "bcdfghkl" for b in "aeiou" for c in "mnprst"]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    template = [line(20) for _ in range(10)]
+    rows = [(i, "\n".join([*template[:5], line(own_words), *template[5:], line(own_words)]), "h") for i in range(100)]
+    rows += [(200 + i, "\n".join(rng.sample(template, 6)), "h") for i in range(30)]  # nothing but the template
+    family = [line(25) for _ in range(12)]
+    for i in range(100):  # near copies: every copy has edits in four of its lines
+        lines = [x.split() for x in family]
+        for k in rng.sample(range(12), 4):
+            at = rng.randrange(25)
+            lines[k][at : at + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+        rows.append((400 + i, "\n".join(" ".join(x) for x in lines), "h"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    verdict = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert {verdict[i]["removed_words"] for i in range(100)} == {200} and {verdict[200 + i]["removed_words"] for i in range(30)} == {120}
+    assert all(verdict[i]["kept"] == (own_words == 60 or 2 * own_words >= 0.3 * (200 + 2 * own_words)) for i in range(100))
+    assert all(verdict[400 + i]["kept"] and verdict[400 + i]["removed_words"] == 0 for i in range(100))
+
+
 def test_quality_edges(odd, empty):
     rows = quality.judge(odd).collect()
     assert len(rows) == odd.count() and not any(r["kept"] for r in rows if r["doc_id"] in (1, 2, 3, 8))
