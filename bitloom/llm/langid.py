@@ -172,21 +172,22 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], list[float
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
     """Build the model from a bounded sample: per language at most ``SAMPLE_DOCS`` texts, ``SAMPLE_PER_DOC`` characters of each.
 
-    The sample is drawn by a hash of the text, so it does not depend on row order.
+    The sample is drawn by a hash of the text among a language's distinct texts, so it depends
+    neither on row order nor on copies.
     """
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().limit(MAX_LANGUAGES + 1).collect()}
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("name"), F.substring(text_col, 1, SAMPLE_PER_DOC).alias("text"))
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", "name").distinct().groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
     if not counts:
         return build_model({})
     wide = 1 << 40
     limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(wide * min(1.0, 6 * SAMPLE_DOCS / n))))])
-    drawn = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(wide))).where(F.col("h") < F.element_at(limit, F.col("lang")))
-    first = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= SAMPLE_DOCS)
+    drawn = rows.withColumn("h", F.pmod("name", F.lit(wide))).where(F.col("h") < F.element_at(limit, F.col("lang"))).groupBy("lang", "h", "name").agg(F.min("text").alias("text"))
+    first = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "name"))).where(F.col("rank") <= SAMPLE_DOCS)
     samples: dict[str, list[str]] = {}
-    for r in sorted(first.select("lang", "rank", F.substring("text", 1, SAMPLE_PER_DOC).alias("text")).collect(), key=lambda r: r["rank"]):
+    for r in sorted(first.select("lang", "rank", "text").collect(), key=lambda r: r["rank"]):
         samples.setdefault(r["lang"], []).append(r["text"])
     return build_model(samples)
 

@@ -598,6 +598,15 @@ def test_languages_held_out(spark, sf_dir, documents):
     assert sum(found[d[0]]["lang_pred"] == d[2] for d in held) >= 0.95 * len(held)
 
 
+def test_languages_of_many_copies_are_learned(spark, monkeypatch):
+    few = [(f"copied{k}", f"text {chr(97 + k) * 5} {'xyzuvw'[i % 6] * (i + 1)}") for k in range(5) for i in range(1 + 3 * (k == 4))]
+    rows = [r for r in few for _ in range(3000 if r[0] != "copied4" else 800)] + [("many", f"word {i}") for i in range(900)]
+    monkeypatch.setattr(langid, "build_model", lambda samples: samples)
+    samples = langid.learn(spark.createDataFrame(rows, "lang string, text string").repartition(4))
+    assert {(k, t) for k, texts in samples.items() if k != "many" for t in texts} == set(few)
+    assert len(samples["many"]) == len(set(samples["many"])) == langid.SAMPLE_DOCS and sum(map(len, samples.values())) == len(few) + langid.SAMPLE_DOCS
+
+
 def test_language_edges(spark, odd, empty):
     model = langid.learn(odd.where("lang IS NOT NULL"))
     rows = langid.identify(odd, model, ["doc_id"]).collect()
