@@ -9,14 +9,12 @@ sets reaches 0.75.  The steps:
    is done.  Shared passages alone therefore never make candidates.
 3. Of each set that is left only a prefix is indexed: as many of its rarest shingles as
    it needs for any partner to share one.  The sets in a shingle's list are candidates.
-4. In each list the set with the fewest shingles of its own is the pivot; the others are
-   searched with the pivot as query.  What links to it needs no further test against each other,
-   since results are components.
-5. Lists whose sets still lie in several components are searched exhaustively, in
-   blocks of bounded size, leaving out pairs that are connected already.
+4. Sets whose lists hang together form a cluster; a cluster's sets are searched, every
+   one as a query, in blocks of bounded size, so that each pair that may link is tested
+   once.  A task returns its sets' numbers of links and the edges that span them, not the pairs.
 
 A search is DivideSkip: the query's inverted lists are sorted by length, the short ones
-heap-merged with counts, the long ones binary-probed for the sets that can still reach
+merged with counts, the long ones binary-probed for the sets that can still reach
 the required overlap.  Every test is exact on the sets' shingle hashes.
 
 Edge cases: null, empty and blank texts have no shingle, component_id is their own
@@ -27,10 +25,7 @@ copies; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 import math
-from bisect import bisect_left
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -307,6 +302,9 @@ def _prefixes(parts: int):
     return rows
 
 
+#: Base of the size classes: sets that link differ by a ratio of 4/3 at most, so by one class.
+CLASS_BASE = 1.334
+
 LISTS = "list long, size long, sid long, n long, pivot long, pivot_n long"
 
 
@@ -345,10 +343,10 @@ def _lists(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["list", "size", "sid", "n", "pivot", "pivot_n"])
 
 
-# steps 4 and 5
+# step 4
 
 
-def divide_skip(lists: list[list[int]], least: int, size_of: list[int], n: int) -> list[int]:
+def divide_skip(lists: list, least: int, size_of, n: int) -> list[int]:
     """Local numbers of the indexed sets that link with a query of ``n`` shingles.
 
     ``lists`` are the query's inverted lists (ascending), ``least`` the overlap that any
@@ -360,31 +358,32 @@ def divide_skip(lists: list[list[int]], least: int, size_of: list[int], n: int)
     longest = len(lists[-1])
     skipped = min(least - 1, int(least / (PROBE_COST * math.log2(longest + 1) + 1)))
     short, long = lists[: len(lists) - skipped], lists[len(lists) - skipped :]
-    counts: dict[int, int] = {}
-    for k in heapq.merge(*short):
-        counts[k] = counts.get(k, 0) + 1
-    out = []
-    for k, count in counts.items():
-        if count < least - skipped:
-            continue
-        wanted = required(n, size_of[k])
-        for left, entries in zip(range(len(long), 0, -1), long, strict=True):
-            if count >= wanted or count + left < wanted:
-                break
-            i = bisect_left(entries, k)
-            count += i < len(entries) and entries[i] == k
-        if count >= wanted:
-            out.append(k)
-    return out
+    counts = np.bincount(np.concatenate(short), minlength=len(size_of))
+    found = np.flatnonzero(counts >= max(1, least - skipped))
+    count, wanted = counts[found], required(n, np.asarray(size_of)[found])
+    for left, entries in zip(range(len(long), 0, -1), long, strict=True):
+        alive = count + left >= wanted
+        found, count, wanted = found[alive], count[alive], wanted[alive]
+        if not len(found):
+            return []
+        entries = np.asarray(entries)
+        i = np.minimum(np.searchsorted(entries, found), len(entries) - 1)
+        count = count + (entries[i] == found)
+    return found[count >= wanted].tolist()
+
+
+#: What a row is in its task: in the index and a query, in the index only, a query only.
+BOTH, INDEX, QUERY = 0, 1, 2
+FOUND = "u long, v long, links long"
 
 
 def _search(batches):
-    """Rows sorted by task, queries after index, to links (u, v): each query against its task's index."""
+    """Rows sorted by task to (set, a linked set that spans its group in the task, documents in the sets it links to there)."""
     from itertools import chain
 
     def tasks():
         key, rows = None, []
-        for row in chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("task", "query", "sid", "component", "n", "tokens")), strict=True) for b in batches):
+        for row in chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("task", "side", "sid", "n", "n_copies", "tokens")), strict=True) for b in batches):
             if row[0] != key:
                 if rows:
                     yield rows
@@ -393,84 +392,82 @@ def _search(batches):
         if rows:
             yield rows
 
-    links = []
+    out = []
     for rows in tasks():
-        index = [(r, np.frombuffer(r[5], dtype="<u8").tolist()) for r in rows if not r[1]]
-        queries = [(r, np.frombuffer(r[5], dtype="<u8").tolist()) for r in rows if r[1]]
-        wanted = set().union(*(t for _, t in queries)) if queries else set()
-        postings = defaultdict(list)
-        for k, (_, tokens) in enumerate(index):
-            for t in tokens:
-                if t in wanted:
-                    postings[t].append(k)
-        sizes, owner = [r[4] for r, _ in index], [r[3] for r, _ in index]
-        for r, tokens in queries:
-            lists = [postings[t] for t in tokens if t in postings]
-            for k in divide_skip(lists, needed(r[4]), sizes, r[4]):
-                if owner[k] != r[3] and index[k][0][2] != r[2]:
-                    links.append((r[2], index[k][0][2]))
-        if len(links) > 50_000:
-            yield _links(links)
-            links = []
-    if links:
-        yield _links(links)
-
-
-def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    u, v = zip(*links, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-
-def _run_search(rows: DataFrame, name: str) -> DataFrame:
-    """``rows``: task, query, sid, component, n, tokens.  Only links between different components come out."""
-    dealt = rows.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "query", "sid")
-    return settle(dealt.mapInArrow(freeing(_search), "u long, v long").distinct(), name)
-
-
-def _star_tasks(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """A task for each pivot and up to about BLOCK sets from its lists."""
-    a, b = SIMILAR
-    pairs = lists.where((F.col("sid") != F.col("pivot")) & (b * F.least("n", "pivot_n") >= a * F.greatest("n", "pivot_n"))).select("pivot", "sid").distinct()
-    sizes = pairs.groupBy("pivot").agg(F.count("*").alias("size"))
-    chunk = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / BLOCK))
-    pairs = settle(pairs.join(sizes, "pivot").select("pivot", "sid", F.xxhash64("pivot", chunk).alias("task")), "pairs")
-    index = pairs.join(sets, "sid").select("task", F.lit(False).alias("query"), "sid", F.col("sid").alias("component"), "n", "tokens")
-    queries = pairs.select("task", F.col("pivot").alias("sid")).distinct().join(sets, "sid").select("task", F.lit(True).alias("query"), "sid", F.col("sid").alias("component"), "n", "tokens")
-    return index.unionByName(queries)
+        index, queries = [r for r in rows if r[1] != QUERY], [r for r in rows if r[1] != INDEX]
+        if not index or not queries:
+            continue
+        held = [np.frombuffer(r[5], dtype="<u8") for r in index]
+        tokens, owner = np.concatenate(held), np.repeat(np.arange(len(index)), [len(t) for t in held])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        starts, lengths = _runs(tokens)
+        names, sizes = tokens[starts], np.array([r[3] for r in index])
+        parent: dict[int, int] = {}
+        links: dict[int, int] = {}
+
+        def root(x, parent=parent):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
+        for _, side, sid, n, n_copies, t in queries:
+            t = np.frombuffer(t, dtype="<u8")
+            at = np.searchsorted(names, t)
+            at = at[names[np.minimum(at, len(names) - 1)] == t]
+            for k in divide_skip([owner[starts[i] : starts[i] + lengths[i]] for i in at.tolist()], needed(n), sizes, n):
+                other = index[k][2]
+                if side == BOTH and other <= sid:  # both are queries of this task
+                    continue
+                links[sid] = links.get(sid, 0) + index[k][4]
+                links[other] = links.get(other, 0) + n_copies
+                a, b = root(sid), root(other)
+                parent[max(a, b)] = min(a, b)
+        out += [(sid, root(sid), n_links) for sid, n_links in links.items()]
+        if len(out) > 50_000:
+            yield _found(out)
+            out = []
+    if out:
+        yield _found(out)
+
+
+def _found(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["u", "v", "links"])
+
+
+def _run_search(rows: DataFrame) -> DataFrame:
+    """``rows``: task, side, sid, n, n_copies, tokens."""
+    dealt = rows.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "sid")
+    return settle(dealt.mapInArrow(freeing(_search), FOUND), "links")
 
 
-def _block_tasks(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Tasks of block against block for lists whose sets lie in several components.
+def _tasks(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Tasks of block against block, so that each two sets of a cluster that may link meet in one task.
 
-    Such lists' sets form clusters; a cluster is cut into blocks, a large component's sets
-    into blocks of their own, and two blocks of one component aren't compared.
+    Sets that link share a list, so they are in one cluster.  A cluster of more than
+    ``BLOCK`` sets is cut by size classes and each class by hash; blocks of classes that
+    are no neighbours hold no sets that link.
     """
-    joined = lists.where("size > 2").join(labels, lists["sid"] == labels["node"], "left").select("list", "sid", "pivot", F.coalesce("component", "sid").alias("component"))
-    mixed = joined.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("list")
-    rest = settle(joined.join(mixed, "list", "left_semi").select("sid", "pivot", "component").distinct(), "unsettled")
-    if not rest.head(1):
-        return None
-    clusters = components(rest.select(F.col("sid").alias("u"), F.col("pivot").alias("v"))).withColumnRenamed("component", "cluster")
-    members = rest.select("sid", "component").distinct().join(clusters, F.col("sid") == F.col("node")).select("cluster", "component", "sid")
-    by_component = members.groupBy("cluster", "component").agg(F.count("*").alias("own"))
-    by_cluster = by_component.groupBy("cluster").agg(F.sum(F.when(F.col("own") <= BLOCK, F.col("own")).otherwise(0)).alias("loose"))
-    sized = members.join(by_component, ["cluster", "component"]).join(by_cluster, "cluster")
-    big = F.col("own") > BLOCK
-    place = F.when(big, F.col("component"))
-    blocks = F.ceil(F.when(big, F.col("own")).otherwise(F.col("loose")) / BLOCK)
-    placed = settle(sized.select("cluster", "component", "sid", place.alias("of"), F.xxhash64(F.lit(1), place, F.pmod(F.xxhash64("sid"), blocks)).alias("block")), "blocks")
-    blocks = placed.select("cluster", "block", "of").distinct()
-    right = blocks.select(F.col("cluster").alias("c2"), F.col("block").alias("b2"), F.col("of").alias("of2"))
-    pairs = blocks.join(right, (F.col("cluster") == F.col("c2")) & (F.col("block") <= F.col("b2"))).where(F.col("of").isNull() | F.col("of2").isNull() | (F.col("of") != F.col("of2")))
-    pairs = pairs.select("cluster", "block", "b2", F.xxhash64("cluster", "block", "b2").alias("task"))
-    full = placed.join(sets, "sid").select("cluster", "component", "sid", "block", "n", "tokens")
-    index = full.join(pairs.select("cluster", "block", "task"), ["cluster", "block"]).select("task", F.lit(False).alias("query"), "sid", "component", "n", "tokens")
-    queries = full.join(pairs.select("cluster", F.col("b2").alias("block"), "task"), ["cluster", "block"]).select("task", F.lit(True).alias("query"), "sid", "component", "n", "tokens")
-    return index.unionByName(queries)
+    clusters = settle(components(lists.select(F.col("sid").alias("u"), F.col("pivot").alias("v"))).withColumnRenamed("component", "cluster"), "clusters")
+    big = clusters.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    members = sets.join(clusters, F.col("sid") == F.col("node")).select("sid", "n", "cluster").join(big, "cluster", "left")
+    members = members.withColumn("class", F.when(F.col("size").isNull(), 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(CLASS_BASE))).cast("int")).drop("size")
+    own = members.groupBy("cluster", "class").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = settle(members.join(own, ["cluster", "class"]).select("cluster", "class", "sid", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("block")), "blocks")
+    blocks = placed.select("cluster", "class", "block").distinct()
+    right = blocks.select(F.col("cluster").alias("c2"), F.col("class").alias("k2"), F.col("block").alias("b2"))
+    meet = ((F.col("k2") == F.col("class")) & (F.col("b2") >= F.col("block"))) | (F.col("k2") == F.col("class") + 1)
+    pairs = blocks.join(right, (F.col("cluster") == F.col("c2")) & meet)
+    same = (F.col("class") == F.col("k2")) & (F.col("block") == F.col("b2"))
+    pairs = settle(pairs.select("cluster", "class", "block", "k2", "b2", same.alias("same"), F.xxhash64("cluster", "class", "block", "k2", "b2").alias("task")), "pairs")
+    first = pairs.select("cluster", "class", "block", "task", F.when(F.col("same"), BOTH).otherwise(INDEX).alias("side"))
+    second = pairs.where(~F.col("same")).select("cluster", F.col("k2").alias("class"), F.col("b2").alias("block"), "task", F.lit(QUERY).alias("side"))
+    full = placed.join(sets, "sid")
+    return full.join(first.unionByName(second), ["cluster", "class", "block"]).select("task", "side", "sid", "n", "n_copies", "tokens")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every document; n_copies counts the documents with an equal set."""
+    """doc_id, n_shingles and component_id of every document; n_copies counts the documents with an equal set, n_links the other documents it links to."""
     with small_batches(docs.sparkSession):
         return _link(docs, id_col, text_col)
 
@@ -487,18 +484,14 @@ def _link(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     surviving = settle(packed.repartitionById(parts, F.col("bucket")).mapInArrow(freeing(_surviving), SURVIVING), "surviving")
     lists = surviving.mapInArrow(freeing(_prefixes(parts)), "part int, sets binary, tokens binary, of binary").repartitionById(parts, F.col("part")).mapInArrow(freeing(_lists), LISTS)
     lists = settle(lists.distinct(), "lists")
-    found = _run_search(_star_tasks(lists, surviving.select("sid", "n", "tokens")), "links")
-    labels = settle(components(found), "labels")
-    more = _block_tasks(lists, labels, surviving.select("sid", "n", "tokens"))
-    if more is not None:
-        extra = _run_search(more, "links")
-        if extra.head(1):
-            labels = settle(components(found.unionByName(extra)), "labels")
-    named = labels.join(sets, labels["node"] == sets["sid"]).select("sid", "component", "first")
+    found = _run_search(_tasks(lists, surviving.join(sets.select("sid", "n_copies"), "sid").select("sid", "n", "n_copies", "tokens")))
+    linked = found.groupBy("u").agg(F.sum("links").alias("links"))
+    labels = settle(components(found.select("u", "v")).join(linked, F.col("node") == F.col("u"), "left").select("node", "component", "links"), "labels")
+    named = labels.join(sets, labels["node"] == sets["sid"]).select("sid", "component", "first", "links")
     lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))
-    of_set = sets.join(named.join(lowest, "component").select("sid", "lowest"), "sid", "left").select("sid", F.coalesce("lowest", "first").alias("component_id"), "n_copies")
-    joined = members.where("sid is not null").join(of_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies")
-    alone = members.where("sid is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
+    of_set = sets.join(named.join(lowest, "component").select("sid", "lowest", "links"), "sid", "left").select("sid", F.coalesce("lowest", "first").alias("component_id"), "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    joined = members.where("sid is not null").join(of_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies", "n_links")
+    alone = members.where("sid is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return joined.unionByName(alone)
 
 

@@ -458,6 +458,26 @@ def test_jaccard_on_chains_groups_and_passages(spark, seed, monkeypatch):
     assert found == _brute_components(texts)
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_jaccard_counts_every_link(spark, block, monkeypatch, tmp_path):
+    """Families of different near copies, with exact copies among them: links of every document against all pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(block)
+    texts = []
+    for size in (60, 25, 8, 200):
+        base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+        for _ in range(25):
+            words = base[: size - rng.randint(0, size // 4)]
+            for _ in range(rng.randint(0, 1 + size // 30)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(3000)}"
+            texts += [" ".join(words)] * rng.choice([1, 1, 2])
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    expected = {i: sum(4 * len(a & b) >= 3 * len(a | b) for b in sets) - 1 for i, a in enumerate(sets)}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")  # its size is known, so parts are few
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.link(docs).collect()} == expected
+
+
 def test_divide_skip_finds_what_counting_finds():
     rng = random.Random(7)
     for _ in range(60):
