@@ -200,7 +200,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
         table = table.drop_columns(["_group", "_order"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
         yield from table.combine_chunks().to_batches()
 
-    hashed = pieces.withColumn("_order", F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("_group", F.pmod(F.xxhash64("_order"), F.lit(groups)).cast("int"))
+    hashed = pieces.withColumn("_order", F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     return hashed.repartitionById(groups, F.col("_group")).mapInArrow(freeing(rows), f"{PIECES}, sequence_id long, offset long")
 
 

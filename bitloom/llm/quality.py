@@ -3,27 +3,25 @@
 Base rules fail a document with too few words or too much of its text repeated in
 eight-word windows.  The method hashes each document's normalised lines (case,
 digits and blanks folded), counts for every host how many distinct documents hold a
-line, removes the lines above the limits, and rejects documents of which too little
+line, removes the lines above the limit, and rejects documents of which too little
 remains.
 
-The limits hold for distinct documents: equal texts count as one, and near copies of one text
-are collapsed first.  What a text has besides frequent lines tells: its own lines are those that are no
-copies with edits of a line of many texts, which min- and max-hashes of each line's four-word windows
-show.  Texts with the same extremes over their own lines count once; texts all whose other lines
-are such copies count as one, and if those are most texts that hold a line, the line travels
-with its whole text and is kept.  How many frequent lines stand beside a line doesn't matter.
+Documents are distinct if their texts differ in any character; a document of many copies
+counts once.  Near copies count each, so a family of more than ``LINE_DOCUMENTS`` of them
+loses the lines that its members have in common: run the near-duplicate stage first where
+that isn't wanted.  The limit is absolute, so a line's verdict never turns with more rows.
 
 Edge cases: a null text has no words and fails the base rule; a null host is a host of
-its own; an empty table gives an empty result; repeated rows and ids are judged row by
-row (rows that share an id share the removed lines found under that id); columns
-with other names pass through :func:`clean` untouched.
+its own; a null id changes nothing, as rows are known by host and text; repeated rows count once
+and get the same verdict; an empty table gives an empty result; columns with other names
+pass through :func:`clean` untouched.  Texts and lines are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bitloom.llm.common import settle
+from bitloom.llm.common import join_unique, settle
 
 #: Words are runs of anything but these blanks; the class is the complement of [\x20\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,18 +30,10 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 
-#: A line is boilerplate for a host if more than this many distinct documents hold it ...
+#: A line is boilerplate for a host if more than this many distinct documents of the host hold it.
 LINE_DOCUMENTS = 20
-#: ... that are more than this share of the host's documents ...
-LINE_SHARE = 0.001
-#: ... and at least this share of the texts that hold it have a line of their own, or frequent lines only.
-LEAST_VARIETY = 0.5
-#: Words of the windows of lines that are hashed for that; a shorter line is one window.
-PIECE = 4
 #: A document is depleted if less than this share of its words remains.
 LEAST_LEFT = 0.3
-#: Most rows (document, removed lines) that are broadcast; beyond, both sides are shuffled by id.
-BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -106,68 +96,40 @@ def base_rules(docs: DataFrame, keep: dict[str, Column], text_col: str = "text")
     return rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
 
 
-def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """A row for each line with a word: id, host, the text's hash, key, words and the min- and max-hash of the line's windows; settled, as it is read again."""
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), normalised), lambda line: line != "").alias("_l"))
-    # what a line holds is found step by step, each from the column before: key and hashes of its words, hashes of its windows, their extremes
-    rows = kept.select("doc_id", "host", F.xxhash64(F.array_join("_l", " ")).alias("copy"), F.transform("_l", lambda line: F.struct(F.xxhash64(line).alias("key"), F.transform(F.split(line, " "), lambda w: F.xxhash64(w)).alias("w"))).alias("_k"))
-    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), F.size(k["w"]).alias("n"), joined_windows(k["w"], 1).alias("w"))))
-    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), k["n"].alias("n"), joined_windows(k["w"], PIECE // 2).alias("w"))))
-    rows = rows.withColumn("_k", F.transform("_k", lambda k: F.struct(k["key"].alias("key"), k["n"].alias("n"), F.coalesce(F.array_min(k["w"]), k["key"]).alias("low"), F.coalesce(F.array_max(k["w"]), k["key"]).alias("high"))))
-    return settle(rows.select("doc_id", "host", "copy", F.inline("_k")), "lines")
+def known_as(text_col: str, host_col: str) -> Column:
+    """A hash of a row's host and whole text: rows that share it get the same verdict."""
+    host = F.col(host_col).cast("string")
+    return F.xxhash64(host.isNull(), F.coalesce(host, F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def of_host(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right`` on the host, which may be null, and ``names``; of ``right`` its other columns stay."""
-    other = right.select(*[F.col(c).alias(f"_{c}" if c in ["host", *names] else c) for c in right.columns])
-    on = F.col("host").eqNullSafe(F.col("_host"))
-    for name in names:
-        on &= F.col(name) == F.col(f"_{name}")
-    return left.join(other, on, how).drop("_host", *[f"_{name}" for name in names])
+def line_table(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """A row for each line with a word: the row's name, a hash of its host, the line's place, key and words; settled, as it is read again."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), normalised), lambda line: line != "")
+    host = F.col(host_col).cast("string")
+    rows = docs.select(known_as(text_col, host_col).alias("name"), F.xxhash64(host.isNull(), F.coalesce(host, F.lit(""))).alias("host"), lines.alias("_l"))
+    # blanks are single and none is at an end, so words are blanks and one
+    found = rows.select("name", "host", F.posexplode("_l").alias("place", "_l"))
+    return settle(found.select("name", "host", "place", F.xxhash64("_l").alias("key"), (F.length("_l") - F.length(F.replace("_l", F.lit(" "), F.lit(""))) + 1).alias("n")), "lines")
 
 
-def labels(texts: DataFrame, over: DataFrame, line_documents: int) -> DataFrame:
-    """For each distinct text that holds a line of ``over``: host, copy and the extremes low and high over its own lines.
+def frequent_lines(lines: DataFrame, line_documents: int = LINE_DOCUMENTS) -> DataFrame:
+    """Host and key of the lines that more than ``line_documents`` distinct documents of the host hold, with their number."""
+    held = lines.select("host", "key", "name").distinct()
+    return held.groupBy("host", "key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_documents)
 
-    A line is a copy with edits if many texts have a line with the same min-hash, or the same
-    max-hash.  A text of frequent lines only is known by its hash; one without lines of its own by null.
-    """
-    holders = of_host(texts, over.select("host", "key"), ["key"], "left_semi").select("host", "copy").distinct()
-    rows = of_host(texts, holders, ["copy"], "left_semi")
-    rows = of_host(rows, over.select("host", "key", F.lit(True).alias("is_over")), ["key"], "left")
-    for name in ("low", "high"):
-        many = texts.groupBy("host", name).agg(F.count_distinct("copy").alias("_n")).where(F.col("_n") > line_documents)
-        rows = of_host(rows, many.select("host", name, F.lit(True).alias(f"same_{name}")), [name], "left")
-    other = F.col("is_over").isNull()
-    own = other & F.col("same_low").isNull() & F.col("same_high").isNull()
-    found = rows.groupBy("host", "copy").agg(F.min(F.when(own, F.col("low"))).alias("low"), F.max(F.when(own, F.col("high"))).alias("high"), F.count(F.when(other, 1)).alias("others"))
-    only = F.when(F.col("others") == 0, F.col("copy"))
-    return found.select("host", "copy", F.coalesce("low", only).alias("low"), F.coalesce("high", only).alias("high"))
-
-
-def frequent_lines(lines: DataFrame, line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE) -> DataFrame:
-    """Host and key of the lines that too many distinct documents of the host hold, with the count of texts.
-
-    Rows are made distinct by text first, combined before the shuffle.
+
+def removals(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """For each distinct document that holds frequent lines: name, the removed lines' keys and the words removed; settled.
+
+    Repeated rows share name, place and line, so each line of a document counts once.
     """
-    texts = settle(lines.select("host", "copy", "key", "low", "high").distinct(), "texts")
-    hosts = lines.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    over = texts.groupBy("host", "key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_documents)
-    over = settle(of_host(over, hosts, []).where(F.col("n_docs") > line_share * F.col("host_docs")), "over")
-    held = of_host(texts.select("host", "copy", "key"), over.select("host", "key"), ["key"], "left_semi")
-    known = of_host(held, labels(texts, over, line_documents), ["copy"])
-    counts = known.groupBy("host", "key").agg(F.count("low").alias("own"), F.count_distinct("low").alias("low"), F.count_distinct("high").alias("high"))
-    counts = of_host(counts, over, ["key"])
-    varied = F.least("low", "high") + (F.col("own") < F.col("n_docs")).cast("int")
-    kept = (F.col("own") >= LEAST_VARIETY * F.col("n_docs")) & (varied > line_documents) & (varied > line_share * F.col("host_docs"))
-    return counts.where(kept).select("host", "key", "n_docs")
+    hit = lines.join(frequent.select("host", "key"), ["host", "key"], "left_semi").select("name", "place", "key", "n").distinct()
+    return settle(hit.groupBy("name").agg(F.collect_set("key").alias("removed"), F.sum("n").cast("bigint").alias("removed_words")), "removals")
 
 
-def removals(lines: DataFrame, frequent: DataFrame) -> DataFrame:
-    """For documents that hold frequent lines: id, the removed lines' keys and the words removed."""
-    over = frequent.select(F.col("host").alias("of"), F.col("key").alias("frequent"))
-    hit = lines.join(over, F.col("host").eqNullSafe(F.col("of")) & (F.col("key") == F.col("frequent")))
-    return hit.groupBy("doc_id").agg(F.collect_set("key").alias("removed"), F.sum("n").cast("bigint").alias("removed_words"))
+def row_counts(lines: DataFrame) -> DataFrame:
+    """How many rows have a name: their first lines are counted."""
+    return lines.where("place = 0").groupBy("name").agg(F.count("*").alias("_rows"))
 
 
 def enough_left(n_words: Column, removed_words: Column) -> Column:
@@ -176,26 +138,24 @@ def enough_left(n_words: Column, removed_words: Column) -> Column:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Base statistics, base_failed, removed_words and kept of every row."""
-    base = base_rules(docs, {"doc_id": F.col(id_col)}, text_col)
-    lines = line_table(docs, id_col, text_col, host_col)
-    lost = removals(lines, frequent_lines(lines)).select("doc_id", "removed_words")
-    joined = base.join(lost, "doc_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("bigint")))
+    lines = line_table(docs, text_col, host_col)
+    lost = removals(lines, frequent_lines(lines)).select("name", "removed_words")
+    base = base_rules(docs, {"doc_id": F.col(id_col), "name": known_as(text_col, host_col)}, text_col)
+    joined = join_unique(base, lost, ["name"], row_counts(lines)).drop("name").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("bigint")))
     return joined.withColumn("kept", ~F.col("base_failed") & enough_left(F.col("n_words"), F.col("removed_words")))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``docs`` without rejected documents and, in the others, without the frequent lines.
 
-    Texts stay where they are: the table of removed lines is broadcast if it has at most
-    ``BROADCAST_ROWS`` rows, else both sides are shuffled by id.
+    Texts stay where they are if the table of removed lines is small; else they are shuffled once.
     """
-    lines = line_table(docs, id_col, text_col, host_col)
-    lost = settle(removals(lines, frequent_lines(lines)).withColumnRenamed("doc_id", "_id"), "removals")
-    lost = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost
-    rows = base_rules(docs, {"_row": F.struct("*"), "_own": F.col(id_col)}, text_col)
+    lines = line_table(docs, text_col, host_col)
+    lost = removals(lines, frequent_lines(lines))
+    rows = base_rules(docs, {"_row": F.struct("*"), "name": known_as(text_col, host_col)}, text_col)
     # a filter isn't pushed below a row number, so the statistics are computed once and not again inside the filter
     rows = rows.withColumn("_at", F.monotonically_increasing_id()).where(~F.col("base_failed") & (F.col("_at") >= 0))
-    joined = rows.join(lost, F.col("_own") == F.col("_id"), "left").where(F.col("removed_words").isNull() | enough_left(F.col("n_words"), F.col("removed_words")))
+    joined = join_unique(rows, lost, ["name"], row_counts(lines), 8 * F.size("removed")).where(F.col("removed_words").isNull() | enough_left(F.col("n_words"), F.col("removed_words")))
     text = F.col(f"_row.{text_col}")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line: ~F.array_contains(F.col("removed"), F.xxhash64(normalised(line)))), "\n")
     return joined.select(*[(F.when(F.col("removed").isNotNull(), left).otherwise(text) if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
