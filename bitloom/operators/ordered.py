@@ -2,37 +2,75 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Used where the cluster names no shared folder, as in tests on one machine.
-LOCAL_SCRATCH = "file:///tmp/checkpoints"
 _ROW_BITS = 33
 _made: list[str] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which executors and driver share.
+
+    Where the setting is missing, a session on one machine gets a temporary folder; on a cluster
+    it is an error, as executors and driver would write to different disks.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append(f"file://{tempfile.mkdtemp(prefix='bitloom-')}")
+    return _local[0]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder in ``spark.checkpoint.dir``, which executors and driver share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    _made.append(f"{folder.rstrip('/')}/bitloom/{name}-{uuid.uuid4().hex}")
+    """A new path below the shared folder."""
+    _made.append(f"{shared_folder(spark)}/bitloom/{name}-{uuid.uuid4().hex}")
     return _made[-1]
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete the scratch tables this process has made, once no frame is read from them any more; returns how many."""
-    gone = 0
-    while _made:
-        where = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        gone += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
-    return gone
+def _delete(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+
+
+def clear_scratch(spark: SparkSession, after: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the scratch tables this process has made since mark ``after``, but for ``keep``; returns how many.
+
+    No frame may be read from them any more.
+    """
+    kept = [p for p in _made[after:] if keep is not None and p == _path_of.get(keep)]
+    gone = [p for p in _made[after:] if p not in kept]
+    _made[after:] = kept
+    return sum(_delete(spark, p) for p in gone)
+
+
+def scratch_mark() -> int:
+    """How many scratch tables there are: a mark for :func:`clear_scratch`."""
+    return len(_made)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables of frames that :func:`settle` made, once nothing is read from them any more."""
+    for frame in frames:
+        if path := _path_of.pop(frame, None):
+            _made.remove(path)
+            _delete(frame.sparkSession, path)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table and read again; cuts the lineage and fixes what is not repeatable."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
 
 
 def _offsets(placed: DataFrame, amount: Column, start: int) -> DataFrame:
