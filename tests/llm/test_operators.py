@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -271,6 +272,45 @@ def test_added_kinds_and_redaction(spark):
     assert clean[6]["text"] == texts[6] and clean[7]["pii_email"] == "keep"
 
 
+def test_context_counts_on_both_sides(spark):
+    texts = ["123-45-6789 is the social security number", "a b 123-45-6789 c d", "number 123-45-6789, and a long way on, far beyond all context, ssn", "DE89370400440532013000"]
+    spans = [r["spans"] for r in pii.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert spans == ["national_id:0:11", "", "", "iban:0:22"]
+
+
+def test_very_many_matches_in_one_text(spark):
+    """100,000 matches in a text, of base and added kinds, found and replaced in seconds."""
+    email = " ".join(f"é{i}@b{i % 7}.co" for i in range(100_000))
+    mixed = " ".join(["a@b.co ssn 123-45-6789 1.2.3.4 é"] * 20_000)
+    docs = spark.createDataFrame([(1, email), (2, mixed)], "doc_id long, text string").coalesce(1)
+    began = time.time()
+    found = {r["doc_id"]: r for r in pii.digests(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert time.time() - began < 60
+    base = _base_spans(email)
+    assert found[1]["n_email"] == 100_000 and found[1]["spans"] == base and found[1]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    assert found[2]["n_email"] == found[2]["n_ip"] == found[2]["spans"].count("national_id") == 20_000
+    assert clean[1] == " ".join(["é<EMAIL>"] * 100_000) and clean[2] == " ".join(["<EMAIL> ssn <NATIONAL_ID> <IP> é"] * 20_000)
+
+
+def test_redaction_brute_force(spark, monkeypatch):
+    """Overlapping spans, texts longer than a block, matches on the blocks' borders."""
+    rng = random.Random(11)
+    parts = ["a@b.co", "+1 (017) 555-7713", "4111111111111111", "1.2.3.4", "x", "é😀", "\n", " ", " card ", "+1.2.3.4", "DE89370400440532013000", "password: 0123456789abcdef0123456789"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "", "y" * rng.choice([1, 300, 2040])]) for _ in range(rng.choice([0, 3, 60, 700]))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: [(int(a), int(b), k) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)] for r in pii.digests(docs).collect()}
+    for r in pii.redact(docs).collect():
+        text, at, out = texts[r["doc_id"]], 0, ""
+        for a, b, k in sorted(spans[r["doc_id"]]):
+            if a >= at:
+                out += f"{text[at:a]}<{k.upper()}>"
+            at = max(at, b)
+        assert r["text"] == out + text[at:]
+        base = [x for x in spans[r["doc_id"]] if x[2] in pii.BASE]
+        assert not any(a < d and c < b for a, b, k in spans[r["doc_id"]] if k not in pii.BASE for c, d, _ in base)
+
+
 def test_pii_edges(odd, empty):
     assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == odd.count()
     assert pii.redact(odd).where("doc_id = 1").first()["text"] is None
