@@ -1,7 +1,8 @@
 """Language identification by cross-parsing against suffix automata.
 
-For each language a suffix automaton is built from a bounded sample of labelled
-text.  A document is cut greedily into the longest phrases that occur in the
+For each language a suffix automaton is built from a bounded sample of whole labelled
+texts, which is the same size however many languages there are; the model's memory and
+the work per character grow with the number of languages (about 16 MB each).  A document is cut greedily into the longest phrases that occur in the
 sample; the language that needs the fewest phrases, normalised by the document's
 length and the sample's size, wins.  Parsing is a walk over a table: one step a
 character, a flag where a phrase ends.  All documents of a block and all languages
@@ -27,28 +28,27 @@ from pyspark.sql import DataFrame, Window, functions as F
 from bitloom.llm.common import freeing, text_blocks
 
 UNKNOWN = "und"
-#: Symbols: 0 separates words, 1 is any rare letter, the others are frequent letters.
+#: Symbols: 0 separates words, 1 is unused, then come frequent letters; the last RARE ones share the other letters by code block.
 SYMBOL_BITS = 6
 SYMBOLS = 1 << SYMBOL_BITS
+RARE = 12
 SEGMENT = 2048
 LANES = 1024
-SAMPLE_CHARS = 24_000
+#: The sample of a language: at most so many rows, of at most so many characters together, none longer than SAMPLE_TEXT.
 SAMPLE_DOCS = 96
-#: Of one sampled document, at most this many characters enter the sample.
-SAMPLE_PER_DOC = 1_500
-MODEL_STATES = 400_000
-MAX_LANGUAGES = 500
+SAMPLE_CHARS = 32_000
+SAMPLE_TEXT = 4_000
 _BLOCK_CHARS = 2_000_000
 
 
 def symbol_table(frequent: list[str]) -> np.ndarray:
     """For every code point its symbol; upper and lower case share one."""
-    rank = {c: i + 2 for i, c in enumerate(frequent[: SYMBOLS - 2])}
+    rank = {c: i + 2 for i, c in enumerate(frequent[: SYMBOLS - 2 - RARE])}
     out = np.zeros(0x110000, dtype=np.uint8)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            out[cp] = rank.get(c.lower(), 1)
+            out[cp] = rank.get(c.lower(), SYMBOLS - RARE + (cp >> 7) % RARE)
     return out
 
 
@@ -116,10 +116,9 @@ def build_model(samples: dict[str, list[str]]) -> dict:
     names = sorted(samples)
     letters = Counter(c.lower() for n in names for t in samples[n] for c in t if c.isalpha())
     table = symbol_table([c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0])) if len(c) == 1])
-    room = min(SAMPLE_CHARS, MODEL_STATES // (2 * max(1, len(names))))
     walks, starts, weights, base = [], [], [], 0
     for n in names:
-        text = symbols(" ".join(samples[n]), table)[:room]
+        text = symbols(" ".join(samples[n]), table)
         moves = suffix_automaton(text)
         walks.append(walk_table(moves, base))
         starts.append(base)
@@ -170,24 +169,34 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], list[float
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Build the model from a bounded sample: per language at most ``SAMPLE_DOCS`` texts, ``SAMPLE_PER_DOC`` characters of each.
+    """Build the model from a bounded sample of each language's distinct texts, all of them whole.
 
-    The sample is drawn by a hash of the text among a language's distinct texts, so it depends
-    neither on row order nor on copies.
+    Texts of up to ``SAMPLE_TEXT`` characters are drawn in the order of their hash, so neither row
+    order nor copies matter, up to ``SAMPLE_DOCS`` texts and ``SAMPLE_CHARS`` characters; one that
+    doesn't fit any more is passed over.  A language that has only longer texts is learned from its shortest.
     """
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("name"), F.substring(text_col, 1, SAMPLE_PER_DOC).alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.select("lang", "name").distinct().groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+    lettered = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("name"), F.col(text_col).alias("text"))
+    heads = lettered.select("lang", "name", F.length("text").alias("n"))
+    short = F.when(F.col("n") <= SAMPLE_TEXT, 1)
+    counts = heads.distinct().groupBy("lang").agg(F.count(short).alias("short"), F.min(F.struct("n", "name")).alias("shortest")).collect()
     if not counts:
         return build_model({})
+    chosen = [(r["lang"], r["shortest"]["name"], 0) for r in counts if not r["short"]]
+    # about six times the rows that are wanted pass this threshold, so a language's hashes can be ranked in one place
     wide = 1 << 40
-    limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(wide * min(1.0, 6 * SAMPLE_DOCS / n))))])
-    drawn = rows.withColumn("h", F.pmod("name", F.lit(wide))).where(F.col("h") < F.element_at(limit, F.col("lang"))).groupBy("lang", "h", "name").agg(F.min("text").alias("text"))
+    limit = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(wide * min(1.0, 6 * SAMPLE_DOCS / max(1, r["short"])))))])
+    drawn = heads.where(F.col("n") <= SAMPLE_TEXT).withColumn("h", F.pmod("name", F.lit(wide))).where(F.col("h") < F.element_at(limit, F.col("lang"))).groupBy("lang", "h", "name").agg(F.max("n").alias("n"))
     first = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "name"))).where(F.col("rank") <= SAMPLE_DOCS)
+    room = dict.fromkeys((r["lang"] for r in counts), SAMPLE_CHARS)
+    for r in sorted(first.select("lang", "rank", "name", "n").collect(), key=lambda r: (r["lang"], r["rank"])):
+        if r["n"] <= room[r["lang"]]:
+            room[r["lang"]] -= r["n"]
+            chosen.append((r["lang"], r["name"], r["rank"]))
+    wanted = spark.createDataFrame(chosen, "lang string, name long, rank int")
+    texts = lettered.join(F.broadcast(wanted), ["lang", "name"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(first.select("lang", "rank", "text").collect(), key=lambda r: r["rank"]):
+    for r in sorted(texts, key=lambda r: (r["lang"], r["rank"])):
         samples.setdefault(r["lang"], []).append(r["text"])
     return build_model(samples)
 

@@ -686,6 +686,57 @@ def test_automaton_walk_is_greedy_longest_match():
         assert abs(got - count) <= 1 + text.count("d")  # a symbol the sample lacks ends a phrase and is one
 
 
+def test_language_query_brute_force(spark, tmp_path):
+    """Predictions and scores of the whole query against counting longest matches in the sample texts one by one."""
+    rng = random.Random(12)
+    alphabets = {"aa": "abcdeé", "bb": "abxyzж", "cc": "defxyz"}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(2, 6))) for _ in range(30)] for k, v in alphabets.items()}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.choice([1, 4, 30, 900]))).capitalize(), k, "s", 0) for i, k in enumerate(rng.choice(list(words)) for _ in range(90))]
+    rows += [(200, None, "aa", "s", 0), (201, "12 34!", "bb", "s", 0), (202, "日本語 текст", None, "s", 0), (203, rows[0][1] * 40, "aa", "s", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    kept, original = {}, langid.build_model
+
+    def build(samples):
+        kept.update(samples)
+        return original(samples)
+
+    langid.build_model = build
+    try:
+        found = {r["doc_id"]: r for r in queries.op10_langid(spark, str(tmp_path)).collect()}
+    finally:
+        langid.build_model = original
+    whole = {t for i, t, k, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert set(kept) == set(words) and all(t in whole for texts in kept.values() for t in texts)
+    table = langid.symbol_table([c for c, _ in sorted(Counter(c.lower() for k in sorted(kept) for t in kept[k] for c in t if c.isalpha()).items(), key=lambda x: (-x[1], x[0]))])
+    samples = {k: langid.symbols(" ".join(v), table).tobytes() for k, v in kept.items()}
+    for doc_id, text, *_ in rows:
+        read, costs = langid.symbols(text or "", table).tobytes(), []
+        if not read.strip(b"\0"):
+            assert (found[doc_id]["lang_pred"], found[doc_id]["score"]) == ("und", 0.0)
+            continue
+        for k in sorted(samples):
+            phrases = 0
+            for at in range(0, len(read), langid.SEGMENT):
+                part, i = read[at : at + langid.SEGMENT], 0
+                while i < len(part):
+                    size, alone = 1, part[i : i + 1] not in samples[k]
+                    while not alone and i + size < len(part) and part[i : i + size + 1] in samples[k]:
+                        size += 1
+                    phrases, i = phrases + 1, i + size
+                phrases += alone  # a phrase that ends with the segment is closed at its end once more
+            costs.append(phrases * math.log2(len(samples[k]) + 2))
+        assert found[doc_id]["lang_pred"] == sorted(samples)[int(np.argmin(costs))], (doc_id, costs)
+        two = sorted(costs)[:2]
+        assert abs(found[doc_id]["score"] - (1 - two[0] / two[1])) < 1e-9
+
+
+def test_languages_with_long_texts_only_are_learned(spark, monkeypatch):
+    long = [(k, f"{k} " * (langid.SAMPLE_TEXT + n)) for k in ("ab", "cd") for n in (0, 5)]
+    monkeypatch.setattr(langid, "build_model", lambda samples: samples)
+    samples = langid.learn(spark.createDataFrame(long * 3, "lang string, text string"))
+    assert samples == {"ab": [long[0][1]], "cd": [long[2][1]]}
+
+
 def test_languages_held_out(spark, sf_dir, documents):
     found = {r["doc_id"]: r for r in queries.op10_langid(spark, sf_dir).collect()}
     assert len(found) == len(documents)
