@@ -3,19 +3,23 @@
 Documents are sets of five-word shingles; two link when the Jaccard similarity of their
 sets reaches 0.75.  The steps:
 
-1. Equal sets become one set, known by a hash of its shingles.
-2. An inverted index of all shingles, dealt by hash, tells for each set which of its
-   shingles occur in another set.  A set of which less than 3/4 do links with nothing and
-   is done.  Shared passages alone therefore never make candidates.
+1. Equal sets become one set, known by a 128-bit hash of its shingles.
+2. An inverted index of all shingles, dealt by hash in slices of bounded size, tells for
+   each set which of its shingles occur in another set.  A set of which less than 3/4 do
+   links with nothing and is done.  Shared passages alone therefore never make candidates.
+   A shingle's rank by frequency ends at ``RARE_UPTO`` sets.  A shingle that reaches it is
+   streamed on instead of gathered, so a line that a third of all texts hold needs no memory.
 3. Of each set that is left only a prefix is indexed: as many of its rarest shingles as
    it needs for any partner to share one.  The sets in a shingle's list are candidates.
-4. Sets whose lists hang together form a cluster; a cluster's sets are searched, every
-   one as a query, in blocks of bounded size, so that each pair that may link is tested
-   once.  A task returns its sets' numbers of links and the edges that span them, not the pairs.
+4. Sets whose lists hang together form a cluster.  A small cluster is searched in one step,
+   every set as a query.  The sets of a larger one are cut into blocks by size and by the
+   lists they are in, and blocks are searched against each other if they share a list, so
+   that each pair that may link is tested once.  A step returns its sets' numbers of links
+   and the edges that span them, not the pairs.
 
 A search is DivideSkip: the query's inverted lists are sorted by length, the short ones
 merged with counts, the long ones binary-probed for the sets that can still reach
-the required overlap.  Every test is exact on the sets' shingle hashes.
+the required overlap.  Every test is exact on the sets' 64-bit shingle hashes.
 
 Edge cases: null, empty and blank texts have no shingle, component_id is their own
 doc_id; fewer than five words make one shingle of the whole sequence; repeated rows
@@ -26,24 +30,32 @@ copies; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
-from bitloom.llm.common import freeing, partitions, parts_for, settle, small_batches, text_blocks
+from bitloom.llm.common import MOST_PARTS, freeing, input_bytes, join_unique, partitions, settle, small_batches, text_blocks
 from bitloom.llm.components import components
 
 WORDS = 5
 #: 0.75 as a fraction, so that thresholds are exact.
 SIMILAR = (3, 4)
-#: Sets searched by one query, or block against block, in one task step.
-BLOCK = 256
+#: Text whose shingles are gathered in one slice of the index.
+SLICE_BYTES = 16 << 20
+#: Sets that hold a shingle are counted up to here.
+RARE_UPTO = 255
+#: Entries of a slice beyond which its shingles of RARE_UPTO sets are passed on, and a block's share of a shingle from which a task counts it.
+GATHERED, NOTICED = 4_000_000, 8
+#: A cluster of more sets or shingles is cut in blocks; a block has a sixteenth of its sets, between the two bounds.
+BLOCK, MOST_BLOCK = 256, 4096
+BLOCK_SHINGLES, MOST_SHINGLES = 500_000, 4_000_000
 #: Weight of a binary probe against a merge step when the long lists are chosen.
 PROBE_COST = 0.02
 #: Most ids to drop that are broadcast.
 BROADCAST_IDS = 1_000_000
-_TOKEN = np.uint64((1 << 40) - 1)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -76,228 +88,357 @@ def required(n: int, m: int) -> int:
 
 # step 1 and 2
 
+#: A set's name, and its number of shingles.
+NAME = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("n", "<u4")])
+_SIGN, _LOW = 1 << 63, (1 << 64) - 1
+DEALT = "part int, slice int, bucket int, doc_id long, hi long, lo long, n long, names binary, counts binary, tokens binary, dfs binary"
+_DEALT = pa.schema([("part", pa.int32()), ("slice", pa.int32()), ("bucket", pa.int32()), *[(c, pa.int64()) for c in ("doc_id", "hi", "lo", "n")], *[(c, pa.binary()) for c in ("names", "counts", "tokens", "dfs")]])
+#: Most shingles of one packed entry; larger stretches take several.
+_MOST = (1 << 16) - 1
 
-def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """A range of the upper 24 bits; the lower 40 are the shingle's name in its part."""
-    return ((h >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int32)
 
+def spread(values: np.ndarray, slices: int) -> np.ndarray:
+    """A slice for each value, by its mixed upper bits."""
+    return ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(slices)).astype(np.int64)
 
-def _five_bytes(h: np.ndarray) -> np.ndarray:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
 
+def part_of(values: np.ndarray, slices: int, parts: int) -> np.ndarray:
+    """The partition that a value's slice is in: a range of slices."""
+    return spread(values, slices) * parts // slices
 
-def _from_five(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
 
+def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal values."""
+    if not len(sorted_values):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    starts = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
+    return starts, np.diff(np.r_[starts, len(sorted_values)])
+
+
+def _cut(starts: np.ndarray, end: int) -> np.ndarray:
+    """Starts of stretches of at most _MOST entries."""
+    sizes = np.diff(np.r_[starts, end])
+    if not len(sizes) or sizes.max() <= _MOST:
+        return starts
+    return np.concatenate([np.arange(a, a + n, _MOST) for a, n in zip(starts, sizes, strict=True)])
+
+
+def distinct_names(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct names, and for each name its place among them."""
+    order = np.argsort(names["hi"], kind="stable")
+    hi, lo = names["hi"][order], names["lo"][order]
+    same = hi[1:] == hi[:-1]
+    if (same & (lo[1:] != lo[:-1])).any():  # two sets share half a name
+        order = np.lexsort((names["lo"], names["hi"]))
+        hi, lo = names["hi"][order], names["lo"][order]
+    new = np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])] if len(names) else np.zeros(0, dtype=bool)
+    place = np.empty(len(names), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return names[order[new]], place
+
+
+def packed(key: np.ndarray, owner: np.ndarray, names: np.ndarray, tokens: np.ndarray, dfs: np.ndarray | None = None) -> Iterator[dict]:
+    """One row for each key: the names that have entries under it, how many each, and the entries' shingles."""
+    cell = key * len(names) + owner
+    order = np.argsort(cell, kind="stable")
+    cell, tokens = cell[order], tokens[order]
+    dfs = None if dfs is None else dfs[order]
+    starts = _cut(_runs(cell)[0], len(cell))
+    ends = np.r_[starts, len(cell)]
+    keys, owners = np.divmod(cell[starts], len(names))
+    for a, n in zip(*_runs(keys), strict=True):
+        low, high = ends[a], ends[a + n]
+        yield {"key": int(keys[a]), "names": names[owners[a : a + n]].tobytes(), "counts": np.diff(ends[a : a + n + 1]).astype("<u2").tobytes(), "tokens": tokens[low:high].astype("<u8").tobytes(), "dfs": None if dfs is None else dfs[low:high].tobytes()}
 
-DEALT = "part int, doc_id long, sid long, other long, n long, sets binary, counts binary, tokens binary"
-_DEALT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("sid", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("sets", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
-#: A packed set: its name and its number of shingles.
-_SET = np.dtype([("sid", "<i8"), ("n", "<u4")])
-#: Most shingles of one packed entry; larger stretches take several.
-_MOST = (1 << 16) - 1
 
+def unpacked(row: dict, kind: np.dtype = NAME) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, the place of each shingle's name among them, and the shingles of a row of :func:`packed`."""
+    names, counts = np.frombuffer(row["names"], dtype=kind), np.frombuffer(row["counts"], dtype="<u2")
+    return names, np.repeat(np.arange(len(names)), counts), np.frombuffer(row["tokens"], dtype="<u8")
 
-def _deal(parts: int):
-    """Batches of documents to rows for the index: one per document, and one per part with packed (set, shingles)."""
+
+def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+#: Bytes of shingles that are regrouped at once.
+_REGROUP = 64 << 20
+
+
+def _regroup(column: str, by_name: bool, slices: int, kind: np.dtype, schema: pa.Schema):
+    """The packed rows of a partition of several slices, dealt to its slices; other rows pass."""
+
+    def rows(batches):
+        held, size = [], 0
+
+        def dealt():
+            names, owners, base = [], [], 0
+            for r in held:
+                found, owner, _ = unpacked(r, kind)
+                names.append(found)
+                owners.append(owner + base)
+                base += len(found)
+            names, owners, tokens = np.concatenate(names), np.concatenate(owners), np.concatenate([np.frombuffer(r["tokens"], dtype="<u8") for r in held])
+            dfs = None if held[0]["dfs"] is None else np.concatenate([np.frombuffer(r["dfs"], dtype=np.uint8) for r in held])
+            key = spread(names["hi"], slices)[owners] if by_name else spread(tokens, slices)
+            for r in packed(key, owners, names, tokens, dfs):
+                r[column] = r.pop("key")
+                yield pa.RecordBatch.from_pylist([r], schema=schema)
+
+        for batch in batches:
+            own = batch.column(column).is_valid()
+            if (passed := batch.filter(pc.invert(own))).num_rows:
+                yield passed.select(schema.names).cast(schema)
+            own = batch.filter(own).select([*_PACKED])
+            for k in range(own.num_rows):
+                held.append(own.slice(k, 1).to_pylist()[0])
+                size += len(held[-1]["tokens"])
+                if size > _REGROUP:
+                    yield from dealt()
+                    held, size = [], 0
+        if held:
+            yield from dealt()
+
+    return rows
+
+
+def by_slices(rows: DataFrame, column: str, by_name: bool, slices: int, parts: int, kind: np.dtype, schema: str, arrow: pa.Schema) -> DataFrame:
+    """``rows`` dealt to their partitions, in which the slices named by ``column`` follow one another.
+
+    A partition is one slice, unless there are more slices than a shuffle can serve; then a
+    partition's rows are regrouped by slice, and Spark's sort, which spills, puts them in order.
+    """
+    dealt = rows.repartitionById(parts, F.col("part"))
+    return dealt if slices == parts else dealt.mapInArrow(_regroup(column, by_name, slices, kind, arrow), schema).sortWithinPartitions(column)
+
+
+class Frequent:
+    """Shingles that a task has sent to the index for RARE_UPTO sets: the index knows their rank, so more needn't go there."""
+
+    def __init__(self):
+        self.known = self.seen = np.zeros(0, dtype=np.uint64)
+        self.counts = np.zeros(0, dtype=np.int64)
+
+    def add(self, tokens: np.ndarray) -> None:
+        values, counts = np.unique(tokens, return_counts=True)
+        often = counts >= NOTICED
+        if not often.any():
+            return
+        values, place = np.unique(np.concatenate([self.seen, values[often]]), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([self.counts, counts[often]])).astype(np.int64)
+        done = counts >= RARE_UPTO
+        self.known = np.union1d(self.known, values[done])
+        left = np.flatnonzero(~done)
+        if len(left) > 100_000:  # those seen most may still get there; the others go to the index as ever
+            left = np.sort(left[np.argsort(-counts[left], kind="stable")[:50_000]])
+        self.seen, self.counts = values[left], counts[left]
+
+
+def _deal(slices: int, parts: int):
+    """Batches of documents to rows for the index: one per document, and one per slice with packed sets and shingles."""
+
+    def place(row: dict, column: str) -> dict:
+        key = row.pop("key")
+        return row | {column: key, "part": key}
 
     def rows(batches):
         import xxhash
 
         sent: set[int] = set()
+        frequent, turn = Frequent(), 0
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for at, stop, texts in text_blocks(batch, "text", 4 << 20):
-                members, packed, found, owners = [], [], [], []
+                out, found, names = [], [], []
                 for doc_id, text in zip(ids[at:stop], texts, strict=True):
-                    h = shingles(text)
+                    h, turn = shingles(text), turn + 1
                     if not len(h):
-                        members.append((doc_id, None, None, 0))
+                        out.append({"part": turn % parts, "doc_id": doc_id, "n": 0})
                         continue
                     whole = xxhash.xxh3_128_intdigest(h.tobytes())
-                    sid = (whole >> 64) - (1 << 63)
-                    members.append((doc_id, sid, (whole & ((1 << 64) - 1)) - (1 << 63), len(h)))
-                    if sid not in sent:
-                        sent.add(sid)
+                    hi, lo = (whole >> 64) - _SIGN, (whole & _LOW) - _SIGN
+                    out.append({"part": turn % parts, "doc_id": doc_id, "hi": hi, "lo": lo, "n": len(h)})
+                    if whole not in sent:
+                        sent.add(whole)
                         found.append(h)
-                        owners.append(sid)
+                        names.append((hi, lo, len(h)))
                 if found:
-                    # hashes are sorted in each set, so each part's are one run of it
-                    sizes = np.array([len(h) for h in found])
-                    h = np.concatenate(found)
-                    part, owner = _part_of(h, parts), np.repeat(np.arange(len(found)), sizes)
-                    cell = part.astype(np.int64) * len(found) + owner
-                    order = np.argsort(cell, kind="stable")
-                    cell, tokens = cell[order], _five_bytes(h[order])
-                    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-                    starts = _cut(starts, len(cell))
-                    counts = np.diff(np.r_[starts, len(cell)]).astype("<u2")
-                    cell_part, cell_owner = cell[starts] // len(found), cell[starts] % len(found)
-                    sets = np.array(owners, dtype="<i8")[cell_owner]
-                    first = np.flatnonzero(np.r_[True, cell_part[1:] != cell_part[:-1]])
-                    for a, b in zip(first, [*first[1:], len(starts)], strict=True):
-                        packed.append({"part": int(cell_part[a]), "sets": sets[a:b].tobytes(), "counts": counts[a:b].tobytes(), "tokens": tokens[starts[a] : starts[b] if b < len(starts) else len(cell)].tobytes()})
-                yield pa.RecordBatch.from_pylist([{"part": bucket_of(sid or 0, parts), "doc_id": d, "sid": sid, "other": o, "n": n} for d, sid, o, n in members] + packed, schema=_DEALT)
+                    names = np.array(names, dtype=NAME)
+                    tokens, owner = np.concatenate(found), np.repeat(np.arange(len(found)), [len(h) for h in found])
+                    if (known := _in(tokens, frequent.known)).any():
+                        ranks = np.full(known.sum(), RARE_UPTO, dtype=np.uint8)
+                        out += [place(r, "bucket") for r in packed(part_of(names["hi"], slices, parts)[owner[known]], owner[known], names, tokens[known], ranks)]
+                        tokens, owner = tokens[~known], owner[~known]
+                    frequent.add(tokens)
+                    out += [place(r, "slice") for r in packed(part_of(tokens, slices, parts), owner, names, tokens)]
+                yield pa.RecordBatch.from_pylist(out, schema=_DEALT)
 
     return rows
 
 
-INDEXED = "bucket int, part int, doc_id long, sid long, other long, n long, sets binary, counts binary, tokens binary, dfs binary"
-_INDEXED = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("sid", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("sets", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("dfs", pa.binary())])
+class Postings:
+    """The entries of one slice of the index.  Beyond GATHERED of them, those of frequent shingles are passed on."""
+
+    def __init__(self, slices: int, parts: int):
+        self.slices, self.parts, self.chunks, self.size, self.room = slices, parts, [], 0, GATHERED
+        self.frequent = np.zeros(0, dtype=np.uint64)
+
+    def _out(self, names, owner, tokens, dfs) -> list[dict]:
+        return list(packed(part_of(names["hi"], self.slices, self.parts)[owner], owner, names, tokens, dfs)) if len(tokens) else []
+
+    def add(self, names: np.ndarray, owner: np.ndarray, tokens: np.ndarray) -> list[dict]:
+        out, known = [], _in(tokens, self.frequent)
+        if known.any():
+            out += self._out(names, owner[known], tokens[known], np.full(known.sum(), RARE_UPTO, dtype=np.uint8))
+            owner, tokens = owner[~known], tokens[~known]
+        self.chunks.append((names, owner, tokens))
+        self.size += len(tokens)
+        if self.size > self.room:
+            names, owner, tokens, df = self._gather()
+            often = df >= RARE_UPTO
+            out += self._out(names, owner[often], tokens[often], np.full(often.sum(), RARE_UPTO, dtype=np.uint8))
+            self.frequent = np.union1d(self.frequent, tokens[often])
+            self.chunks, self.size = [(names, owner[~often], tokens[~often])], int((~often).sum())
+            self.room = max(GATHERED, 2 * self.size)
+        return out
+
+    def _gather(self):
+        """All entries by shingle, each set's once, and how many sets have the shingle."""
+        places, base = [], 0
+        for names, owner, _ in self.chunks:
+            places.append(owner + base)
+            base += len(names)
+        names, place = distinct_names(np.concatenate([c[0] for c in self.chunks]))
+        owner, tokens = place[np.concatenate(places)].astype(np.int32), np.concatenate([c[2] for c in self.chunks])
+        order = np.lexsort((owner, tokens))
+        tokens, owner = tokens[order], owner[order]
+        first = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])] if len(tokens) else np.zeros(0, dtype=bool)
+        tokens, owner = tokens[first], owner[first]
+        _, lengths = _runs(tokens)
+        return names, owner.astype(np.int64), tokens, np.repeat(lengths, lengths)
 
+    def finish(self) -> list[dict]:
+        """What two sets or more hold, with its rank."""
+        if not self.chunks:
+            return []
+        names, owner, tokens, df = self._gather()
+        shared = df > 1
+        return self._out(names, owner[shared], tokens[shared], np.minimum(df[shared], RARE_UPTO).astype(np.uint8))
 
-def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the runs of equal values."""
-    if not len(sorted_values):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    starts = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
-    return starts, np.diff(np.r_[starts, len(sorted_values)])
 
+_PACKED = ("names", "counts", "tokens", "dfs")
+INDEXED = "bucket int, doc_id long, hi long, lo long, n long, names binary, counts binary, tokens binary, dfs binary"
+_INDEXED = pa.schema([f for f in _DEALT if f.name not in ("part", "slice")])
 
-def _cut(starts: np.ndarray, end: int) -> np.ndarray:
-    """Starts of stretches of at most _MOST entries."""
-    sizes = np.diff(np.r_[starts, end])
-    if not len(sizes) or sizes.max() <= _MOST:
-        return starts
-    return np.concatenate([np.arange(a, a + n, _MOST) for a, n in zip(starts, sizes, strict=True)])
 
+def _by(key: str, batches) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Rows that are sorted by ``key``, one group after the other."""
+    from itertools import groupby
 
-def _index(parts: int):
-    """The rows of one part: documents pass through; the shingles that two sets or more hold go, with their list lengths, to their sets' buckets, packed.
+    def each():
+        for batch in batches:
+            for k in range(batch.num_rows):  # row by row, as the packed columns are large
+                yield batch.slice(k, 1).to_pylist()[0]
 
-    A document's row is dealt to its set's bucket, so each set's size is packed here once.
-    """
+    return ((k, g) for k, g in groupby(each(), key=lambda r: r[key]))
 
-    def rows(batches):
-        sids, counts, tokens, sizes, part = [], [], [], {}, None
-        for batch in batches:
-            packed = batch.column("sets").is_valid().to_numpy(zero_copy_only=False)
-            members = batch.filter(pa.array(~packed))
-            if members.num_rows:
-                part = members.column("part")[0].as_py()
-                sizes |= {sid: n for sid, n in zip(members.column("sid").to_pylist(), members.column("n").to_pylist(), strict=True) if sid is not None}
-                number, blob = pa.nulls(members.num_rows, pa.int32()), pa.nulls(members.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([number, number, *(members.column(c) for c in ("doc_id", "sid", "other", "n")), blob, blob, blob, blob], schema=_INDEXED)
-            for p, s, c, t in zip(*(batch.filter(pa.array(packed)).column(c).to_pylist() for c in ("part", "sets", "counts", "tokens")), strict=True):
-                part = p
-                sids.append(np.frombuffer(s, dtype="<i8"))
-                counts.append(np.frombuffer(c, dtype="<u2"))
-                tokens.append(_from_five(t))
-        if sizes:
-            known = np.fromiter(sizes.items(), dtype=_SET, count=len(sizes))
-            yield pa.RecordBatch.from_pylist([{"bucket": part, "sets": known.tobytes()}], schema=_INDEXED)
-        if not sids:
-            return
-        sids, counts, tokens = np.concatenate(sids), np.concatenate(counts).astype(np.int64), np.concatenate(tokens)
-        # a set may come from several tasks and in several entries; equal shingles of one set count once
-        names, owner = np.unique(sids, return_inverse=True)
-        bucket = buckets_of(names, parts)
-        place = np.argsort(bucket, kind="stable")  # by bucket from here on, so that a bucket's entries are one stretch
-        rank = np.empty(len(place), dtype=np.int64)
-        rank[place] = np.arange(len(place))
-        owner, names, bucket = np.repeat(rank[owner].astype(np.int32), counts), names[place], bucket[place]
-        del sids, counts
-        order = np.lexsort((owner, tokens))
-        tokens, owner = tokens[order], owner[order]
-        del order
-        first = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]
-        tokens, owner = tokens[first], owner[first]
-        _, lengths = _runs(tokens)
-        df = np.repeat(lengths, lengths)
-        shared = df > 1
-        tokens, owner, df = tokens[shared], owner[shared], np.minimum(df[shared], 255).astype(np.uint8)
-        order = np.argsort(owner, kind="stable")
-        tokens, owner, df = tokens[order], owner[order], df[order]
-        starts = _cut(_runs(owner)[0], len(owner))
-        cut = np.r_[starts, len(owner)]
-        held, out = names[owner[starts]], []
-        for a, n in zip(*_runs(bucket[owner[starts]]), strict=True):
-            low, high = cut[a], cut[a + n]
-            out.append({"bucket": int(bucket[owner[low]]), "part": part, "sets": held[a : a + n].tobytes(), "counts": np.diff(cut[a : a + n + 1]).astype("<u2").tobytes(), "tokens": _five_bytes(tokens[low:high]).tobytes(), "dfs": df[low:high].tobytes()})
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=_INDEXED)
 
-    return rows
+def _index(slices: int, parts: int):
+    """The rows of one part, slice by slice: documents and ranked entries pass; shingles that two sets or more hold go with their ranks to their sets' buckets."""
 
+    def rows(batches):
+        open_slice, postings = None, Postings(slices, parts)
 
-def buckets_of(sids: np.ndarray, parts: int) -> np.ndarray:
-    return ((sids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+        def emitted(found: list[dict]):
+            for r in found:
+                r["bucket"] = r.pop("key")
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema=_INDEXED)
 
+        for batch in batches:
+            entries = batch.column("slice").is_valid()
+            passed = batch.filter(pc.invert(entries))
+            if passed.num_rows:
+                yield pa.RecordBatch.from_arrays([passed.column(f.name) for f in _INDEXED], schema=_INDEXED)
+            entries = batch.filter(entries).select(["slice", *_PACKED])
+            for k in range(entries.num_rows):
+                row = entries.slice(k, 1).to_pylist()[0]
+                if row["slice"] != open_slice:
+                    yield from emitted(postings.finish())
+                    open_slice, postings = row["slice"], Postings(slices, parts)
+                yield from emitted(postings.add(*unpacked(row)))
+        yield from emitted(postings.finish())
 
-def bucket_of(sid: int, parts: int) -> int:
-    return ((sid * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 33) % parts
+    return rows
 
 
-SURVIVING = "sid long, n long, shared long, tokens binary"
+SURVIVING = "hi long, lo long, n long, shared long, tokens binary"
+_SURVIVING = pa.schema([*[(c, pa.int64()) for c in ("hi", "lo", "n", "shared")], ("tokens", pa.binary())])
+#: Bytes of shingles in one batch of sets.
+_BATCH = 8 << 20
 
 
 def _surviving(batches):
-    """The packed entries of one bucket to its sets of which enough shingles are shared, rarest shingles first."""
-    known, sids, counts, tokens, dfs = [], [], [], [], []
-    for batch in batches:
-        for p, s, c, t, d in zip(*(batch.column(c).to_pylist() for c in ("part", "sets", "counts", "tokens", "dfs")), strict=True):
-            if p is None:
-                known.append(np.frombuffer(s, dtype=_SET))
+    """The entries of one bucket after the other to its sets of which enough shingles are shared, rarest shingles first."""
+    for _, group in _by("bucket", batches):
+        chunks, dfs, places, base = [], [], [], 0
+        for row in group:
+            names, owner, tokens = unpacked(row)
+            chunks.append((names, tokens))
+            places.append(owner + base)
+            dfs.append(np.frombuffer(row["dfs"], dtype=np.uint8))
+            base += len(names)
+        names, place = distinct_names(np.concatenate([c[0] for c in chunks]))
+        owner, tokens, dfs = place[np.concatenate(places)], np.concatenate([c[1] for c in chunks]), np.concatenate(dfs)
+        n = names["n"].astype(np.int64)
+        # entries may come twice, so this may keep too many; they are counted again below
+        keep = (SIMILAR[1] * np.bincount(owner, minlength=len(names)) >= SIMILAR[0] * n)[owner]
+        owner, tokens, dfs = owner[keep], tokens[keep], dfs[keep]
+        order = np.lexsort((tokens, dfs, owner))
+        owner, tokens = owner[order], tokens[order]
+        first = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])] if len(tokens) else np.zeros(0, dtype=bool)
+        owner, tokens = owner[first], tokens[first]
+        out, size = [], 0
+        for a, shared in zip(*_runs(owner), strict=True):
+            k = owner[a]
+            if SIMILAR[1] * shared < SIMILAR[0] * n[k]:
                 continue
-            sids.append(np.frombuffer(s, dtype="<i8"))
-            counts.append(np.frombuffer(c, dtype="<u2"))
-            tokens.append(_from_five(t) | np.uint64(p << 40))
-            dfs.append(np.frombuffer(d, dtype=np.uint8))
-    if not sids:
-        return
-    known = np.concatenate(known)
-    known = known[np.argsort(known["sid"])]
-    names, inverse = np.unique(np.concatenate(sids), return_inverse=True)
-    n = known["n"][np.searchsorted(known["sid"], names)].astype(np.int64)
-    tokens, dfs, owner = np.concatenate(tokens), np.concatenate(dfs), np.repeat(inverse, np.concatenate(counts))
-    shared = np.bincount(owner, minlength=len(names))
-    keep = (SIMILAR[1] * shared >= SIMILAR[0] * n)[owner]
-    tokens, dfs, owner = tokens[keep], dfs[keep], owner[keep]
-    order = np.lexsort((tokens, dfs, owner))
-    tokens, owner = tokens[order], owner[order]
-    out = []
-    for a, size in zip(*_runs(owner), strict=True):
-        k = owner[a]
-        out.append({"sid": int(names[k]), "n": int(n[k]), "shared": int(size), "tokens": tokens[a : a + size].tobytes()})
-        if len(out) == 2000:
+            out.append({"hi": int(names["hi"][k]), "lo": int(names["lo"][k]), "n": int(n[k]), "shared": int(shared), "tokens": tokens[a : a + shared].tobytes()})
+            size += 8 * int(shared)
+            if size > _BATCH:
+                yield pa.RecordBatch.from_pylist(out, schema=_SURVIVING)
+                out, size = [], 0
+        if out:
             yield pa.RecordBatch.from_pylist(out, schema=_SURVIVING)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema=_SURVIVING)
 
 
-_SURVIVING = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("tokens", pa.binary())])
+# step 3
 
 
-# step 3
+#: A surviving set's number, size, and shingles of its own.
+SET = np.dtype([("sid", "<i8"), ("n", "<i8"), ("own", "<i8")])
+PREFIXES = "part int, slice int, names binary, counts binary, tokens binary, dfs binary"
+_PREFIXES = pa.schema([("part", pa.int32()), ("slice", pa.int32()), *[(c, pa.binary()) for c in _PACKED]])
 
 
-def _prefixes(parts: int):
+def _prefixes(slices: int, parts: int):
     """Surviving sets to packed prefix entries: their rarest shared shingles, as many as a partner must hit one of."""
 
     def rows(batches):
         for batch in batches:
-            table, tokens, of = [], [], []
+            sets, tokens = [], []
             for sid, n, shared, t in zip(*(batch.column(c).to_pylist() for c in ("sid", "n", "shared", "tokens")), strict=True):
-                chosen = np.frombuffer(t, dtype="<u8")[: shared - needed(n) + 1]
-                of.append(np.full(len(chosen), len(table), dtype="<u4"))
-                table.append((sid, n, n - shared))
-                tokens.append(chosen)
-            if not table:
+                tokens.append(np.frombuffer(t, dtype="<u8")[: shared - needed(n) + 1])
+                sets.append((sid, n, n - shared))
+            if not sets:
                 continue
-            sets = np.array(table, dtype="<i8")
-            tokens, of = np.concatenate(tokens), np.concatenate(of)
-            part = ((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            part, tokens, of = part[order], tokens[order], of[order]
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            out = []
-            for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
-                used, local = np.unique(of[a:b], return_inverse=True)
-                out.append({"part": int(part[a]), "sets": sets[used].tobytes(), "tokens": tokens[a:b].astype("<u8").tobytes(), "of": local.astype("<u4").tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("part", pa.int32()), ("sets", pa.binary()), ("tokens", pa.binary()), ("of", pa.binary())]))
+            sets, owner, tokens = np.array(sets, dtype=SET), np.repeat(np.arange(len(sets)), [len(t) for t in tokens]), np.concatenate(tokens)
+            out = list(packed(part_of(tokens, slices, parts), owner, sets, tokens))
+            for r in out:
+                r["part"] = r["slice"] = r.pop("key")
+            yield pa.RecordBatch.from_pylist(out, schema=_PREFIXES)
 
     return rows
 
@@ -305,42 +446,39 @@ def _prefixes(parts: int):
 #: Base of the size classes: sets that link differ by a ratio of 4/3 at most, so by one class.
 CLASS_BASE = 1.334
 
-LISTS = "list long, size long, sid long, n long, pivot long, pivot_n long"
+LISTS = "list long, sid long, pivot long"
 
 
 def _lists(batches):
-    """Packed prefix entries of one part to its distinct lists of two sets or more, each with its pivot.
+    """Packed prefix entries, slice by slice, to the distinct lists of two sets or more, each with its pivot.
 
     A list's name is a hash of the sets in it, so equal lists of different shingles are one.
     """
-    sets, tokens, of, base = [], [], [], 0
-    for batch in batches:
-        for s, t, o in zip(*(batch.column(c).to_pylist() for c in ("sets", "tokens", "of")), strict=True):
-            s = np.frombuffer(s, dtype="<i8").reshape(-1, 3)
-            sets.append(s)
-            tokens.append(np.frombuffer(t, dtype="<u8"))
-            of.append(np.frombuffer(o, dtype="<u4").astype(np.int64) + base)
-            base += len(s)
-    if not sets:
-        return
-    sets, tokens, of = np.concatenate(sets), np.concatenate(tokens), np.concatenate(of)
-    rank = np.empty(len(sets), dtype=np.int64)  # pivots come first: few shingles of their own, then the smaller name
-    rank[np.lexsort((sets[:, 0], sets[:, 2] / np.maximum(sets[:, 1], 1)))] = np.arange(len(sets))
-    order = np.lexsort((rank[of], tokens))
-    tokens, of = tokens[order], of[order]
-    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    sizes = np.diff(np.r_[starts, len(tokens)])
-    mixed = sets[of, 0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    names = (np.add.reduceat(mixed, starts) ^ sizes.astype(np.uint64)).view(np.int64)
-    keep = np.flatnonzero(sizes > 1)
-    keep = keep[np.unique(names[keep], return_index=True)[1]]
-    for block in np.array_split(keep, max(1, int(sizes[keep].sum()) // 100_000 + 1)) if len(keep) else []:
-        at = np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in block]) if len(block) else np.zeros(0, dtype=int)
-        pivot = np.repeat(of[starts[block]], sizes[block])
-        columns = [np.repeat(names[block], sizes[block]), np.repeat(sizes[block], sizes[block]), sets[of[at], 0], sets[of[at], 1], sets[pivot, 0], sets[pivot, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["list", "size", "sid", "n", "pivot", "pivot_n"])
+    for _, group in _by("slice", batches):
+        sets, tokens, of, base = [], [], [], 0
+        for row in group:
+            found, owner, t = unpacked(row, SET)
+            sets.append(found)
+            tokens.append(t)
+            of.append(owner + base)
+            base += len(found)
+        sets, tokens, of = np.concatenate(sets), np.concatenate(tokens), np.concatenate(of)
+        rank = np.empty(len(sets), dtype=np.int64)  # pivots come first: few shingles of their own, then the smaller name
+        rank[np.lexsort((sets["sid"], sets["own"] / np.maximum(sets["n"], 1)))] = np.arange(len(sets))
+        order = np.lexsort((rank[of], tokens))
+        tokens, of = tokens[order], of[order]
+        starts, sizes = _runs(tokens)
+        mixed = sets["sid"][of].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        names = (np.add.reduceat(mixed, starts) ^ sizes.astype(np.uint64)).view(np.int64)
+        keep = np.flatnonzero(sizes > 1)
+        keep = keep[np.unique(names[keep], return_index=True)[1]]
+        for block in np.array_split(keep, max(1, int(sizes[keep].sum()) // 100_000 + 1)) if len(keep) else []:
+            at = np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in block]) if len(block) else np.zeros(0, dtype=int)
+            pivot = np.repeat(of[starts[block]], sizes[block])
+            columns = [np.repeat(names[block], sizes[block]), sets["sid"][of[at]], sets["sid"][pivot]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["list", "sid", "pivot"])
 
 
 # step 4
@@ -435,35 +573,59 @@ def _found(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["u", "v", "links"])
 
 
-def _run_search(rows: DataFrame) -> DataFrame:
+def _run_search(rows: DataFrame, n_tasks: int) -> DataFrame:
     """``rows``: task, side, sid, n, n_copies, tokens."""
-    dealt = rows.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "side", "sid")
+    parts = max(1, min(n_tasks, 4 * partitions(rows.sparkSession)))
+    dealt = rows.repartition(parts, "task").sortWithinPartitions("task", "side", "sid")
     return settle(dealt.mapInArrow(freeing(_search), FOUND), "links")
 
 
+def _blocks(count: Column, shingles_: Column) -> Column:
+    """Into how many blocks so many sets are cut."""
+    size = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_BLOCK), F.floor(count / 16)))
+    return F.greatest(F.ceil(count / size), F.ceil(shingles_ / MOST_SHINGLES), F.lit(1)).cast("long")
+
+
 def _tasks(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Tasks of block against block, so that each two sets of a cluster that may link meet in one task.
+    """Steps of the search (task, side, sid, n, n_copies), so that each two sets that may link meet in one.
 
-    Sets that link share a list, so they are in one cluster.  A cluster of more than
-    ``BLOCK`` sets is cut by size classes and each class by hash; blocks of classes that
-    are no neighbours hold no sets that link.
+    Sets that link share a list, so they are in one cluster, and their sizes are in neighbouring
+    classes.  A class of a large cluster is cut by hashes of the sets' first lists, so that sets
+    of the same lists are together, and parts that are still too large by hashes of the sets.
     """
-    clusters = settle(components(lists.select(F.col("sid").alias("u"), F.col("pivot").alias("v"))).withColumnRenamed("component", "cluster"), "clusters")
-    big = clusters.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
-    members = sets.join(clusters, F.col("sid") == F.col("node")).select("sid", "n", "cluster").join(big, "cluster", "left")
-    members = members.withColumn("class", F.when(F.col("size").isNull(), 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(CLASS_BASE))).cast("int")).drop("size")
-    own = members.groupBy("cluster", "class").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = settle(members.join(own, ["cluster", "class"]).select("cluster", "class", "sid", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("block")), "blocks")
-    blocks = placed.select("cluster", "class", "block").distinct()
-    right = blocks.select(F.col("cluster").alias("c2"), F.col("class").alias("k2"), F.col("block").alias("b2"))
-    meet = ((F.col("k2") == F.col("class")) & (F.col("b2") >= F.col("block"))) | (F.col("k2") == F.col("class") + 1)
-    pairs = blocks.join(right, (F.col("cluster") == F.col("c2")) & meet)
-    same = (F.col("class") == F.col("k2")) & (F.col("block") == F.col("b2"))
-    pairs = settle(pairs.select("cluster", "class", "block", "k2", "b2", same.alias("same"), F.xxhash64("cluster", "class", "block", "k2", "b2").alias("task")), "pairs")
-    first = pairs.select("cluster", "class", "block", "task", F.when(F.col("same"), BOTH).otherwise(INDEX).alias("side"))
-    second = pairs.where(~F.col("same")).select("cluster", F.col("k2").alias("class"), F.col("b2").alias("block"), "task", F.lit(QUERY).alias("side"))
-    full = placed.join(sets, "sid")
-    return full.join(first.unionByName(second), ["cluster", "class", "block"]).select("task", "side", "sid", "n", "n_copies", "tokens")
+    clusters = components(lists.select(F.col("sid").alias("u"), F.col("pivot").alias("v"))).withColumnRenamed("node", "sid").withColumnRenamed("component", "cluster")
+    members = settle(sets.join(clusters, "sid"), "clusters")
+    sized = settle(members.groupBy("cluster").agg(F.count("*").alias("_rows"), F.sum("n").alias("shingles")), "sizes")
+    big = settle(sized.where((F.col("_rows") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)).select("cluster", F.lit(True).alias("big")), "big")
+    members = join_unique(members, big, ["cluster"], sized.select("cluster", "_rows"))
+    small = members.where("big IS NULL").select(F.xxhash64("cluster").alias("task"), F.lit(BOTH).alias("side"), "sid", "n", "n_copies")
+    if not big.head(1):
+        return small
+    cut = members.where("big").select("cluster", F.floor(F.log(F.col("n").cast("double")) / math.log(CLASS_BASE)).cast("int").alias("class"), "sid", "n", "n_copies")
+    held = settle(lists.select("list", "sid").join(cut, "sid"), "held")
+    placed = held.groupBy("cluster", "class", "sid", "n", "n_copies").agg(F.min("list").alias("first"))
+    own = settle(placed.groupBy("cluster", "class").agg(F.count("*").alias("_rows"), _blocks(F.count("*"), F.sum("n")).alias("blocks")), "classes")
+    placed = join_unique(placed, own.drop("_rows"), ["cluster", "class"], own.select("cluster", "class", "_rows"))
+    placed = settle(placed.withColumn("group", F.pmod(F.xxhash64("first"), "blocks")).select("cluster", "class", "group", "sid", "n", "n_copies", "blocks"), "groups")
+    # a group gets as many blocks as its share of the class
+    share = placed.groupBy("cluster", "class", "group").agg(F.count("*").alias("_rows"), F.sum("n").alias("shingles"))
+    whole = own.select("cluster", "class", F.col("_rows").alias("all"), F.col("blocks").alias("of"))
+    share = settle(share.join(whole, ["cluster", "class"]).withColumn("parts", F.greatest(F.ceil(F.col("_rows") * F.col("of") / F.col("all")), F.ceil(F.col("shingles") / MOST_SHINGLES)).cast("long")).select("cluster", "class", "group", "parts", "_rows"), "shares")
+    placed = join_unique(placed, share.drop("_rows"), ["cluster", "class", "group"], share.drop("parts"))
+    block = F.xxhash64("cluster", "class", "group", F.pmod(F.xxhash64("sid"), "parts"))
+    placed = settle(placed.select("sid", "n", "n_copies", "class", block.alias("block")), "blocks")
+    # the blocks in each list; lists of the same blocks are one
+    lies = settle(held.select("list", "sid").join(placed.select("sid", "class", "block"), "sid").select("list", "class", "block").distinct(), "lies")
+    alike = lies.groupBy("list").agg(F.sum(F.xxhash64("block").cast("decimal(38,0)")).alias("s"), F.count("*").alias("c")).groupBy("s", "c").agg(F.min("list").alias("list")).select("list")
+    lies = lies.join(alike, "list", "left_semi")
+    left = lies.select("list", "block", "class", F.explode(F.array("class", F.col("class") + 1)).alias("class2"))
+    right = lies.select("list", F.col("block").alias("block2"), F.col("class").alias("class2"))
+    pairs = left.join(right, ["list", "class2"]).where((F.col("class2") > F.col("class")) | (F.col("block2") >= F.col("block"))).select("block", "block2").distinct()
+    pairs = settle(pairs.withColumn("task", F.xxhash64("block", "block2")), "pairs")
+    same = F.col("block") == F.col("block2")
+    first = pairs.select("block", "task", F.when(same, BOTH).otherwise(INDEX).alias("side"))
+    second = pairs.where(~same).select(F.col("block2").alias("block"), "task", F.lit(QUERY).alias("side"))
+    return small.unionByName(placed.join(first.unionByName(second), "block").select("task", "side", "sid", "n", "n_copies"))
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -473,25 +635,35 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _link(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    parts = parts_for(docs)
+    # a slice is worked on in memory; a partition holds one, or several in turn where there are very many
+    slices = max(partitions(docs.sparkSession), -(-(input_bytes(docs) or 0) // SLICE_BYTES))
+    parts = min(slices, max(MOST_PARTS, partitions(docs.sparkSession)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    indexed = settle(rows.mapInArrow(freeing(_deal(parts)), DEALT).repartitionById(parts, F.col("part")).mapInArrow(freeing(_index(parts)), INDEXED), "index")
-    members = indexed.where("bucket is null").select("doc_id", "sid", "other", "n")
-    sets = settle(members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.max("n").alias("n"), (F.min("other") != F.max("other")).alias("clash")), "sets")
-    if sets.where("clash").head(1):
-        raise RuntimeError("two different sets share a 64-bit name")
-    packed = indexed.where("bucket is not null").select("bucket", "part", "sets", "counts", "tokens", "dfs")
-    surviving = settle(packed.repartitionById(parts, F.col("bucket")).mapInArrow(freeing(_surviving), SURVIVING), "surviving")
-    lists = surviving.mapInArrow(freeing(_prefixes(parts)), "part int, sets binary, tokens binary, of binary").repartitionById(parts, F.col("part")).mapInArrow(freeing(_lists), LISTS)
-    lists = settle(lists.distinct(), "lists")
-    found = _run_search(_tasks(lists, surviving.join(sets.select("sid", "n_copies"), "sid").select("sid", "n", "n_copies", "tokens")))
+    dealt = by_slices(rows.mapInArrow(freeing(_deal(slices, parts)), DEALT), "slice", False, slices, parts, NAME, DEALT, _DEALT)
+    indexed = settle(dealt.mapInArrow(freeing(_index(slices, parts)), INDEXED), "index")
+    members = indexed.where("bucket is null").select("doc_id", "hi", "lo", "n")
+    sets = settle(members.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies")), "sets")
+    entries = by_slices(indexed.where("bucket is not null").select(F.col("bucket").alias("part"), *indexed.columns), "bucket", True, slices, parts, NAME, INDEXED, _INDEXED)
+    surviving = settle(entries.mapInArrow(freeing(_surviving), SURVIVING).withColumn("sid", F.monotonically_increasing_id()), "surviving")
+    prefixes = surviving.select("sid", "n", "shared", "tokens").mapInArrow(freeing(_prefixes(slices, parts)), PREFIXES)
+    lists = settle(by_slices(prefixes, "slice", False, slices, parts, SET, PREFIXES, _PREFIXES).mapInArrow(freeing(_lists), LISTS).distinct(), "lists")
+    known = settle(surviving.select("sid", "hi", "lo", "n").join(sets, ["hi", "lo"]), "known")
+    tasks = settle(_tasks(lists, known.select("sid", "n", "n_copies")), "tasks")
+    n_tasks = tasks.select("task").distinct().count()
+    found = _run_search(tasks.join(surviving.select("sid", "tokens"), "sid").select("task", "side", "sid", "n", "n_copies", "tokens"), n_tasks)
     linked = found.groupBy("u").agg(F.sum("links").alias("links"))
-    labels = settle(components(found.select("u", "v")).join(linked, F.col("node") == F.col("u"), "left").select("node", "component", "links"), "labels")
-    named = labels.join(sets, labels["node"] == sets["sid"]).select("sid", "component", "first", "links")
-    lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))
-    of_set = sets.join(named.join(lowest, "component").select("sid", "lowest", "links"), "sid", "left").select("sid", F.coalesce("lowest", "first").alias("component_id"), "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    joined = members.where("sid is not null").join(of_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies", "n_links")
-    alone = members.where("sid is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    named = components(found.select("u", "v")).join(linked, F.col("node") == F.col("u")).join(known, F.col("node") == F.col("sid")).select("hi", "lo", "component", "first", "links")
+    named = settle(named, "named")
+    lowest = settle(named.groupBy("component").agg(F.min("first").alias("lowest"), F.count("*").alias("_rows")), "lowest")
+    named = join_unique(named, lowest.drop("_rows"), ["component"], lowest.drop("lowest")).select("hi", "lo", "lowest", "links")
+    # what a set of one document that links with nothing gets needs no join
+    of_set = sets.join(named, ["hi", "lo"], "left").where("n_copies > 1 or links is not null")
+    of_set = settle(of_set.select("hi", "lo", F.coalesce("lowest", "first").alias("component_id"), "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")), "of-set")
+    weights = sets.where("n_copies > 1").select("hi", "lo", F.col("n_copies").alias("_rows"))
+    joined = join_unique(members.where("hi is not null"), of_set, ["hi", "lo"], weights)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    joined = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", one).alias("n_copies"), F.coalesce("n_links", none).alias("n_links"))
+    alone = members.where("hi is null").select("doc_id", none.alias("n_shingles"), F.col("doc_id").alias("component_id"), one.alias("n_copies"), none.alias("n_links"))
     return joined.unionByName(alone)
 
 

@@ -494,12 +494,21 @@ def test_jaccard_on_chains_groups_and_passages(spark, seed, monkeypatch):
         for _ in range(4):
             texts[len(texts)] = texts[k].upper() if rng.random() < 0.5 else texts[k]
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    if seed == 2:  # more slices than partitions, small joins by shuffle with hot keys, shingles passed on as frequent
+        monkeypatch.setattr(jaccard, "input_bytes", lambda df: 30 * jaccard.SLICE_BYTES)
+        monkeypatch.setattr(jaccard, "MOST_PARTS", 3)
+        monkeypatch.setattr(jaccard, "_REGROUP", 2000)
+        monkeypatch.setattr(jaccard, "RARE_UPTO", 5)
+        monkeypatch.setattr(jaccard, "NOTICED", 2)
+        monkeypatch.setattr(jaccard, "GATHERED", 300)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 1000)
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(docs).collect()}
     assert found == _brute_components(texts)
 
 
 @pytest.mark.parametrize("block", [4, 256])
-def test_jaccard_counts_every_link(spark, block, monkeypatch, tmp_path):
+def test_jaccard_counts_every_link(spark, block, monkeypatch):
     """Families of different near copies, with exact copies among them: links of every document against all pairs."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(block)
@@ -513,11 +522,49 @@ def test_jaccard_counts_every_link(spark, block, monkeypatch, tmp_path):
             texts += [" ".join(words)] * rng.choice([1, 1, 2])
     sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
     expected = {i: sum(4 * len(a & b) >= 3 * len(a | b) for b in sets) - 1 for i, a in enumerate(sets)}
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
-    docs = spark.read.parquet(f"{tmp_path}/docs")  # its size is known, so parts are few
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["n_links"] for r in jaccard.link(docs).collect()} == expected
 
 
+def test_frames_made_in_memory_get_few_partitions(spark, sf_dir):
+    made = spark.createDataFrame([(1, "a b c")], "doc_id long, text string").rdd.toDF()
+    assert common.input_bytes(made) is None and common.parts_for(made) == common.partitions(spark)
+    assert common.input_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet")) > 10_000
+
+
+def test_frequent_shingles_are_passed_on_with_the_same_rank(monkeypatch):
+    """A slice of the index that passes frequent shingles on early says what one that gathers all says."""
+    rng = random.Random(3)
+    sets = [(k, -k, 0, rng.sample(range(60), rng.randint(1, 20)) + [900, 901] * (k % 2)) for k in range(300)]
+
+    def index(gathered, upto):
+        monkeypatch.setattr(jaccard, "GATHERED", gathered)
+        monkeypatch.setattr(jaccard, "RARE_UPTO", upto)
+        postings, out = jaccard.Postings(4, 4), []
+        for at in range(0, 320, 20):
+            some = sets[at % 300 : at % 300 + 20]  # the first ones twice
+            names = np.array([s[:3] for s in some], dtype=jaccard.NAME)
+            out += postings.add(names, np.repeat(np.arange(len(some)), [len(s[3]) for s in some]), np.concatenate([np.array(s[3], dtype=np.uint64) for s in some]))
+        found = set()
+        for r in out + postings.finish():
+            names, owner, tokens = jaccard.unpacked(r)
+            found |= {(int(names["hi"][o]), int(t), d) for o, t, d in zip(owner, tokens, r["dfs"], strict=True)}
+        return found
+
+    holders = Counter(t for s in sets for t in set(s[3]))
+    assert index(10_000, 30) == index(200, 30) == {(s[0], t, min(holders[t], 30)) for s in sets for t in s[3] if holders[t] > 1}
+    frequent = jaccard.Frequent()
+    for _ in range(4):
+        frequent.add(np.repeat(np.arange(20, dtype=np.uint64), np.arange(20)))
+    assert frequent.known.tolist() == [t for t in range(20) if t >= jaccard.NOTICED and 4 * t >= 30]
+
+
+def test_names_of_half_the_same_hash_are_apart():
+    names = np.array([(5, 1, 3), (5, 2, 4), (5, 1, 3), (-7, 2, 9)], dtype=jaccard.NAME)
+    distinct, place = jaccard.distinct_names(names)
+    assert len(distinct) == 3 and distinct[place].tolist() == names.tolist()
+
+
 def test_divide_skip_finds_what_counting_finds():
     rng = random.Random(7)
     for _ in range(60):
