@@ -67,15 +67,15 @@ def solve(shares: DataFrame, n_sources: int, target_entropy: float | None, max_e
     Entropy and repetition both fall as the exponent grows; the repetition limit wins.
     """
 
-    def search(fits_low) -> float:
-        """The boundary between exponents (low) for which ``fits_low`` holds and those (high) for which it doesn't."""
+    def search(fits_low) -> tuple[float, float]:
+        """Bounds, low and high, of the exponent up to which ``fits_low`` holds."""
         low, high = 0.0, 1.0
         for _ in range(8):
             grid = [low + (high - low) * k / _STEPS for k in range(1, _STEPS)]
             holds = [fits_low(x) for x in curve(shares, grid, budget)]
             k = sum(holds)
             low, high = ([low, *grid][k], [*grid, high][k])
-        return high if fits_low.__name__ == "too_often" else low
+        return low, high
 
     alpha = 1.0
     if target_entropy is not None:
@@ -84,7 +84,7 @@ def solve(shares: DataFrame, n_sources: int, target_entropy: float | None, max_e
         def entropic(x) -> bool:
             return x["entropy"] >= wanted
 
-        alpha = 1.0 if entropic(curve(shares, [1.0], budget)[0]) else search(entropic)
+        alpha = 1.0 if entropic(curve(shares, [1.0], budget)[0]) else search(entropic)[0]  # still entropic
     elif max_epochs is not None:
         alpha = 0.0
     if max_epochs is not None:
@@ -93,7 +93,7 @@ def solve(shares: DataFrame, n_sources: int, target_entropy: float | None, max_e
             return x["epochs"] > max_epochs
 
         if too_often(curve(shares, [alpha], budget)[0]):
-            alpha = max(alpha, search(too_often))
+            alpha = max(alpha, search(too_often)[1])  # no longer too often
     return curve(shares, [alpha], budget)[0]
 
 

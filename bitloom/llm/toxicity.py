@@ -9,7 +9,8 @@ returns the offending sentences as spans.
 Edge cases: null and empty texts have no sentence and score the model's prior rate of
 toxic labels among empty texts, which is 0 unless learned otherwise (a document
 without words counts as one empty sentence); rows whose label is null teach nothing;
-without a positive or a negative label every score is the smoothed rate of the other;
+without a positive or a negative label every score is the smoothed rate of the other, and
+without any label about 0;
 repeated rows are scored alike; empty tables give empty results.
 """
 
@@ -60,8 +61,10 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> dict:
     weight is the sum over its features.
     """
     y = np.array(labels, dtype=bool)
+    if not len(y):
+        return {"weights": {}, "bias": -30.0}
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    if not len(y) or y.all() or not y.any():
+    if y.all() or not y.any():
         return {"weights": {}, "bias": math.log(rate / (1 - rate))}
     word_id: dict[str, int] = {}
     word_in, row, owner, df = array("i"), array("i"), array("i"), Counter()
@@ -138,10 +141,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = heads.join(known, "id").groupBy("h", "label").agg(F.min("id").alias("id"), F.max("n").alias("n")).orderBy("h", "label").limit(TRAIN_DOCS).collect()
     room, chosen = TRAIN_CHARS, []
     for r in drawn:
-        room -= r["n"]
-        if room < 0:
-            break
-        chosen.append((r["id"], r["h"], r["label"]))
+        if r["n"] <= room:  # a text that doesn't fit is passed over
+            room -= r["n"]
+            chosen.append((r["id"], r["h"], r["label"]))
     if not chosen:
         return [], []
     wanted = docs.sparkSession.createDataFrame(chosen, "id long, h long, label int")

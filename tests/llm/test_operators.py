@@ -215,13 +215,38 @@ def test_toxicity_on_the_tables(spark, sf_dir, documents):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for i, r in found.items())
 
 
+def test_toxicity_query_brute_force(spark, sf_dir, documents, monkeypatch):
+    """Every document's score is the noisy-or of its sentences under the weights that were learned, and a long text doesn't end the sample."""
+    kept, original = {}, toxicity.fit
+
+    def fit(texts, labels):
+        kept["model"], kept["texts"] = original(texts, labels), texts
+        return kept["model"]
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    longest = max(len(d[1]) for d in documents if zlib.crc32(str(d[0]).encode()) % 4 != 2)
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", 40 * longest // 2)
+    found = {r["doc_id"]: r for r in queries.op4_toxicity(spark, sf_dir).collect()}
+    weights, bias = kept["model"]["weights"], kept["model"]["bias"]
+    assert kept["texts"] and sum(map(len, kept["texts"])) <= toxicity.TRAIN_CHARS
+    learnt = {d[1] for d in documents if zlib.crc32(str(d[0]).encode()) % 4 != 2}
+    assert all(t in learnt for t in kept["texts"])
+    for doc_id, text, *_ in documents:
+        none_toxic = 1.0
+        parts = [set(w) for x in re.split(r"[.!?\n]+", text) if (w := re.findall(r"[^\W\d_]+", x.lower()))]
+        for words in parts or [set()]:
+            z = bias + sum(weights.get(f"{w}$", 0.0) + sum(weights.get(w[:n], 0.0) for n in range(3, min(9, len(w)) + 1)) for w in words)
+            none_toxic *= 1 - 1 / (1 + math.exp(-max(-500, min(500, z))))
+        assert abs(found[doc_id]["score"] - (1 - none_toxic)) < 1e-6 and found[doc_id]["n_sentences"] <= max(1, len(parts))
+
+
 def test_toxicity_edges(spark, odd, empty):
     marks = spark.createDataFrame([(1, 1), (2, 0), (5, None), (4, 0)], "doc_id long, toxic int")
     model = toxicity.learn(odd, marks)
     rows = toxicity.detect(odd, model, ["doc_id"]).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
     nothing = toxicity.learn(empty, marks)
-    assert 0 <= toxicity.detect(odd, nothing, ["doc_id"]).first()["score"] <= 1
+    assert all(r["score"] < 0.01 and not r["predicted"] for r in toxicity.detect(odd, nothing, ["doc_id"]).collect())
     assert toxicity.detect(empty, model, ["doc_id"]).count() == 0
 
 
@@ -430,6 +455,58 @@ def test_url_models_learn(spark):
     assert sum((found[i] >= 0.5) == (i >= 100) for i in range(200)) >= 198
 
 
+def test_url_query_brute_force(spark, sf_dir):
+    """Rules, then the length-normalised ratio of two interpolated models and its calibration, counted anew."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.xxhash64("url").alias("h")).collect()
+
+    def judged(url):
+        if url is None or "://" not in url:
+            return "", "", None
+        rest = url.split("://", 1)[1]
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(p), v, p) for v, p in queries.URL_RULES if (host == (h := p.split("/", 1)[0]) or host.endswith("." + h)) and path.startswith("/" + p.split("/", 1)[1])]
+        return host, path, max(fits)[1:] if fits else None
+
+    verdicts = {r["page_id"]: judged(r["url"]) for r in rows}
+    urls_of = {v: [u for _, u in sorted({(r["h"], r["url"]) for r in rows if (verdicts[r["page_id"]][2] or ("",))[0] == v})] for v in ("allow", "block")}
+    assert all(len(v) <= urls.SAMPLE for v in urls_of.values())
+    fitted = {v: [u for i, u in enumerate(x) if i % urls.CALIBRATE] or x for v, x in urls_of.items()}
+
+    def counts(texts):
+        out = defaultdict(Counter)
+        for t in texts:
+            t = f"\x02{t}\x03"
+            for i in range(1, len(t)):
+                for k in range(0, min(i, urls.ORDER) + 1):
+                    out[t[i - k : i]][t[i]] += 1
+        return out
+
+    tables = {v: counts(x) for v, x in fitted.items()}
+
+    def chance(table, context, c):
+        if context == "":
+            below = 1 / urls.ALPHABET
+        else:
+            below = chance(table, context[1:], c)
+        if context not in table:
+            return below
+        after = table[context]
+        return (after[c] + len(after) * below) / (after.total() + len(after))
+
+    model = urls.fit(urls_of["allow"], urls_of["block"])
+    for r in queries.op7_urls(spark, sf_dir).collect():
+        host, path, rule = verdicts[r["page_id"]]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule[1])
+        url = next(x["url"] for x in rows if x["page_id"] == r["page_id"]) or ""
+        marked = f"\x02{url}\x03"
+        difference = sum(math.log(chance(tables["block"], marked[max(0, i - urls.ORDER) : i], marked[i]) / chance(tables["allow"], marked[max(0, i - urls.ORDER) : i], marked[i])) for i in range(1, len(marked))) / (len(marked) - 1)
+        p = 1 / (1 + math.exp(-model["slope"] * difference - model["offset"]))
+        assert abs(r["difference"] - difference) < 1e-9 and abs(r["p_block"] - p) < 1e-9
+        assert r["verdict"] == (rule[0] if rule else "block" if p >= 0.5 else "allow")
+
+
 def test_url_edges(spark, sf_dir):
     pages = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "http://x.net/" + "a" * 100_000)], "page_id long, url string")
     rows = urls.filter_urls(pages, []).collect()
