@@ -3,10 +3,11 @@
 Documents are sets of five-word shingles; two link when the Jaccard similarity of their
 sets reaches 0.75.  The steps:
 
-1. Equal sets become one set, known by a 128-bit hash of its shingles.
+1. Equal sets become one set, known by a 128-bit hash of its shingles.  A task sends each
+   set once, in batches; between tasks, equal sets are only merged after step 2.
 2. An inverted index of all shingles, dealt by hash in slices of bounded size, tells for
-   each set which of its shingles occur in another set.  A set of which less than 3/4 do
-   links with nothing and is done.  Shared passages alone therefore never make candidates.
+   each batch which of its sets' shingles occur in another set.  A set of which less than
+   3/4 do links with nothing and is done.  Shared passages alone therefore never make candidates.
    A shingle's rank by frequency ends at ``RARE_UPTO`` sets.  A shingle that reaches it is
    streamed on instead of gathered, so a line that a third of all texts hold needs no memory.
 3. Of each set that is left only a prefix is indexed: as many of its rarest shingles as
@@ -54,6 +55,8 @@ BLOCK, MOST_BLOCK = 256, 4096
 BLOCK_SHINGLES, MOST_SHINGLES = 500_000, 4_000_000
 #: Weight of a binary probe against a merge step when the long lists are chosen.
 PROBE_COST = 0.02
+#: A binary search costs as much as merging so many entries.
+SCAN_COST = 16
 #: Most ids to drop that are broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -80,7 +83,7 @@ def needed(n: int) -> int:
     return -(-SIMILAR[0] * n // SIMILAR[1])
 
 
-def required(n: int, m: int) -> int:
+def required(n: int, m):
     """The overlap at which sets of ``n`` and ``m`` shingles link."""
     a, b = SIMILAR
     return -(-a * (n + m) // (a + b))
@@ -91,15 +94,16 @@ def required(n: int, m: int) -> int:
 #: A set's name, and its number of shingles.
 NAME = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("n", "<u4")])
 _SIGN, _LOW = 1 << 63, (1 << 64) - 1
-DEALT = "part int, slice int, bucket int, doc_id long, hi long, lo long, n long, names binary, counts binary, tokens binary, dfs binary"
-_DEALT = pa.schema([("part", pa.int32()), ("slice", pa.int32()), ("bucket", pa.int32()), *[(c, pa.int64()) for c in ("doc_id", "hi", "lo", "n")], *[(c, pa.binary()) for c in ("names", "counts", "tokens", "dfs")]])
-#: Most shingles of one packed entry; larger stretches take several.
-_MOST = (1 << 16) - 1
+DEALT = "part int, slice int, doc_id long, hi long, lo long, n long, batch binary, names binary, owners binary, tokens binary, dfs binary"
+_PACKED = ("batch", "names", "owners", "tokens", "dfs")
+_DEALT = pa.schema([("part", pa.int32()), ("slice", pa.int32()), *[(c, pa.int64()) for c in ("doc_id", "hi", "lo", "n")], *[(c, pa.binary()) for c in _PACKED]])
+#: Most sets of one batch: their places fit 16 bits.
+_MOST = 1 << 16
 
 
 def spread(values: np.ndarray, slices: int) -> np.ndarray:
     """A slice for each value, by its mixed upper bits."""
-    return ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(slices)).astype(np.int64)
+    return ((values * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(slices)).astype(np.int64)
 
 
 def part_of(values: np.ndarray, slices: int, parts: int) -> np.ndarray:
@@ -115,46 +119,21 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(sorted_values)])
 
 
-def _cut(starts: np.ndarray, end: int) -> np.ndarray:
-    """Starts of stretches of at most _MOST entries."""
-    sizes = np.diff(np.r_[starts, end])
-    if not len(sizes) or sizes.max() <= _MOST:
-        return starts
-    return np.concatenate([np.arange(a, a + n, _MOST) for a, n in zip(starts, sizes, strict=True)])
-
-
-def distinct_names(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct names, and for each name its place among them."""
-    order = np.argsort(names["hi"], kind="stable")
-    hi, lo = names["hi"][order], names["lo"][order]
-    same = hi[1:] == hi[:-1]
-    if (same & (lo[1:] != lo[:-1])).any():  # two sets share half a name
-        order = np.lexsort((names["lo"], names["hi"]))
-        hi, lo = names["hi"][order], names["lo"][order]
-    new = np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])] if len(names) else np.zeros(0, dtype=bool)
-    place = np.empty(len(names), dtype=np.int64)
-    place[order] = np.cumsum(new) - 1
-    return names[order[new]], place
-
-
-def packed(key: np.ndarray, owner: np.ndarray, names: np.ndarray, tokens: np.ndarray, dfs: np.ndarray | None = None) -> Iterator[dict]:
-    """One row for each key: the names that have entries under it, how many each, and the entries' shingles."""
-    cell = key * len(names) + owner
-    order = np.argsort(cell, kind="stable")
-    cell, tokens = cell[order], tokens[order]
-    dfs = None if dfs is None else dfs[order]
-    starts = _cut(_runs(cell)[0], len(cell))
-    ends = np.r_[starts, len(cell)]
-    keys, owners = np.divmod(cell[starts], len(names))
-    for a, n in zip(*_runs(keys), strict=True):
-        low, high = ends[a], ends[a + n]
-        yield {"key": int(keys[a]), "names": names[owners[a : a + n]].tobytes(), "counts": np.diff(ends[a : a + n + 1]).astype("<u2").tobytes(), "tokens": tokens[low:high].astype("<u8").tobytes(), "dfs": None if dfs is None else dfs[low:high].tobytes()}
-
-
-def unpacked(row: dict, kind: np.dtype = NAME) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names, the place of each shingle's name among them, and the shingles of a row of :func:`packed`."""
-    names, counts = np.frombuffer(row["names"], dtype=kind), np.frombuffer(row["counts"], dtype="<u2")
-    return names, np.repeat(np.arange(len(names)), counts), np.frombuffer(row["tokens"], dtype="<u8")
+def packed(batch: bytes, owner: np.ndarray, tokens: np.ndarray, dfs: np.ndarray | None = None) -> dict:
+    """Entries of one batch: for each the place of its set in the batch, the shingle and, once it is known, the rank."""
+    return {"batch": batch, "owners": owner.astype("<u2").tobytes(), "tokens": tokens.astype("<u8").tobytes(), "dfs": None if dfs is None else dfs.tobytes()}
+
+
+def by_key(key: np.ndarray, batch: bytes, owner: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[int, dict]]:
+    """A packed row for each key."""
+    order = np.argsort(key, kind="stable")
+    key, owner, tokens = key[order], owner[order], tokens[order]
+    for a, n in zip(*_runs(key), strict=True):
+        yield int(key[a]), packed(batch, owner[a : a + n], tokens[a : a + n])
+
+
+def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row["owners"], dtype="<u2"), np.frombuffer(row["tokens"], dtype="<u8")
 
 
 def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -163,57 +142,48 @@ def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+def _each(batches, columns: list[str], where: str) -> Iterator[dict]:
+    """Rows of which column ``where`` isn't null, one by one, as the packed columns are large."""
+    for batch in batches:
+        some = batch.filter(batch.column(where).is_valid()).select(columns)
+        for k in range(some.num_rows):
+            yield some.slice(k, 1).to_pylist()[0]
+
+
 #: Bytes of shingles that are regrouped at once.
 _REGROUP = 64 << 20
 
 
-def _regroup(column: str, by_name: bool, slices: int, kind: np.dtype, schema: pa.Schema):
-    """The packed rows of a partition of several slices, dealt to its slices; other rows pass."""
+def _regroup(slices: int):
+    """Packed rows of a partition of several slices, dealt to its slices.  Batches stay apart, so rows are joined per batch before."""
 
     def rows(batches):
-        held, size = [], 0
+        held: dict[bytes, list[tuple]] = {}
+        size = 0
 
         def dealt():
-            names, owners, base = [], [], 0
-            for r in held:
-                found, owner, _ = unpacked(r, kind)
-                names.append(found)
-                owners.append(owner + base)
-                base += len(found)
-            names, owners, tokens = np.concatenate(names), np.concatenate(owners), np.concatenate([np.frombuffer(r["tokens"], dtype="<u8") for r in held])
-            dfs = None if held[0]["dfs"] is None else np.concatenate([np.frombuffer(r["dfs"], dtype=np.uint8) for r in held])
-            key = spread(names["hi"], slices)[owners] if by_name else spread(tokens, slices)
-            for r in packed(key, owners, names, tokens, dfs):
-                r[column] = r.pop("key")
-                yield pa.RecordBatch.from_pylist([r], schema=schema)
+            out = []
+            for batch, found in held.items():
+                owner, tokens = (np.concatenate(c) for c in zip(*found, strict=True))
+                out += [{"slice": k} | r for k, r in by_key(spread(tokens, slices), batch, owner, tokens)]
+            for at in range(0, len(out), 10_000):
+                yield pa.RecordBatch.from_pylist(out[at : at + 10_000], schema=_DEALT)
 
         for batch in batches:
-            own = batch.column(column).is_valid()
-            if (passed := batch.filter(pc.invert(own))).num_rows:
-                yield passed.select(schema.names).cast(schema)
-            own = batch.filter(own).select([*_PACKED])
-            for k in range(own.num_rows):
-                held.append(own.slice(k, 1).to_pylist()[0])
-                size += len(held[-1]["tokens"])
-                if size > _REGROUP:
-                    yield from dealt()
-                    held, size = [], 0
-        if held:
-            yield from dealt()
+            if (passed := batch.filter(pc.invert(batch.column("slice").is_valid()))).num_rows:
+                yield passed.select(_DEALT.names).cast(_DEALT)
+            for row in _each([batch], list(_PACKED), "tokens"):
+                if row["names"] is None:
+                    held.setdefault(row["batch"], []).append(unpacked(row))
+                    size += len(row["tokens"])
+            if size > _REGROUP:
+                yield from dealt()
+                held, size = {}, 0
+        yield from dealt()
 
     return rows
 
 
-def by_slices(rows: DataFrame, column: str, by_name: bool, slices: int, parts: int, kind: np.dtype, schema: str, arrow: pa.Schema) -> DataFrame:
-    """``rows`` dealt to their partitions, in which the slices named by ``column`` follow one another.
-
-    A partition is one slice, unless there are more slices than a shuffle can serve; then a
-    partition's rows are regrouped by slice, and Spark's sort, which spills, puts them in order.
-    """
-    dealt = rows.repartitionById(parts, F.col("part"))
-    return dealt if slices == parts else dealt.mapInArrow(_regroup(column, by_name, slices, kind, arrow), schema).sortWithinPartitions(column)
-
-
 class Frequent:
     """Shingles that a task has sent to the index for RARE_UPTO sets: the index knows their rank, so more needn't go there."""
 
@@ -237,11 +207,7 @@ class Frequent:
 
 
 def _deal(slices: int, parts: int):
-    """Batches of documents to rows for the index: one per document, and one per slice with packed sets and shingles."""
-
-    def place(row: dict, column: str) -> dict:
-        key = row.pop("key")
-        return row | {column: key, "part": key}
+    """Batches of documents to rows for the index: one per document, one per batch with its sets, and one per batch and slice with shingles."""
 
     def rows(batches):
         import xxhash
@@ -264,114 +230,91 @@ def _deal(slices: int, parts: int):
                         sent.add(whole)
                         found.append(h)
                         names.append((hi, lo, len(h)))
-                if found:
-                    names = np.array(names, dtype=NAME)
-                    tokens, owner = np.concatenate(found), np.repeat(np.arange(len(found)), [len(h) for h in found])
-                    if (known := _in(tokens, frequent.known)).any():
-                        ranks = np.full(known.sum(), RARE_UPTO, dtype=np.uint8)
-                        out += [place(r, "bucket") for r in packed(part_of(names["hi"], slices, parts)[owner[known]], owner[known], names, tokens[known], ranks)]
-                        tokens, owner = tokens[~known], owner[~known]
+                for first in range(0, len(found), _MOST):
+                    some = np.array(names[first : first + _MOST], dtype=NAME).tobytes()
+                    uid = xxhash.xxh3_128_digest(some)  # batches of the same name hold the same sets in the same places
+                    held = found[first : first + _MOST]
+                    tokens, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+                    known = _in(tokens, frequent.known)
+                    out.append({"part": turn % parts, "names": some} | packed(uid, owner[known], tokens[known], np.full(known.sum(), RARE_UPTO, dtype=np.uint8)))
+                    tokens, owner = tokens[~known], owner[~known]
                     frequent.add(tokens)
-                    out += [place(r, "slice") for r in packed(part_of(tokens, slices, parts), owner, names, tokens)]
+                    out += [{"part": k, "slice": k} | r for k, r in by_key(part_of(tokens, slices, parts), uid, owner, tokens)]
                 yield pa.RecordBatch.from_pylist(out, schema=_DEALT)
 
     return rows
 
 
 class Postings:
-    """The entries of one slice of the index.  Beyond GATHERED of them, those of frequent shingles are passed on."""
+    """The entries of one slice of the index, in batches.  Beyond GATHERED of them, those of frequent shingles are passed on."""
 
-    def __init__(self, slices: int, parts: int):
-        self.slices, self.parts, self.chunks, self.size, self.room = slices, parts, [], 0, GATHERED
+    def __init__(self):
+        self.batches: list[list] = []  # name, places of sets, shingles
+        self.size, self.room = 0, GATHERED
         self.frequent = np.zeros(0, dtype=np.uint64)
 
-    def _out(self, names, owner, tokens, dfs) -> list[dict]:
-        return list(packed(part_of(names["hi"], self.slices, self.parts)[owner], owner, names, tokens, dfs)) if len(tokens) else []
+    def _out(self, batch: bytes, owner: np.ndarray, tokens: np.ndarray, ranks: np.ndarray | None = None) -> list[dict]:
+        return [packed(batch, owner, tokens, np.full(len(tokens), RARE_UPTO, dtype=np.uint8) if ranks is None else ranks)] if len(tokens) else []
 
-    def add(self, names: np.ndarray, owner: np.ndarray, tokens: np.ndarray) -> list[dict]:
+    def _counts(self) -> list[np.ndarray]:
+        """For each batch how many sets have its shingles, a set counting once in each batch it is in."""
+        every = np.concatenate([b[2] for b in self.batches])
+        order = np.argsort(every, kind="stable")
+        _, lengths = _runs(every[order])
+        df = np.empty(len(every), dtype=np.int64)
+        df[order] = np.repeat(lengths, lengths)
+        return np.split(df, np.cumsum([len(b[2]) for b in self.batches])[:-1])
+
+    def add(self, row: dict) -> list[dict]:
+        owner, tokens = unpacked(row)
         out, known = [], _in(tokens, self.frequent)
         if known.any():
-            out += self._out(names, owner[known], tokens[known], np.full(known.sum(), RARE_UPTO, dtype=np.uint8))
+            out += self._out(row["batch"], owner[known], tokens[known])
             owner, tokens = owner[~known], tokens[~known]
-        self.chunks.append((names, owner, tokens))
+        self.batches.append([row["batch"], owner, tokens])
         self.size += len(tokens)
         if self.size > self.room:
-            names, owner, tokens, df = self._gather()
-            often = df >= RARE_UPTO
-            out += self._out(names, owner[often], tokens[often], np.full(often.sum(), RARE_UPTO, dtype=np.uint8))
-            self.frequent = np.union1d(self.frequent, tokens[often])
-            self.chunks, self.size = [(names, owner[~often], tokens[~often])], int((~often).sum())
+            frequent, left = [self.frequent], []
+            for (batch, owner, tokens), df in zip(self.batches, self._counts(), strict=True):
+                often = df >= RARE_UPTO
+                out += self._out(batch, owner[often], tokens[often])
+                frequent.append(tokens[often])
+                left.append([batch, owner[~often], tokens[~often]])
+            self.frequent, self.batches = np.unique(np.concatenate(frequent)), left
+            self.size = sum(len(b[2]) for b in left)
             self.room = max(GATHERED, 2 * self.size)
         return out
 
-    def _gather(self):
-        """All entries by shingle, each set's once, and how many sets have the shingle."""
-        places, base = [], 0
-        for names, owner, _ in self.chunks:
-            places.append(owner + base)
-            base += len(names)
-        names, place = distinct_names(np.concatenate([c[0] for c in self.chunks]))
-        owner, tokens = place[np.concatenate(places)].astype(np.int32), np.concatenate([c[2] for c in self.chunks])
-        order = np.lexsort((owner, tokens))
-        tokens, owner = tokens[order], owner[order]
-        first = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])] if len(tokens) else np.zeros(0, dtype=bool)
-        tokens, owner = tokens[first], owner[first]
-        _, lengths = _runs(tokens)
-        return names, owner.astype(np.int64), tokens, np.repeat(lengths, lengths)
-
     def finish(self) -> list[dict]:
         """What two sets or more hold, with its rank."""
-        if not self.chunks:
-            return []
-        names, owner, tokens, df = self._gather()
-        shared = df > 1
-        return self._out(names, owner[shared], tokens[shared], np.minimum(df[shared], RARE_UPTO).astype(np.uint8))
+        out = []
+        for (batch, owner, tokens), df in zip(self.batches, self._counts() if self.batches else [], strict=True):
+            shared = df > 1
+            out += self._out(batch, owner[shared], tokens[shared], np.minimum(df[shared], RARE_UPTO).astype(np.uint8))
+        return out
 
 
-_PACKED = ("names", "counts", "tokens", "dfs")
-INDEXED = "bucket int, doc_id long, hi long, lo long, n long, names binary, counts binary, tokens binary, dfs binary"
+INDEXED = "doc_id long, hi long, lo long, n long, batch binary, names binary, owners binary, tokens binary, dfs binary"
 _INDEXED = pa.schema([f for f in _DEALT if f.name not in ("part", "slice")])
 
 
-def _by(key: str, batches) -> Iterator[tuple[int, Iterator[dict]]]:
-    """Rows that are sorted by ``key``, one group after the other."""
-    from itertools import groupby
+def _index(batches):
+    """The rows of one part, slice by slice: documents and sets pass; shingles that two sets or more hold get their ranks."""
+    open_slice, postings = None, Postings()
 
-    def each():
-        for batch in batches:
-            for k in range(batch.num_rows):  # row by row, as the packed columns are large
-                yield batch.slice(k, 1).to_pylist()[0]
+    def emitted(found: list[dict]):
+        for at in range(0, len(found), 1000):
+            yield pa.RecordBatch.from_pylist(found[at : at + 1000], schema=_INDEXED)
 
-    return ((k, g) for k, g in groupby(each(), key=lambda r: r[key]))
-
-
-def _index(slices: int, parts: int):
-    """The rows of one part, slice by slice: documents and ranked entries pass; shingles that two sets or more hold go with their ranks to their sets' buckets."""
-
-    def rows(batches):
-        open_slice, postings = None, Postings(slices, parts)
-
-        def emitted(found: list[dict]):
-            for r in found:
-                r["bucket"] = r.pop("key")
-            if found:
-                yield pa.RecordBatch.from_pylist(found, schema=_INDEXED)
-
-        for batch in batches:
-            entries = batch.column("slice").is_valid()
-            passed = batch.filter(pc.invert(entries))
-            if passed.num_rows:
-                yield pa.RecordBatch.from_arrays([passed.column(f.name) for f in _INDEXED], schema=_INDEXED)
-            entries = batch.filter(entries).select(["slice", *_PACKED])
-            for k in range(entries.num_rows):
-                row = entries.slice(k, 1).to_pylist()[0]
-                if row["slice"] != open_slice:
-                    yield from emitted(postings.finish())
-                    open_slice, postings = row["slice"], Postings(slices, parts)
-                yield from emitted(postings.add(*unpacked(row)))
-        yield from emitted(postings.finish())
-
-    return rows
+    for batch in batches:
+        if (passed := batch.filter(pc.invert(batch.column("slice").is_valid()))).num_rows:
+            yield pa.RecordBatch.from_arrays([passed.column(f.name) for f in _INDEXED], schema=_INDEXED)
+        for row in _each([batch], ["slice", *_PACKED], "slice"):
+            if row["slice"] != open_slice:
+                yield from emitted(postings.finish())
+                open_slice, postings = row["slice"], Postings()
+            yield from emitted(postings.add(row))
+    yield from emitted(postings.finish())
 
 
 SURVIVING = "hi long, lo long, n long, shared long, tokens binary"
@@ -381,19 +324,18 @@ _BATCH = 8 << 20
 
 
 def _surviving(batches):
-    """The entries of one bucket after the other to its sets of which enough shingles are shared, rarest shingles first."""
-    for _, group in _by("bucket", batches):
-        chunks, dfs, places, base = [], [], [], 0
+    """The entries of one batch after the other to its sets of which enough shingles are shared, rarest shingles first."""
+    from itertools import groupby
+
+    for _, group in groupby(_each(batches, list(_PACKED), "batch"), key=lambda r: r["batch"]):
+        names, found = None, []
         for row in group:
-            names, owner, tokens = unpacked(row)
-            chunks.append((names, tokens))
-            places.append(owner + base)
-            dfs.append(np.frombuffer(row["dfs"], dtype=np.uint8))
-            base += len(names)
-        names, place = distinct_names(np.concatenate([c[0] for c in chunks]))
-        owner, tokens, dfs = place[np.concatenate(places)], np.concatenate([c[1] for c in chunks]), np.concatenate(dfs)
+            names = row["names"] or names
+            found.append((*unpacked(row), np.frombuffer(row["dfs"], dtype=np.uint8)))
+        names = np.frombuffer(names, dtype=NAME)
+        owner, tokens, dfs = (np.concatenate(c) for c in zip(*found, strict=True))
         n = names["n"].astype(np.int64)
-        # entries may come twice, so this may keep too many; they are counted again below
+        # entries come twice from batches of the same name, so this may keep too many; they are counted again below
         keep = (SIMILAR[1] * np.bincount(owner, minlength=len(names)) >= SIMILAR[0] * n)[owner]
         owner, tokens, dfs = owner[keep], tokens[keep], dfs[keep]
         order = np.lexsort((tokens, dfs, owner))
@@ -419,8 +361,28 @@ def _surviving(batches):
 
 #: A surviving set's number, size, and shingles of its own.
 SET = np.dtype([("sid", "<i8"), ("n", "<i8"), ("own", "<i8")])
-PREFIXES = "part int, slice int, names binary, counts binary, tokens binary, dfs binary"
-_PREFIXES = pa.schema([("part", pa.int32()), ("slice", pa.int32()), *[(c, pa.binary()) for c in _PACKED]])
+PREFIXES = "part int, slice int, sets binary, tokens binary, of binary"
+_PREFIXES = pa.schema([("part", pa.int32()), ("slice", pa.int32()), ("sets", pa.binary()), ("tokens", pa.binary()), ("of", pa.binary())])
+
+
+def _prefix_rows(key: np.ndarray, sets: np.ndarray, of: np.ndarray, tokens: np.ndarray) -> list[dict]:
+    """For each key its entries: the sets that have some, the shingles, and the place of each one's set."""
+    order, out = np.argsort(key, kind="stable"), []
+    key, of, tokens = key[order], of[order], tokens[order]
+    for a, size in zip(*_runs(key), strict=True):
+        used, local = np.unique(of[a : a + size], return_inverse=True)
+        out.append({"slice": int(key[a]), "sets": sets[used].tobytes(), "tokens": tokens[a : a + size].astype("<u8").tobytes(), "of": local.astype("<u4").tobytes()})
+    return out
+
+
+def _prefix_entries(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sets, of, tokens, base = [], [], [], 0
+    for row in rows:
+        sets.append(np.frombuffer(row["sets"], dtype=SET))
+        of.append(np.frombuffer(row["of"], dtype="<u4").astype(np.int64) + base)
+        tokens.append(np.frombuffer(row["tokens"], dtype="<u8"))
+        base += len(sets[-1])
+    return np.concatenate(sets), np.concatenate(of), np.concatenate(tokens)
 
 
 def _prefixes(slices: int, parts: int):
@@ -432,17 +394,43 @@ def _prefixes(slices: int, parts: int):
             for sid, n, shared, t in zip(*(batch.column(c).to_pylist() for c in ("sid", "n", "shared", "tokens")), strict=True):
                 tokens.append(np.frombuffer(t, dtype="<u8")[: shared - needed(n) + 1])
                 sets.append((sid, n, n - shared))
-            if not sets:
-                continue
-            sets, owner, tokens = np.array(sets, dtype=SET), np.repeat(np.arange(len(sets)), [len(t) for t in tokens]), np.concatenate(tokens)
-            out = list(packed(part_of(tokens, slices, parts), owner, sets, tokens))
-            for r in out:
-                r["part"] = r["slice"] = r.pop("key")
-            yield pa.RecordBatch.from_pylist(out, schema=_PREFIXES)
+            if sets:
+                of, tokens = np.repeat(np.arange(len(sets)), [len(t) for t in tokens]), np.concatenate(tokens)
+                out = _prefix_rows(part_of(tokens, slices, parts), np.array(sets, dtype=SET), of, tokens)
+                yield pa.RecordBatch.from_pylist([{"part": r["slice"]} | r for r in out], schema=_PREFIXES)
+
+    return rows
+
+
+def _regroup_prefixes(slices: int):
+    """Packed prefixes of a partition of several slices, dealt to its slices."""
+
+    def rows(batches):
+        held, size = [], 0
+        for row in _each(batches, ["sets", "tokens", "of"], "slice"):
+            held.append(row)
+            size += len(row["tokens"])
+            if size > _REGROUP:
+                sets, of, tokens = _prefix_entries(held)
+                yield pa.RecordBatch.from_pylist(_prefix_rows(spread(tokens, slices), sets, of, tokens), schema=_PREFIXES)
+                held, size = [], 0
+        if held:
+            sets, of, tokens = _prefix_entries(held)
+            yield pa.RecordBatch.from_pylist(_prefix_rows(spread(tokens, slices), sets, of, tokens), schema=_PREFIXES)
 
     return rows
 
 
+def in_slices(rows: DataFrame, slices: int, parts: int, regroup, schema: str) -> DataFrame:
+    """``rows`` dealt to their partitions, in which slices follow one another.
+
+    A partition is one slice, unless there are more slices than a shuffle can serve; then a
+    partition's rows are regrouped by slice, and Spark's sort, which spills, puts them in order.
+    """
+    dealt = rows.repartitionById(parts, F.col("part"))
+    return dealt if slices == parts else dealt.mapInArrow(freeing(regroup(slices)), schema).sortWithinPartitions("slice")
+
+
 #: Base of the size classes: sets that link differ by a ratio of 4/3 at most, so by one class.
 CLASS_BASE = 1.334
 
@@ -454,15 +442,10 @@ def _lists(batches):
 
     A list's name is a hash of the sets in it, so equal lists of different shingles are one.
     """
-    for _, group in _by("slice", batches):
-        sets, tokens, of, base = [], [], [], 0
-        for row in group:
-            found, owner, t = unpacked(row, SET)
-            sets.append(found)
-            tokens.append(t)
-            of.append(owner + base)
-            base += len(found)
-        sets, tokens, of = np.concatenate(sets), np.concatenate(tokens), np.concatenate(of)
+    from itertools import groupby
+
+    for _, group in groupby(_each(batches, ["slice", "sets", "tokens", "of"], "slice"), key=lambda r: r["slice"]):
+        sets, of, tokens = _prefix_entries(list(group))
         rank = np.empty(len(sets), dtype=np.int64)  # pivots come first: few shingles of their own, then the smaller name
         rank[np.lexsort((sets["sid"], sets["own"] / np.maximum(sets["n"], 1)))] = np.arange(len(sets))
         order = np.lexsort((rank[of], tokens))
@@ -484,30 +467,58 @@ def _lists(batches):
 # step 4
 
 
-def divide_skip(lists: list, least: int, size_of, n: int) -> list[int]:
-    """Local numbers of the indexed sets that link with a query of ``n`` shingles.
+class Lists:
+    """Inverted lists of a block of sets: for each shingle, ascending, the places of the sets that hold it."""
 
-    ``lists`` are the query's inverted lists (ascending), ``least`` the overlap that any
-    partner reaches.  The longest lists are only probed.
+    def __init__(self, held: list[np.ndarray], sizes: list[int]):
+        tokens, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(t) for t in held])
+        order = np.argsort(tokens, kind="stable")
+        tokens, self.owner = tokens[order], owner[order]
+        self.starts, self.lengths = _runs(tokens)
+        self.tokens, self.sizes = tokens[self.starts], np.array(sizes)
+        self.keys = np.repeat(np.arange(len(self.starts)), self.lengths) * len(held) + self.owner
+
+    def of(self, query: np.ndarray) -> np.ndarray:
+        """The numbers of the query's lists."""
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        return at[self.tokens[at] == query]
+
+    def merged(self, lists: np.ndarray) -> np.ndarray:
+        """For each set in how many of the lists it is."""
+        lengths = self.lengths[lists]
+        upto = np.cumsum(lengths)
+        at = np.repeat(self.starts[lists] - upto + lengths, lengths) + np.arange(upto[-1] if len(upto) else 0)
+        return np.bincount(self.owner[at], minlength=len(self.sizes))
+
+    def probed(self, lists: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        """The same for some sets only, by binary search of each in each list."""
+        wanted = lists[:, None] * len(self.sizes) + sets[None, :]
+        at = np.minimum(np.searchsorted(self.keys, wanted.ravel()), len(self.keys) - 1)
+        return (self.keys[at].reshape(wanted.shape) == wanted).sum(axis=0)
+
+
+def divide_skip(lists: Lists, query: np.ndarray, n: int) -> np.ndarray:
+    """Places of the indexed sets that link with a query of ``n`` shingles, of which ``query`` are those any may hold.
+
+    The short lists are merged with counts.  Only sets that could still reach the required overlap
+    are looked up in the long ones; where they are so many that merging costs less, these are merged, too.
     """
-    if len(lists) < least:
-        return []
-    lists = sorted(lists, key=len)
-    longest = len(lists[-1])
-    skipped = min(least - 1, int(least / (PROBE_COST * math.log2(longest + 1) + 1)))
-    short, long = lists[: len(lists) - skipped], lists[len(lists) - skipped :]
-    counts = np.bincount(np.concatenate(short), minlength=len(size_of))
+    least, own = needed(n), lists.of(query)
+    if len(own) < least:
+        return np.zeros(0, dtype=np.int64)
+    own = own[np.argsort(lists.lengths[own], kind="stable")]
+    skipped = min(least - 1, int(least / (PROBE_COST * math.log2(lists.lengths[own[-1]] + 1) + 1)))
+    short, long = own[: len(own) - skipped], own[len(own) - skipped :]
+    counts = lists.merged(short)
     found = np.flatnonzero(counts >= max(1, least - skipped))
-    count, wanted = counts[found], required(n, np.asarray(size_of)[found])
-    for left, entries in zip(range(len(long), 0, -1), long, strict=True):
-        alive = count + left >= wanted
-        found, count, wanted = found[alive], count[alive], wanted[alive]
-        if not len(found):
-            return []
-        entries = np.asarray(entries)
-        i = np.minimum(np.searchsorted(entries, found), len(entries) - 1)
-        count = count + (entries[i] == found)
-    return found[count >= wanted].tolist()
+    wanted = required(n, lists.sizes[found])
+    alive = counts[found] + skipped >= wanted
+    found, wanted = found[alive], wanted[alive]
+    if not len(found):
+        return found
+    by_probe = SCAN_COST * len(found) * skipped < lists.lengths[long].sum()
+    more = lists.probed(long, found) if by_probe else lists.merged(long)[found]
+    return found[counts[found] + more >= wanted]
 
 
 #: What a row is in its task: in the index and a query, in the index only, a query only.
@@ -535,33 +546,24 @@ def _search(batches):
         index, queries = [r for r in rows if r[1] != QUERY], [r for r in rows if r[1] != INDEX]
         if not index or not queries:
             continue
-        held = [np.frombuffer(r[5], dtype="<u8") for r in index]
-        tokens, owner = np.concatenate(held), np.repeat(np.arange(len(index)), [len(t) for t in held])
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        starts, lengths = _runs(tokens)
-        names, sizes = tokens[starts], np.array([r[3] for r in index])
-        parent: dict[int, int] = {}
-        links: dict[int, int] = {}
-
-        def root(x, parent=parent):
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent.setdefault(up, up)
-            return x
-
-        for _, side, sid, n, n_copies, t in queries:
-            t = np.frombuffer(t, dtype="<u8")
-            at = np.searchsorted(names, t)
-            at = at[names[np.minimum(at, len(names) - 1)] == t]
-            for k in divide_skip([owner[starts[i] : starts[i] + lengths[i]] for i in at.tolist()], needed(n), sizes, n):
-                other = index[k][2]
-                if side == BOTH and other <= sid:  # both are queries of this task
-                    continue
-                links[sid] = links.get(sid, 0) + index[k][4]
-                links[other] = links.get(other, 0) + n_copies
-                a, b = root(sid), root(other)
-                parent[max(a, b)] = min(a, b)
-        out += [(sid, root(sid), n_links) for sid, n_links in links.items()]
+        lists = Lists([np.frombuffer(r[5], dtype="<u8") for r in index], [r[3] for r in index])
+        both = queries[0][1] == BOTH  # a step's rows are all queries and indexed, or each is one of them
+        nodes = index if both else index + queries
+        copies, links = np.array([r[4] for r in nodes]), np.zeros(len(nodes), dtype=np.int64)
+        group = np.arange(len(nodes))
+        for q, (_, _, _, n, n_copies, t) in enumerate(queries, 0 if both else len(index)):
+            found = divide_skip(lists, np.frombuffer(t, dtype="<u8"), n)
+            if both:
+                found = found[found > q]  # each two sets once
+            if not len(found):
+                continue
+            links[q] += copies[found].sum()
+            links[found] += n_copies
+            for other in np.unique(group[found]):
+                if other != group[q]:
+                    group[group == max(other, group[q])] = min(other, group[q])
+        linked = np.flatnonzero(links)
+        out += [(nodes[k][2], nodes[group[k]][2], int(links[k])) for k in linked]
         if len(out) > 50_000:
             yield _found(out)
             out = []
@@ -639,15 +641,18 @@ def _link(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     slices = max(partitions(docs.sparkSession), -(-(input_bytes(docs) or 0) // SLICE_BYTES))
     parts = min(slices, max(MOST_PARTS, partitions(docs.sparkSession)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = by_slices(rows.mapInArrow(freeing(_deal(slices, parts)), DEALT), "slice", False, slices, parts, NAME, DEALT, _DEALT)
-    indexed = settle(dealt.mapInArrow(freeing(_index(slices, parts)), INDEXED), "index")
-    members = indexed.where("bucket is null").select("doc_id", "hi", "lo", "n")
+    dealt = in_slices(rows.mapInArrow(freeing(_deal(slices, parts)), DEALT), slices, parts, _regroup, DEALT)
+    indexed = settle(dealt.mapInArrow(freeing(_index), INDEXED), "index")
+    members = indexed.where("batch is null").select("doc_id", "hi", "lo", "n")
     sets = settle(members.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies")), "sets")
-    entries = by_slices(indexed.where("bucket is not null").select(F.col("bucket").alias("part"), *indexed.columns), "bucket", True, slices, parts, NAME, INDEXED, _INDEXED)
+    entries = indexed.where("batch is not null").select(*_PACKED).repartition(parts, "batch").sortWithinPartitions("batch")
     surviving = settle(entries.mapInArrow(freeing(_surviving), SURVIVING).withColumn("sid", F.monotonically_increasing_id()), "surviving")
+    known = settle(surviving.groupBy("hi", "lo").agg(F.min("sid").alias("sid"), F.first("n").alias("n"), F.count("*").alias("times")).join(sets, ["hi", "lo"]), "known")
+    if known.where("times > 1").head(1):  # sets that more than one task has sent
+        again = surviving.select("sid").join(known.select("sid"), "sid", "left_anti")
+        surviving = settle(surviving.join(again, "sid", "left_anti"), "surviving")
     prefixes = surviving.select("sid", "n", "shared", "tokens").mapInArrow(freeing(_prefixes(slices, parts)), PREFIXES)
-    lists = settle(by_slices(prefixes, "slice", False, slices, parts, SET, PREFIXES, _PREFIXES).mapInArrow(freeing(_lists), LISTS).distinct(), "lists")
-    known = settle(surviving.select("sid", "hi", "lo", "n").join(sets, ["hi", "lo"]), "known")
+    lists = settle(in_slices(prefixes, slices, parts, _regroup_prefixes, PREFIXES).mapInArrow(freeing(_lists), LISTS).distinct(), "lists")
     tasks = settle(_tasks(lists, known.select("sid", "n", "n_copies")), "tasks")
     n_tasks = tasks.select("task").distinct().count()
     found = _run_search(tasks.join(surviving.select("sid", "tokens"), "sid").select("task", "side", "sid", "n", "n_copies", "tokens"), n_tasks)

@@ -617,15 +617,15 @@ def test_frequent_shingles_are_passed_on_with_the_same_rank(monkeypatch):
     def index(gathered, upto):
         monkeypatch.setattr(jaccard, "GATHERED", gathered)
         monkeypatch.setattr(jaccard, "RARE_UPTO", upto)
-        postings, out = jaccard.Postings(4, 4), []
-        for at in range(0, 320, 20):
-            some = sets[at % 300 : at % 300 + 20]  # the first ones twice
-            names = np.array([s[:3] for s in some], dtype=jaccard.NAME)
-            out += postings.add(names, np.repeat(np.arange(len(some)), [len(s[3]) for s in some]), np.concatenate([np.array(s[3], dtype=np.uint64) for s in some]))
+        postings, out = jaccard.Postings(), []
+        for at in range(0, 300, 20):
+            some = sets[at : at + 20]
+            owner = np.repeat(np.arange(len(some)), [len(s[3]) for s in some])
+            out += postings.add(jaccard.packed(bytes([at // 20]), owner, np.concatenate([np.array(s[3], dtype=np.uint64) for s in some])))
         found = set()
         for r in out + postings.finish():
-            names, owner, tokens = jaccard.unpacked(r)
-            found |= {(int(names["hi"][o]), int(t), d) for o, t, d in zip(owner, tokens, r["dfs"], strict=True)}
+            owner, tokens = jaccard.unpacked(r)
+            found |= {(r["batch"][0] * 20 + int(o), int(t), d) for o, t, d in zip(owner, tokens, r["dfs"], strict=True)}
         return found
 
     holders = Counter(t for s in sets for t in set(s[3]))
@@ -636,20 +636,16 @@ def test_frequent_shingles_are_passed_on_with_the_same_rank(monkeypatch):
     assert frequent.known.tolist() == [t for t in range(20) if t >= jaccard.NOTICED and 4 * t >= 30]
 
 
-def test_names_of_half_the_same_hash_are_apart():
-    names = np.array([(5, 1, 3), (5, 2, 4), (5, 1, 3), (-7, 2, 9)], dtype=jaccard.NAME)
-    distinct, place = jaccard.distinct_names(names)
-    assert len(distinct) == 3 and distinct[place].tolist() == names.tolist()
-
-
-def test_divide_skip_finds_what_counting_finds():
+def test_divide_skip_finds_what_counting_finds(monkeypatch):
     rng = random.Random(7)
-    for _ in range(60):
-        sets = [set(rng.sample(range(40), rng.randint(1, 30))) for _ in range(20)]
-        query = set(rng.sample(range(40), rng.randint(1, 30)))
-        lists = [[k for k, s in enumerate(sets) if t in s] for t in query]
-        found = jaccard.divide_skip([x for x in lists if x], jaccard.needed(len(query)), [len(s) for s in sets], len(query))
-        assert sorted(found) == [k for k, s in enumerate(sets) if 100 * len(query & s) >= 75 * len(query | s)]
+    for scan_cost in (0, 1, 16, 10_000):
+        monkeypatch.setattr(jaccard, "SCAN_COST", scan_cost)
+        for _ in range(60):
+            sets = [set(rng.sample(range(40), rng.randint(1, 30))) for _ in range(20)]
+            query = set(rng.sample(range(40), rng.randint(1, 30)))
+            lists = jaccard.Lists([np.array(sorted(s), dtype=np.uint64) for s in sets], [len(s) for s in sets])
+            found = jaccard.divide_skip(lists, np.array(sorted(query), dtype=np.uint64), len(query))
+            assert found.tolist() == [k for k, s in enumerate(sets) if 100 * len(query & s) >= 75 * len(query | s)]
 
 
 def test_components_in_rounds(spark, monkeypatch):
