@@ -5,7 +5,8 @@ DataFrame, which is written as Parquet and read again as the next one's ``docs``
 but the last return the columns of ``documents``.  Each stage works on all its
 predecessor kept, and its decisions take effect:
 
-* quality: rejected documents go, and frequent lines go from the others' texts;
+* quality: rejected documents go, and frequent lines go from the others' texts (lines that more
+  than 20 near copies share count as frequent; a text keeps 30 % of its words or goes);
 * near_duplicates: of each group of linked documents the one with the smallest id stays;
 * pii: personal data is replaced by its kind;
 * mixing: every document is drawn at least once, and those of small sources again, up to
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bitloom.llm.common import settle
+from bitloom.llm.common import clear_scratch, scratch_mark, settle
 from bitloom.llm.jaccard import one_of_each
 from bitloom.llm.mixing import mix
 from bitloom.llm.packing import pack_documents
@@ -65,8 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to ``documents``.  Once a stage is written, the scratch tables made until then go."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_mark()
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear_scratch(spark, mark, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
