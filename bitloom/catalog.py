@@ -15,8 +15,9 @@ from bitloom.functions import numbers
 from bitloom.operators import analysis, basetable, condense, encode, entropy, images, ingest, normalize, selection
 from bitloom.operators.distinct import ExactCounter, HyperLogLogCounter
 from bitloom.operators.normalize import Options
-from bitloom.operators.ordered import settle
+from bitloom.operators.ordered import scratch, settle
 from bitloom.plans.compress import Compressed, Plan, compress, compress_normalized
+from bitloom.sources import containers, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -238,6 +239,13 @@ def selection_trace(spark, sf_dir):
     return selection.trace(spark, selection.select(rows, info, scores, "naive"))
 
 
+@query(_with(_N_NARROW, sqltext.curve(4)) + "SELECT CAST(k AS INTEGER) AS step, CAST(ranked.bit AS INTEGER) AS bit, ones IN (0, n) AS is_constant, CAST(n_b AS BIGINT) AS exact FROM curve JOIN ranked ON rank = k")
+def hll_precision_exact(spark, sf_dir):
+    """What the approximate counts are measured against."""
+    rows, info, scores, order = _narrow_curve(spark, sf_dir)
+    return analysis.counter_precision(spark, rows, info, scores, order).select("step", "bit", "is_constant", "exact")
+
+
 @query()
 def hll_precision(spark, sf_dir):
     rows, info, scores, order = _narrow_curve(spark, sf_dir)
@@ -406,6 +414,28 @@ def huffman_codes_events(spark, sf_dir):
     return encode.code_table(spark, _events_compressed(spark, sf_dir).bases)
 
 
+@query(
+    "WITH RECURSIVE "
+    + ", ".join(
+        (
+            *_EVENTS_BASED,
+            "lv AS (SELECT list(cnt ORDER BY cnt) AS l FROM (SELECT base_id, count(*) AS cnt FROM based GROUP BY base_id))",
+            "pick AS (SELECT CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST([] AS BIGINT[]) AS q, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS step UNION ALL SELECT i3, j3, list_append(q, x + y), total + x + y, step + 1 FROM "
+            "(SELECT *, CASE WHEN second_leaf THEN i2 + 1 ELSE i2 END AS i3, CASE WHEN second_leaf THEN j2 ELSE j2 + 1 END AS j3, CAST(CASE WHEN second_leaf THEN l[i2] ELSE q[j2] END AS BIGINT) AS y FROM "
+            "(SELECT *, q[j2] IS NULL OR (l[i2] IS NOT NULL AND l[i2] <= q[j2]) AS second_leaf FROM "
+            "(SELECT *, CASE WHEN first_leaf THEN i + 1 ELSE i END AS i2, CASE WHEN first_leaf THEN j ELSE j + 1 END AS j2, CAST(CASE WHEN first_leaf THEN l[i] ELSE q[j] END AS BIGINT) AS x FROM "
+            "(SELECT pick.*, lv.l, q[j] IS NULL OR (l[i] IS NOT NULL AND l[i] <= q[j]) AS first_leaf FROM pick, lv WHERE step < len(l) - 1)))))",
+        )
+    )
+    + " SELECT CAST(len(l) AS BIGINT) AS symbols, total AS total_bits, CAST(1.0 AS DOUBLE) AS kraft_sum FROM pick, lv WHERE step = len(l) - 1"
+)
+def huffman_total_bits_events(spark, sf_dir):
+    """Any optimal code has these total bits, whatever the ties; a complete prefix code has a Kraft sum of 1."""
+    c = _events_compressed(spark, sf_dir)
+    codes = encode.code_table(spark, c.bases)
+    return c.bases.select("base_id", "cnt").join(codes, "base_id").agg(F.count("*").alias("symbols"), F.sum(F.col("cnt") * F.col("code_len")).alias("total_bits"), F.sum(F.pow(F.lit(2.0), -F.col("code_len"))).alias("kraft_sum"))
+
+
 @query()
 def huffman_offsets_events(spark, sf_dir):
     c = _events_compressed(spark, sf_dir)
@@ -447,6 +477,42 @@ def delta_roundtrip_keys(spark, sf_dir):
     return encode.undo_deltas(first, settle(encode.deltas(keys), "deltas"))
 
 
+def _wide_keys(spark, sf_dir):
+    """Sort keys of the distinct lineitem rows over all bits that vary: wider than 63 bits."""
+    rows, info = _lineitem(spark, sf_dir, LINEITEM)
+    rows = settle(rows, "lineitem")
+    scores = entropy.bit_scores(rows, info)
+    zeros, ones = entropy.constant_bits(scores)
+    layout = basetable.Layout.of(info, entropy.entropy_order(scores), zeros, ones)
+    bases, order = basetable.build(rows, info, layout, True)
+    return settle(encode.sort_keys(bases, info, layout, order), "keys"), len(layout.variable)
+
+
+_SIX = ", ".join(f"c{i}" for i in range(6))
+_WIDE = (
+    _N_LINEITEM,
+    f"tab AS (SELECT DISTINCT {_SIX} FROM norm)",
+    "vars AS (SELECT f, local_bit, bit FROM ranked WHERE ones NOT IN (0, n))",
+    "cols AS (SELECT f, local_bit, row_number() OVER (ORDER BY least(o, t - o), bit) AS pos FROM (SELECT f, local_bit, bit, sum((CASE f " + " ".join(f"WHEN {i} THEN c{i}" for i in range(6)) + " END >> local_bit) & 1) AS o, count(*) AS t FROM tab, vars GROUP BY ALL))",
+    f"skey AS (SELECT {_SIX}, sum(((CASE f " + " ".join(f"WHEN {i} THEN c{i}" for i in range(6)) + " END >> local_bit) & 1)::HUGEINT * (1::HUGEINT << CAST((SELECT count(*) FROM cols) - pos AS INTEGER))) AS key FROM tab, cols GROUP BY ALL)",
+    "dl AS (SELECT row_number() OVER (ORDER BY key DESC) - 1 AS base_id, lag(key) OVER (ORDER BY key DESC) - key - 1 AS delta FROM skey)",
+    "dd AS (SELECT base_id, delta, CAST(CASE WHEN delta = 0 THEN 0 ELSE length(ltrim(CAST(bin(delta) AS VARCHAR), '0')) END AS INTEGER) AS bit_length FROM dl WHERE delta IS NOT NULL)",
+)
+
+
+@query(_with(*_WIDE) + "SELECT row_number() OVER (ORDER BY key DESC) - 1 AS base_id, CAST(key AS VARCHAR) AS key FROM skey")
+def delta_roundtrip_wide(spark, sf_dir):
+    keys, width = _wide_keys(spark, sf_dir)
+    first = keys.where("base_id = 0").first()["key"]
+    return encode.undo_deltas(first, settle(encode.deltas(keys, key_bits=width), "deltas")).withColumn("key", F.col("key").cast("string"))
+
+
+@query(_with(*_WIDE) + f"SELECT base_id, CAST(delta AS VARCHAR) AS delta, bit_length, CAST({_tier_sql(encode.UNARY_TIERS)[0]} AS INTEGER) AS tier, CAST({_tier_sql(encode.UNARY_TIERS)[1]} AS INTEGER) AS payload_bits FROM dd")
+def delta_tiers_wide(spark, sf_dir):
+    keys, width = _wide_keys(spark, sf_dir)
+    return encode.deltas(keys, key_bits=width).select("base_id", F.col("delta").cast("string").alias("delta"), "bit_length", "tier", "payload_bits")
+
+
 @query(_with(*_DELTAS) + "SELECT bit_length, count(*) AS cnt, round(100.0 * sum(count(*)) OVER (ORDER BY bit_length) / sum(count(*)) OVER (), 6) AS cumulative_pct FROM dd GROUP BY bit_length")
 def delta_bitlen_histogram(spark, sf_dir):
     c = _events_compressed(spark, sf_dir, in_order=True)
@@ -472,6 +538,22 @@ def base_id_frequencies(spark, sf_dir):
     return analysis.frequencies(_events_compressed(spark, sf_dir).rows, "base_id")
 
 
+@query(
+    _with(
+        *_DELTAS,
+        "hist AS (SELECT bit_length AS b, count(*) AS c FROM dd GROUP BY bit_length)",
+        "top AS (SELECT max(b) AS most, count(*) AS kinds FROM hist)",
+        "p AS (SELECT CAST(p AS INTEGER) AS p FROM range(0, 7) t(p))",
+        "one AS (SELECT p, 1 AS tiers, sum(c * (most + greatest(p, 1))) AS bits FROM hist, top, p GROUP BY p)",
+        "two AS (SELECT p, 2 AS tiers, min(bits) AS bits FROM (SELECT p, s.b, sum(h.c * CASE WHEN h.b <= s.b THEN s.b + greatest(p, 1) ELSE most + CASE WHEN p = 0 THEN 2 ELSE p END END) AS bits FROM hist h, hist s, top, p WHERE s.b < most GROUP BY p, s.b) GROUP BY p)",
+    )
+    + "SELECT CASE WHEN p = 0 THEN 'unary' ELSE 'fixed' END AS mode, p AS prefix_bits, CAST(tiers AS INTEGER) AS tiers, CAST(bits AS BIGINT) AS total_bits FROM (SELECT * FROM one UNION ALL SELECT * FROM two)"
+)
+def delta_tier_costs(spark, sf_dir):
+    """The best plans of one and of two tiers, which SQL finds by trying every width."""
+    return delta_tier_plan(spark, sf_dir).where("tiers <= 2").select("mode", "prefix_bits", "tiers", "total_bits")
+
+
 @query()
 def delta_tier_plan(spark, sf_dir):
     c = _events_compressed(spark, sf_dir, in_order=True)
@@ -491,6 +573,74 @@ def compression_metrics_lineitem(spark, sf_dir):
     return spark.createDataFrame([(c.n_bases, s.size_bases, s.size_deviations, s.size_ids, s.size_params, s.total, round(info.original_size_bits / s.total, 6))], "num_bases long, size_bases long, size_deviations long, size_ids long, size_params long, total_size long, ratio double")
 
 
+# scans, containers and the store: what is written comes back
+
+_THE_EVENTS = "SELECT event_id, user_id, value FROM events"
+
+
+def _some_events(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", *EVENTS)
+
+
+def _through_container(spark, sf_dir, kind: str, **plan) -> DataFrame:
+    path = scratch(spark, "container") + f".{kind}"
+    containers.save(compress(_some_events(spark, sf_dir), "event_id", plan=Plan(options=TWO, **plan)), path)
+    back = containers.load(spark, path).decompress()
+    return back.toDF("event_id", *EVENTS).select("event_id", F.col("user_id").cast("bigint").alias("user_id"), F.round("value", 2).alias("value"))
+
+
+@query(_THE_EVENTS)
+def container_tgd_huffman(spark, sf_dir):
+    """A typed container with Huffman coded ids, a delta coded base table and condensed rows behind the data."""
+    return _through_container(spark, sf_dir, "tgd", encoding="huffman", delta="unary", append_condensed=True)
+
+
+@query(_THE_EVENTS)
+def container_tgd_rle(spark, sf_dir):
+    return _through_container(spark, sf_dir, "tgd", encoding="rle", delta="fixed", m_max=None)
+
+
+@query(_THE_EVENTS)
+def container_egd_flat(spark, sf_dir):
+    return _through_container(spark, sf_dir, "egd", m_max=None)
+
+
+@query(_THE_EVENTS)
+def store_roundtrip_events(spark, sf_dir):
+    path = scratch(spark, "store")
+    store.save(compress(_some_events(spark, sf_dir), "event_id", plan=Plan(options=TWO, m_max=None)), path)
+    return store.load(spark, path).decompress().withColumnRenamed("row_idx", "event_id")
+
+
+@query(_THE_EVENTS)
+def decoded_csv_events(spark, sf_dir):
+    """Decompressed rows written as CSV and scanned again."""
+    path = scratch(spark, "csv")
+    rows = _events_compressed(spark, sf_dir).decompress().withColumnRenamed("row_idx", "event_id")
+    store.write_csv(rows, path)
+    return ingest.load_csv(spark, path).select(F.col("event_id").cast("bigint").alias("event_id"), F.col("user_id").cast("bigint").alias("user_id"), "value")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS numbers, CAST(0 AS BIGINT) AS first, CAST(count(*) - 1 AS BIGINT) AS last, CAST(sum(o_custkey) AS BIGINT) AS custkeys FROM orders")
+def csv_scan_orders(spark, sf_dir):
+    """A CSV file with a header, its types inferred, its rows numbered without gaps."""
+    path = scratch(spark, "csv")
+    store.write_csv(_table(spark, sf_dir, "orders").select(*ORDERS), path)
+    return ingest.load_csv(spark, path).agg(F.count("*").alias("n"), F.count_distinct("row_idx").alias("numbers"), F.min("row_idx").alias("first"), F.max("row_idx").alias("last"), F.sum("o_custkey").cast("bigint").alias("custkeys"))
+
+
+@query(_THE_EVENTS)
+def appended_condensed_events(spark, sf_dir):
+    """Condensed rows are stored behind the data and stay out of them."""
+    return compress(_some_events(spark, sf_dir), "event_id", plan=Plan(options=TWO, m_max=30, append_condensed=True)).decompress().withColumnRenamed("row_idx", "event_id")
+
+
+@query("SELECT CAST(sum(c) AS BIGINT) AS weights, TRUE AS few FROM (SELECT count(*) AS c FROM events)")
+def appended_condensed_weights(spark, sf_dir):
+    c = compress(_some_events(spark, sf_dir), "event_id", plan=Plan(options=TWO, m_max=30, append_condensed=True))
+    return c.analytics().agg(F.sum("weight").cast("bigint").alias("weights"), (F.count("*") >= 30).alias("few"))
+
+
 # images: pixels made from numbers, alike in both engines
 
 _PIXELS = "px AS (SELECT CAST(i AS INTEGER) AS i, CAST(i % 64 AS INTEGER) AS x, CAST(i // 64 AS INTEGER) AS y, CAST((i * 7 + i // 64 * 13) % 256 AS INTEGER) AS r, CAST((i * 31 + 5) % 256 AS INTEGER) AS g, CAST((i * i) % 256 AS INTEGER) AS b FROM range(4096) t(i))"

@@ -14,8 +14,8 @@ from bitloom.schema import DatasetInfo
 
 #: Per-bit state in a layout (fixed values of the container formats).
 DEVIATION, VARIABLE, ZERO, ONE = 0, 1, 2, 3
-#: Base tables up to this many rows are broadcast to the rows; larger ones are joined by shuffle.
-BROADCAST_BASES = 500_000
+#: Base tables up to this many bytes are broadcast to the rows; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def build(rows: DataFrame, info: DatasetInfo, layout: Layout, in_order: bool = F
 
 
 def _join(left: DataFrame, bases: DataFrame, condition, n_bases: int | None) -> DataFrame:
-    small = n_bases is not None and n_bases <= BROADCAST_BASES
+    small = n_bases is not None and 8 * n_bases * len(bases.columns) <= BROADCAST_BYTES  # all columns are longs
     return left.join(F.broadcast(bases) if small else bases, condition)
 
 

@@ -113,6 +113,10 @@ def estimate(registers: np.ndarray, n: int) -> int:
     return int(max(1, min(n, math.floor(value + 0.5))))
 
 
+#: Partitions that fold the registers of all others.
+FOLDS = 8
+
+
 class HyperLogLogCounter:
     """Estimates from 256 registers of a hash that XORs one word per set bit.  One pass for the whole curve."""
 
@@ -144,7 +148,17 @@ class HyperLogLogCounter:
                     np.maximum.at(found[k], (h >> np.uint64(64 - HLL_PRECISION)).astype(np.int64), rank)
             yield pa.RecordBatch.from_pydict({"n": [n], "registers": [found.tobytes()]})
 
-        parts = rows.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(registers, "n long, registers binary").collect()
+        def folded(batches):
+            merged, n = np.zeros((length + 1, buckets), dtype=np.uint8), 0
+            for batch in batches:
+                n += sum(batch.column("n").to_pylist())
+                for found in batch.column("registers").to_pylist():
+                    np.maximum(merged, np.frombuffer(found, dtype=np.uint8).reshape(merged.shape), out=merged)
+            yield pa.RecordBatch.from_pydict({"n": [n], "registers": [merged.tobytes()]})
+
+        schema = "n long, registers binary"
+        each = rows.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(registers, schema)
+        parts = each.repartition(FOLDS).mapInArrow(folded, schema).collect()  # a few rows, however many partitions there are
         n = sum(r["n"] for r in parts)
         merged = np.zeros((length + 1, buckets), dtype=np.uint8)
         for r in parts:

@@ -87,8 +87,6 @@ def expand_runs(runs: DataFrame, symbol: list[str]) -> DataFrame:
 
 def code_lengths(frequencies: dict[int, int], longest: int = MAX_CODE) -> dict[int, int]:
     """Huffman code lengths; ties go to the subtree with the smaller symbol.  Longer ones than ``longest`` are limited."""
-    if len(frequencies) > MAX_SYMBOLS:
-        raise InvalidMetadata(f"{len(frequencies)} symbols are too many for a Huffman code; use the flat encoding")
     symbols = sorted(frequencies)
     if len(symbols) <= 1:
         return dict.fromkeys(symbols, 1)
@@ -139,14 +137,17 @@ def canonical_codes(lengths: dict[int, int]) -> list[tuple[int, int, int]]:
 
 
 def code_table(spark: SparkSession, bases: DataFrame) -> DataFrame:
-    """base_id, code_len, code of a base table with counts."""
-    lengths = code_lengths({r["base_id"]: r["cnt"] for r in bases.select("base_id", "cnt").limit(MAX_SYMBOLS + 1).collect()})
+    """base_id, code_len, code of a base table with counts; ids themselves, all of one length, if there are more than MAX_SYMBOLS."""
+    n = bases.count()
+    if n > MAX_SYMBOLS:
+        return bases.select("base_id", F.lit(bits_needed_nonzero(n)).cast("int").alias("code_len"), F.col("base_id").alias("code"))
+    lengths = code_lengths({r["base_id"]: r["cnt"] for r in bases.select("base_id", "cnt").collect()})
     return spark.createDataFrame(canonical_codes(lengths), "base_id long, code_len int, code long")
 
 
 def block_code_offsets(encoded: DataFrame, codes: DataFrame, block: str = "block_id") -> DataFrame:
     """For each block the bit its codes start at, and their bits."""
-    per_block = encoded.join(F.broadcast(codes), "base_id").groupBy(block).agg(F.sum("code_len").cast("bigint").alias("bits"))
+    per_block = encoded.join(codes, "base_id").groupBy(block).agg(F.sum("code_len").cast("bigint").alias("bits"))
     return with_running_total(with_position(per_block, [F.col(block)], "_i"), "_i", "bits", "bit_offset").drop("_i")
 
 
@@ -178,15 +179,29 @@ def sort_keys(bases: DataFrame, info: DatasetInfo, layout: Layout, order: list[i
     return bases.select("base_id", wide.cast("decimal(38,0)").alias("key"))
 
 
+def bit_length(value: Column, kind: str) -> Column:
+    """Bits of a number from 0 up to below 2^126, exactly; wide ones are cut in two halves of 63 bits."""
+
+    def of_long(x: Column) -> Column:
+        return F.when(x == 0, 0).otherwise(F.length(F.bin(x)))
+
+    if kind == "bigint":
+        return of_long(value).cast("int")
+    half = F.lit(str(1 << 63)).cast("decimal(38,0)")
+    low = (value % half).cast("bigint")
+    high = F.call_function("div", (value - value % half).cast("decimal(38,0)"), half).cast("bigint")
+    return F.when(high > 0, of_long(high) + 63).otherwise(of_long(low)).cast("int")
+
+
 def deltas(keys: DataFrame, unary: bool = True, key_bits: int = 63) -> DataFrame:
     """For each base but the first: base_id, delta - 1, its bit length, tier, prefix and payload bits.
 
     The row before is found by its dense id, an equi-join, not a global sort.
     """
-    d = F.col("prev_key") - F.col("key") - 1
+    kind = dict(keys.dtypes)["key"]
+    d = (F.col("prev_key") - F.col("key") - 1).cast(kind)
     found = with_previous(keys, "base_id", ["key"]).where("prev_key is not null").select("base_id", d.alias("delta"))
-    length = F.when(F.col("delta") == 0, 0).otherwise(F.length(F.bin(F.col("delta").cast("bigint")))) if dict(keys.dtypes)["key"] == "bigint" else F.when(F.col("delta") < 1, 0).otherwise(F.floor(F.log2(F.col("delta").cast("double"))) + 1)
-    found = found.withColumn("bit_length", length.cast("int"))
+    found = found.withColumn("bit_length", bit_length(F.col("delta"), kind))
     tiers = UNARY_TIERS if unary else fixed_tiers()
     tier, width = tier_of(F.col("bit_length"), tiers, key_bits)
     prefix = F.when(tier == len(tiers), len(tiers)).otherwise(tier + 1) if unary else F.lit(FIXED_PREFIX)
@@ -195,13 +210,13 @@ def deltas(keys: DataFrame, unary: bool = True, key_bits: int = 63) -> DataFrame
 
 def undo_deltas(first_key: int, found: DataFrame) -> DataFrame:
     """Keys again: the first minus what has come together, by running totals in blocks."""
-    spark = found.sparkSession
-    steps = found.select("base_id", (F.col("delta") + 1).alias("step")).unionByName(spark.createDataFrame([(0, 0)], "base_id long, step long"))
-    return with_running_total(steps, "base_id", "step", "_sum").select("base_id", (F.lit(first_key) - F.col("_sum") - F.col("step")).alias("key"))
+    kind = dict(found.dtypes)["delta"]
+    start = found.sparkSession.range(1).select(F.col("id").alias("base_id"), F.lit(0).cast(kind).alias("step"))
+    steps = found.select("base_id", (F.col("delta") + 1).cast(kind).alias("step")).unionByName(start)
+    first = F.lit(str(first_key)).cast(kind)
+    return with_running_total(steps, "base_id", "step", "_sum").select("base_id", (first - F.col("_sum") - F.col("step")).cast(kind).alias("key"))
 
 
 def symbol_bits(info: DatasetInfo, layout: Layout, n_bases: int) -> tuple[int, int]:
     """Deviation and id bits of a row."""
     return info.chunk_size - len(layout.selected), bits_needed_nonzero(n_bases)
-
-

@@ -96,7 +96,10 @@ def with_position(df: DataFrame, order: list[Column], name: str, start: int = 0)
 
 
 def with_running_total(df: DataFrame, position: str, value: str, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over the rows before, by a dense ``position``: within blocks, then over block totals."""
+    """``df`` with the sum of ``value`` over the rows before, by a dense ``position``: within blocks, then over block totals.
+
+    Sums of decimals stay exact, up to 38 digits.
+    """
     from pyspark.sql import Window
 
     block = F.shiftright(position, 12)
@@ -107,7 +110,7 @@ def with_running_total(df: DataFrame, position: str, value: str, name: str) -> D
     inside = totals.withColumn("_g", F.shiftright("_b", 12)).withColumn("_before_b", F.coalesce(F.sum("_t").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = inside.join(groups.select("_g", "_before_g"), "_g").select("_b", (F.col("_before_g") + F.col("_before_b")).alias("_before"))
     own = F.coalesce(F.sum(value).over(Window.partitionBy("_b").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_b", block).withColumn("_own", own).join(before, "_b").withColumn(name, (F.col("_before") + F.col("_own")).cast("bigint")).drop("_b", "_own", "_before")
+    return df.withColumn("_b", block).withColumn("_own", own).join(before, "_b").withColumn(name, (F.col("_before") + F.col("_own")).cast("decimal(38,0)" if dict(df.dtypes)[value].startswith("decimal") else "bigint")).drop("_b", "_own", "_before")
 
 
 def with_previous(df: DataFrame, position: str, columns: list[str], prefix: str = "prev_") -> DataFrame:

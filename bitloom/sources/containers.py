@@ -142,6 +142,8 @@ def pairs_of(changed: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _write_rows(d: Dataset, encoding: str) -> bytes:
+    """The rows in an encoding; flat instead of Huffman codes for more than MAX_SYMBOLS bases."""
+    encoding = "flat" if encoding == "huffman" and len(d.bases) > encode.MAX_SYMBOLS else encoding
     id_bits, dev_bits = bits_needed_nonzero(len(d.bases)), d.deviations.shape[1]
     if encoding == "flat":
         return bytes([ROWS_FLAT]) + _to_bytes(_symbols(d).reshape(-1))

@@ -321,6 +321,45 @@ def test_no_base_bits(spark):
     assert bases.count() == 1 and basetable.merge(encoded, info, bases).exceptAll(rows).count() == 0
 
 
+def test_bit_lengths_are_exact(spark):
+    values = sorted({v for k in range(127) for v in ((1 << k) - 1, 1 << k, (1 << k) + 1) if 0 <= v < 1 << 126})
+    rows = spark.createDataFrame([(str(v),) for v in values], "v string")
+    wide = rows.select("v", encode.bit_length(F.col("v").cast("decimal(38,0)"), "decimal(38,0)").alias("b")).collect()
+    assert all(r["b"] == int(r["v"]).bit_length() for r in wide)
+    narrow = rows.where(F.length("v") < 19).select("v", encode.bit_length(F.col("v").cast("bigint"), "bigint").alias("b")).collect()
+    assert narrow and all(r["b"] == int(r["v"]).bit_length() for r in narrow)
+
+
+def test_wide_deltas_come_back(spark):
+    keys = sorted({(1 << 125) - 3, 1 << 100, (1 << 100) - 1, (1 << 70) - 1, 1 << 64, 12345, 0}, reverse=True)
+    frame = spark.createDataFrame([(i, str(k)) for i, k in enumerate(keys)], "base_id long, key string").withColumn("key", F.col("key").cast("decimal(38,0)"))
+    found = encode.deltas(frame, key_bits=126)
+    assert {r["base_id"]: r["bit_length"] for r in found.collect()} == {i + 1: (a - b - 1).bit_length() for i, (a, b) in enumerate(zip(keys, keys[1:]))}
+    assert [int(r["key"]) for r in encode.undo_deltas(keys[0], found).orderBy("base_id").collect()] == keys
+
+
+def test_too_many_symbols_get_ids_of_one_length(spark, monkeypatch):
+    monkeypatch.setattr(encode, "MAX_SYMBOLS", 3)
+    bases = spark.createDataFrame([(i, 1) for i in range(5)], "base_id long, cnt long")
+    codes = encode.code_table(spark, bases).orderBy("base_id").collect()
+    assert [(r["base_id"], r["code_len"], r["code"]) for r in codes] == [(i, 3, i) for i in range(5)]
+    encoded = spark.createDataFrame([(0, 1), (0, 4), (1, 2)], "block_id long, base_id long")
+    assert {(r["block_id"], r["bits"], r["bit_offset"]) for r in encode.block_code_offsets(encoded, encode.code_table(spark, bases)).collect()} == {(0, 6, 0), (1, 3, 6)}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from bitloom.operators import ordered
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(RuntimeError):
+        ordered.shared_folder(session("spark://host:7077"))
+    assert ordered.shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y" and ordered.shared_folder(session("local[4]")).startswith("file://")
+
+
 def test_scratch_is_cleared(spark, tmp_path):
     from bitloom.operators import ordered
 
@@ -328,4 +367,10 @@ def test_scratch_is_cleared(spark, tmp_path):
     path = ordered.scratch(spark, "t")
     spark.range(3).write.parquet(path)
     assert ordered.clear_scratch(spark) == 1 and ordered.clear_scratch(spark) == 0
+    first, second = ordered.settle(spark.range(3), "a"), ordered.settle(spark.range(4), "b")
+    mark = ordered.scratch_mark()
+    third, fourth = ordered.settle(spark.range(5), "c"), ordered.settle(spark.range(6), "d")
+    assert ordered.clear_scratch(spark, mark, keep=third) == 1 and third.count() == 5 and second.count() == 4
+    ordered.release(first, third)
+    assert ordered.scratch_mark() == 1 and second.count() == 4 and ordered.clear_scratch(spark) == 1
     ordered._made[:] = kept
