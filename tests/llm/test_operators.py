@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,19 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_queries_against_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    found = queries.QUERIES[name](spark, sf_dir)
+    columns = sorted(found.columns)
+    result = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    assert sorted((tuple(r[c] for c in columns) for r in found.collect()), key=str) == sorted((tuple(r[names.index(c)] for c in columns) for r in result.fetchall()), key=str)
+
+
 # 1 fingerprints
 
 
