@@ -10,10 +10,14 @@ from bitloom.schema import DatasetInfo, signed64
 LIMB = 62
 
 
-def bit(info: DatasetInfo, position: int) -> Column:
-    """The bit at a global position, as BIGINT 0 or 1."""
+def _bit(info: DatasetInfo, position: int) -> str:
     name, local = info.place(position)
-    return F.getbit(F.col(f"`{name}`"), F.lit(local)).cast("bigint")
+    return f"CAST(getbit(`{name}`, {local}) AS BIGINT)"
+
+
+def bit(info: DatasetInfo, position: int) -> Column:
+    """The bit at a global position, as BIGINT 0 or 1.  Written as SQL: there are many, and each costs one call to the JVM."""
+    return F.expr(_bit(info, position))
 
 
 def bit_slice(column: Column, start: int, width: int) -> Column:
@@ -27,10 +31,7 @@ def masked(name: str, mask: int) -> Column:
 
 def pack(info: DatasetInfo, positions: list[int]) -> Column:
     """The bits at up to 63 global positions as one integer, the first as the least significant."""
-    out = F.lit(0).cast("bigint")
-    for i, p in enumerate(positions):
-        out = out.bitwiseOR(F.shiftleft(bit(info, p), i))
-    return out
+    return F.expr(" | ".join(["0L", *[f"shiftleft({_bit(info, p)}, {i})" for i, p in enumerate(positions)]]))
 
 
 def key_limbs(info: DatasetInfo, order: list[int]) -> list[Column]:
