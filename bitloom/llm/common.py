@@ -77,7 +77,7 @@ def partitions(spark: SparkSession) -> int:
 
 def input_bytes(df: DataFrame) -> int | None:
     """Bytes of the tables ``df`` reads; None where a source doesn't know its size, as frames made in memory."""
-    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes").rstrip("bB"))
+    unknown = df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes()
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]  # joins would multiply estimates
     return None if any(size >= unknown for size in sizes) else sum(sizes)
