@@ -26,6 +26,9 @@ Edge cases: null, empty and blank texts have no shingle, component_id is their o
 doc_id; fewer than five words make one shingle of the whole sequence; repeated rows
 are copies like any others; a null doc_id takes part and gets the component of its
 copies; an empty table gives an empty result.
+
+Batches are made from rows in the order they are read, so ``docs`` should be a table, or settled:
+a frame whose rows come in another order when a lost task runs again would mix batches.
 """
 
 from __future__ import annotations

@@ -18,6 +18,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import json
 import math
 from collections import defaultdict
 from collections.abc import Iterable
@@ -34,7 +35,8 @@ SAMPLE = 20_000
 #: Share of the sample that calibrates and isn't fitted on: one URL of so many.
 CALIBRATE = 4
 ALPHABET = 256
-MOST_RULES = 1000
+#: Up to so many rules are compared in generated code; more are walked as a list.
+MOST_COMPILED = 200
 BLOCK_AT = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,12 +68,17 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def rule_of(host: Column, path: Column, rules: Iterable[Rule]) -> Column:
     """The pattern of the longest rule that fits, else null; of rules equally long the one with the longer host."""
     ordered = sorted(rules, key=lambda r: (-len(r.pattern), -len(r.host), r.pattern))
-    if len(ordered) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+
+    def fits(its_host: Column, its_path: Column) -> Column:
+        return ((host == its_host) | F.endswith(host, F.concat(F.lit("."), its_host))) & F.startswith(path, its_path)
+
+    if len(ordered) > MOST_COMPILED:
+        listed = [{"host": r.host, "path": r.path, "pattern": r.pattern} for r in ordered]
+        every = F.from_json(F.lit(json.dumps(listed)), "array<struct<host:string,path:string,pattern:string>>")
+        return F.get(F.filter(every, lambda r: fits(r["host"], r["path"])), 0)["pattern"]
     found = F.lit(None).cast("string")
     for r in reversed(ordered):
-        fits = ((host == r.host) | F.endswith(host, F.lit(f".{r.host}"))) & F.startswith(path, F.lit(r.path))
-        found = F.when(fits, F.lit(r.pattern)).otherwise(found)
+        found = F.when(fits(F.lit(r.host), F.lit(r.path)), F.lit(r.pattern)).otherwise(found)
     return found
 
 
@@ -180,7 +187,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     The examples default to the URLs that the rules allow and block.
     """
     host, path = host_and_path(F.col(url_col))
-    verdict_of = F.create_map(*[x for r in rules for x in (F.lit(r.pattern), F.lit(r.verdict))]) if rules else None
+    verdict_of = F.from_json(F.lit(json.dumps({r.pattern: r.verdict for r in rules})), "map<string,string>") if rules else None
     parsed = pages.select(F.col(id_col), F.col(url_col).alias("_u"), host.alias("host"), path.alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     parsed = parsed.withColumn("ruled", F.element_at(verdict_of, F.col("rule")) if rules else F.lit(None).cast("string"))
     accepted = parsed.where("ruled = 'allow'").select(F.col("_u").alias("url")) if accepted is None else accepted

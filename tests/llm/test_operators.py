@@ -430,7 +430,9 @@ def test_packing_edges(spark, odd, empty):
 # 7 URLs
 
 
-def test_hosts_paths_and_rules(spark):
+@pytest.mark.parametrize("compiled", [0, 200])
+def test_hosts_paths_and_rules(spark, compiled, monkeypatch):
+    monkeypatch.setattr(urls, "MOST_COMPILED", compiled)
     rules = [urls.Rule(*r) for r in queries.URL_RULES] + [urls.Rule("block", "net/")]
     cases = {
         "http://WWW.Example.ORG/es/1?x=/": ("www.example.org", "/es/1", "example.org/es/"),
@@ -450,6 +452,13 @@ def test_hosts_paths_and_rules(spark):
     assert [found[i] for i in range(len(cases))] == list(cases.values()) and found[99] == ("", "", None)
 
 
+def test_thousands_of_rules(spark):
+    rules = [urls.Rule("block" if i % 2 else "allow", f"h{i}.net/{'p/' * (i % 3)}") for i in range(3000)]
+    pages = spark.createDataFrame([(i, f"http://www.h{i}.net/p/p/x") for i in range(0, 4000, 500)], "page_id long, url string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(pages, rules).collect()}
+    assert all(found[i] == (rules[i].pattern, rules[i].verdict) for i in range(0, 3000, 500)) and found[3500][0] is None
+
+
 def test_markov_probabilities_sum_to_one():
     m = urls.Markov(["abcab", "abd", "xyz"])
     chars = sorted({c for c in "abcdxyz\x03"})
