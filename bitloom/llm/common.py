@@ -90,7 +90,7 @@ def parts_for(df: DataFrame, bytes_per_part: int = 16 << 20) -> int:
 
 
 def join_unique(left: DataFrame, right: DataFrame, on: list[str], weights: DataFrame, row_bytes: Column | None = None) -> DataFrame:
-    """``left`` with the columns of ``right`` (one row for each ``on``, never null) where there is one, else nulls.
+    """``left`` with the columns of ``right`` (one row for each ``on``, whole numbers or strings, never null) where there is one, else nulls.
 
     ``weights`` has ``on`` and ``_rows``, how many rows of ``left`` have it.  A small ``right`` is
     broadcast.  Else only its keys of many rows are: fewer than HOT_KEYS keys can have more than
@@ -108,9 +108,10 @@ def join_unique(left: DataFrame, right: DataFrame, on: list[str], weights: DataF
         heavy = heavy.where(cost <= BROADCAST_BYTES // HOT_KEYS)
     heavy = settle(heavy, "hot")
     met = left.join(F.broadcast(heavy), on, "left")
+    types = dict(left.dtypes)
     # rows that have met theirs get keys of their own, and are kept from meeting another by the condition
     own = F.coalesce("_hot", F.lit(False))
-    met = met.withColumns({f"_on_{c}": F.when(own, F.xxhash64(F.monotonically_increasing_id(), F.lit(i))).otherwise(F.col(c)) for i, c in enumerate(on)}).withColumn("_met", own).drop("_hot")
+    met = met.withColumns({f"_on_{c}": F.when(own, F.xxhash64(F.monotonically_increasing_id(), F.lit(i)).cast(types[c])).otherwise(F.col(c)) for i, c in enumerate(on)}).withColumn("_met", own).drop("_hot")
     met = met.withColumnsRenamed({c: f"_met_{c}" for c in value})
     other = right.withColumnsRenamed({c: f"_right_{c}" for c in on} | {c: f"_cold_{c}" for c in value})
     condition = ~F.col("_met")

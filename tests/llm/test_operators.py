@@ -459,23 +459,57 @@ def test_thousands_of_rules(spark):
     assert all(found[i] == (rules[i].pattern, rules[i].verdict) for i in range(0, 3000, 500)) and found[3500][0] is None
 
 
-def test_markov_probabilities_sum_to_one():
-    m = urls.Markov(["abcab", "abd", "xyz"])
-    chars = sorted({c for c in "abcdxyz\x03"})
-    for context in ("", "a", "ab", "\x02ab", "zz"):
-        seen = sum(m.probability(context, c) for c in chars)
-        unseen = (urls.ALPHABET - len(chars)) * m.probability(context, "\u2603")
-        assert abs(seen + unseen - 1) < 1e-9
+def test_markov_probabilities_sum_to_one(spark):
+    examples = spark.createDataFrame([("abcab", 0), ("abd", 0), ("xyz", 0), ("a", 1), ("\u2603b", 1)], "url string, kind int")
+    chars = sorted({c for c in "abcdxyz\u2603\x03"})
+    contexts = ("", "a", "ab", "\x02ab", "zz", "bcab")
+    wanted = spark.createDataFrame([(context + c,) for context in contexts for c in [*chars, "\u00e9"]], "window string")
+    found = {r["window"]: r for r in urls.window_chances(wanted, urls.window_counts(examples)).collect()}
+    for context in contexts:
+        for kind in ("p_accepted", "p_rejected"):
+            seen = sum(found[context + c][kind] for c in chars)
+            assert abs(seen + (urls.ALPHABET - len(chars)) * found[context + "\u00e9"][kind] - 1) < 1e-9
+
+
+def test_windows_of_urls(spark):
+    cases = ["", "a", "h\u00e9\U0001f600llo/x", "abcdefghij"]
+    rows = spark.createDataFrame([*enumerate(cases), (9, None)], "id long, url string")
+    found = defaultdict(list)
+    for r in urls.windows_of(rows, ["id"]).collect():
+        found[r["id"]].append(r["window"])
+    for i, url in [*enumerate(cases), (9, "")]:
+        marked = f"\x02{url}\x03"
+        assert sorted(found[i]) == sorted(marked[max(0, k - urls.ORDER) : k + 1] for k in range(1, len(marked)))
 
 
 def test_url_models_learn(spark):
     rng = random.Random(5)
     good = [f"http://{rng.choice(['news', 'wiki', 'blog'])}{rng.randrange(50)}.org/article/{rng.randrange(999)}" for _ in range(400)]
     bad = [f"http://{rng.choice(['casino', 'pills', 'bets'])}{rng.randrange(50)}.org/win/{rng.randrange(999)}" for _ in range(400)]
-    model = urls.fit(good[:300], bad[:300])
+    known = [spark.createDataFrame([(u,) for u in x[:300]], "url string") for x in (good, bad)]
     pages = spark.createDataFrame(list(enumerate(good[300:] + bad[300:])), "page_id long, url string")
-    found = {r["page_id"]: r["p_block"] for r in urls.judge(pages, model, ["page_id"]).collect()}
-    assert sum((found[i] >= 0.5) == (i >= 100) for i in range(200)) >= 198
+    found = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, [], accepted=known[0], rejected=known[1]).collect()}
+    assert sum((found[i] == "block") == (i >= 100) for i in range(200)) >= 198
+
+
+def test_url_examples_split(spark):
+    """A kind whose examples all fall on one side serves both ends; without one kind there is no model; copies count once."""
+    frame = lambda *x: spark.createDataFrame([(u,) for u in x], "url string")
+    counted, sample = urls.split_examples(frame("a://b", "a://b", None), frame("c://d"))
+    assert sorted(counted.collect()) == sorted(sample.collect()) == [("a://b", 0), ("c://d", 1)]
+    assert urls.split_examples(frame("a://b"), frame()) is None and urls.split_examples(frame("a"), frame(None)) is None
+
+
+def test_url_scores_are_joined_alike(spark, monkeypatch):
+    """Beyond what may be broadcast, windows and URLs are shuffled with the same results, hot ones included."""
+    rng = random.Random(8)
+    pages = [f"http://{rng.choice(['news', 'pills'])}{rng.randrange(9)}.{rng.choice(['org', 'com'])}/{rng.choice(['fr', 'de', 'x'])}/{rng.randrange(99)}" for _ in range(300)] + ["http://copy.net/x"] * 200 + [None]
+    pages = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    rules = [urls.Rule(*r) for r in queries.URL_RULES]
+    small = sorted(urls.filter_urls(pages, rules).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    assert small == sorted(urls.filter_urls(pages, rules).collect()) and len(small) == 501
 
 
 def test_url_query_brute_force(spark, sf_dir):
@@ -495,7 +529,10 @@ def test_url_query_brute_force(spark, sf_dir):
     verdicts = {r["page_id"]: judged(r["url"]) for r in rows}
     urls_of = {v: [u for _, u in sorted({(r["h"], r["url"]) for r in rows if (verdicts[r["page_id"]][2] or ("",))[0] == v})] for v in ("allow", "block")}
     assert all(len(v) <= urls.SAMPLE for v in urls_of.values())
-    fitted = {v: [u for i, u in enumerate(x) if i % urls.CALIBRATE] or x for v, x in urls_of.items()}
+    hashes = {r["url"]: r["h"] for r in rows}
+    fitted = {v: [u for u in x if hashes[u] % urls.CALIBRATE] for v, x in urls_of.items()}
+    held = {v: [u for u in x if hashes[u] % urls.CALIBRATE == 0] for v, x in urls_of.items()}
+    assert all(fitted.values()) and all(held.values())
 
     def counts(texts):
         out = defaultdict(Counter)
@@ -518,15 +555,20 @@ def test_url_query_brute_force(spark, sf_dir):
         after = table[context]
         return (after[c] + len(after) * below) / (after.total() + len(after))
 
-    model = urls.fit(urls_of["allow"], urls_of["block"])
+    def ratio(url):
+        t = f"\x02{url}\x03"
+        at = [(t[max(0, i - urls.ORDER) : i], t[i]) for i in range(1, len(t))]
+        return sum(math.log(chance(tables["block"], *x) / chance(tables["allow"], *x)) for x in at) / len(at)
+
+    scores = [(ratio(u), v == "block") for v in held for u in held[v]]
+    slope, offset = urls.calibrate(np.array([x for x, _ in scores]), np.array([b for _, b in scores]))
     for r in queries.op7_urls(spark, sf_dir).collect():
         host, path, rule = verdicts[r["page_id"]]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule[1])
         url = next(x["url"] for x in rows if x["page_id"] == r["page_id"]) or ""
-        marked = f"\x02{url}\x03"
-        difference = sum(math.log(chance(tables["block"], marked[max(0, i - urls.ORDER) : i], marked[i]) / chance(tables["allow"], marked[max(0, i - urls.ORDER) : i], marked[i])) for i in range(1, len(marked))) / (len(marked) - 1)
-        p = 1 / (1 + math.exp(-model["slope"] * difference - model["offset"]))
-        assert abs(r["difference"] - difference) < 1e-9 and abs(r["p_block"] - p) < 1e-9
+        difference = ratio(url)
+        p = 1 / (1 + math.exp(-slope * difference - offset))
+        assert abs(r["difference"] - difference) < 1e-8 and abs(r["p_block"] - p) < 1e-6
         assert r["verdict"] == (rule[0] if rule else "block" if p >= 0.5 else "allow")
 
 
