@@ -173,11 +173,13 @@ def decompress_tabular(spark: SparkSession, a: argparse.Namespace) -> str:
 def decompress_image(spark: SparkSession, a: argparse.Namespace) -> str:
     from bitloom.sources import images
 
-    output = store.coerce_extension(a.output or derive_output(a.input, "png"), "png")
+    output = a.output or derive_output(a.input, "png")
+    if output.rsplit(".", 1)[-1].lower() not in images.FORMATS:
+        output = store.coerce_extension(output, "png")
     d = containers.read_igd(containers.read_file(spark, a.input))
     x1, y1, x2, y2 = a.crop or (0, 0, d.image.width - 1, d.image.height - 1)
     pixels = images.decompress_image(containers.to_compressed(spark, d), d.image, a.crop)
-    images.write_png(pixels, output, x2 - x1 + 1, y2 - y1 + 1, d.image.channels)
+    images.write_image(pixels, output, x2 - x1 + 1, y2 - y1 + 1, d.image.channels)
     return output
 
 

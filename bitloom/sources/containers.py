@@ -1,8 +1,9 @@
 """The three single-file containers: EGD (any dataset), TGD (tables), IGD (images).
 
-A container is one stream of bits, so it is written from one place and its size is bounded
-by ``MAX_ROWS``; :mod:`bitloom.sources.store` keeps tables of any size.  Many container
-files are read in parallel, one task each.
+A container is one stream of bits.  Flat rows and raw base tables of any size are packed by
+tasks, in chunks that end at whole bytes, and streamed to the file in order; other encodings
+are written from one place, and are bounded by ``MAX_ROWS``, as is reading, for which
+:mod:`bitloom.sources.store` has no limit.  Many container files are read in parallel, one task each.
 
 Layout, little-endian throughout:
 
@@ -16,7 +17,9 @@ Layout, little-endian throughout:
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,10 +30,13 @@ from bitloom.operators import encode
 from bitloom.operators.basetable import DEVIATION, ONE, VARIABLE, Layout
 from bitloom.operators.images import COLOR_MODELS, GROUPINGS, ImageInfo
 from bitloom.operators.normalize import decode
+from bitloom.operators.ordered import release, settle, with_position
 from bitloom.plans.compress import Compressed, Plan
 from bitloom.schema import NONE, OFFSET_SIGNED, OFFSET_UNSIGNED, SCALED, SCALED_OFFSET, TO_SPARK, DatasetInfo, Feature, bits_needed_nonzero, signed64
 
 MAX_ROWS = 50_000_000
+#: Most rows of a chunk, a multiple of eight, and most bits that a task unpacks at a time.
+CHUNK_ROWS, CHUNK_BITS = 1 << 16, 1 << 25
 # fixed values of the formats
 VERSION = 1
 EGD, TGD, IGD = b"EGD", b"TGD", b"IGD"
@@ -307,9 +313,8 @@ def original_type(stored: str, transform: str) -> str:
     return {NONE: stored, OFFSET_SIGNED: "int64", OFFSET_UNSIGNED: "uint64"}.get(transform, "float64")
 
 
-def egd_bytes(d: Dataset, encoding: str | None = None, delta: str | None = None) -> bytes:
-    """An EGD file."""
-    info = d.info
+def egd_head(info: DatasetInfo, layout: Layout) -> bytes:
+    """What an EGD holds before its base table."""
     out = [EGD, struct.pack("<BQQQ", VERSION, info.n, len(info.weights), len(info.features))]
     for f, offset in zip(info.features, info.offsets, strict=False):
         out.append(bytes([1, DTYPE_TAGS[stored_type(f)], TRANSFORM_TAGS[f.transform]]))
@@ -317,14 +322,19 @@ def egd_bytes(d: Dataset, encoding: str | None = None, delta: str | None = None)
             out.append(bytes([f.decimals]))
         if f.transform in (OFFSET_SIGNED, OFFSET_UNSIGNED, SCALED_OFFSET):
             out.append(struct.pack("<Q", f.minimum & (1 << 64) - 1))
-        states = np.array(d.layout.states[offset : offset + f.bits], dtype=np.uint8)
+        states = np.array(layout.states[offset : offset + f.bits], dtype=np.uint8)
         out += [struct.pack("<H", f.bits), _to_bytes(np.stack([states & 1, states >> 1], axis=1).reshape(-1))]
     width = -(-bits_needed_nonzero(info.n) // 8)
     for w in info.weights:
         if w >> 8 * width:
             raise InvalidMetadata(f"a weight of {w} doesn't fit {width} bytes")
         out.append(w.to_bytes(width, "little"))
-    return b"".join([*out, _write_table(d, delta or d.delta), _write_rows(d, encoding or d.encoding)])
+    return b"".join(out)
+
+
+def egd_bytes(d: Dataset, encoding: str | None = None, delta: str | None = None) -> bytes:
+    """An EGD file."""
+    return b"".join([egd_head(d.info, d.layout), _write_table(d, delta or d.delta), _write_rows(d, encoding or d.encoding)])
 
 
 def read_egd(data: bytes) -> Dataset:
@@ -353,12 +363,17 @@ def read_egd(data: bytes) -> Dataset:
     return Dataset(info, layout, bases, ids, deviations, block, order, None, encoding, delta)
 
 
+def tgd_head(columns: list[tuple[str, str]], size: int) -> bytes:
+    """Column names and types, which a TGD holds before an EGD of ``size`` bytes."""
+    names = b"".join(struct.pack("<H", len(n.encode())) + n.encode() for n, _ in columns)
+    kinds = bytes(COLUMN_TAGS[t] for _, t in columns)
+    return TGD + struct.pack("<BII", VERSION, len(columns), len(names)) + names + struct.pack("<I", len(kinds)) + kinds + struct.pack("<Q", size)
+
+
 def tgd_bytes(d: Dataset, encoding: str | None = None, delta: str | None = None) -> bytes:
-    """A TGD file: column names and types before the EGD."""
-    names = b"".join(struct.pack("<H", len(n.encode())) + n.encode() for n, _ in d.columns)
+    """A TGD file."""
     payload = egd_bytes(d, encoding, delta)
-    kinds = bytes(COLUMN_TAGS[t] for _, t in d.columns)
-    return TGD + struct.pack("<BII", VERSION, len(d.columns), len(names)) + names + struct.pack("<I", len(kinds)) + kinds + struct.pack("<Q", len(payload)) + payload
+    return tgd_head(d.columns, len(payload)) + payload
 
 
 def read_tgd(data: bytes) -> Dataset:
@@ -377,14 +392,23 @@ def read_tgd(data: bytes) -> Dataset:
     return d
 
 
-def igd_bytes(d: Dataset, encoding: str | None = None, delta: str | None = None) -> bytes:
-    """An IGD file.  Its features are one per channel, so the sub-fields of a channel are put side by side."""
-    i = d.image
-    per = len(d.info.features) // i.channels
-    merged = [Feature(f"f{c}", "uint", sum(f.bits for f in d.info.features[c * per : (c + 1) * per])) for c in range(i.channels)]
-    payload = egd_bytes(Dataset(DatasetInfo(merged, d.info.n, d.info.weights), d.layout, d.bases, d.ids, d.deviations, d.block_rows, d.order, None, d.encoding, d.delta), encoding, delta)
+def igd_head(i: ImageInfo, size: int) -> bytes:
+    """What an IGD holds before an EGD of ``size`` bytes."""
     head = struct.pack("<BIIBBBBII", VERSION, i.width, i.height, i.channels, i.colorspace, COLOR_MODELS[i.color_model], GROUPINGS[i.grouping], i.group_width, i.group_height)
-    return IGD + head + struct.pack("<Q", len(payload)) + payload
+    return IGD + head + struct.pack("<Q", size)
+
+
+def by_channel(info: DatasetInfo, image: ImageInfo) -> DatasetInfo:
+    """The features of an IGD, one per channel: the sub-fields of a channel are put side by side."""
+    per = len(info.features) // image.channels
+    merged = [Feature(f"f{c}", "uint", sum(f.bits for f in info.features[c * per : (c + 1) * per])) for c in range(image.channels)]
+    return DatasetInfo(merged, info.n, info.weights)
+
+
+def igd_bytes(d: Dataset, encoding: str | None = None, delta: str | None = None) -> bytes:
+    """An IGD file."""
+    payload = egd_bytes(Dataset(by_channel(d.info, d.image), d.layout, d.bases, d.ids, d.deviations, d.block_rows, d.order, None, d.encoding, d.delta), encoding, delta)
+    return igd_head(d.image, len(payload)) + payload
 
 
 def read_igd(data: bytes) -> Dataset:
@@ -417,17 +441,86 @@ def collect(c: Compressed, image: ImageInfo | None = None) -> Dataset:
     total = c.info.n + len(c.info.weights)
     if total > MAX_ROWS or c.n_bases > MAX_ROWS:
         raise StorageError(f"{total} rows are too many for a container; use the Parquet store")
-    bases = c.bases.orderBy("base_id").toPandas()
     rows = c.rows.orderBy("row_idx").toPandas()
-
-    def bits(frame: pd.DataFrame, positions: list[int]) -> np.ndarray:
-        out = np.zeros((len(frame), len(positions)), dtype=np.uint8)
-        for i, p in enumerate(positions):
-            name, local = c.info.place(p)
-            out[:, i] = frame[name].to_numpy().astype(np.int64) >> local & 1
-        return out
-
-    return Dataset(c.info, c.layout, bits(bases, c.layout.variable), rows["base_id"].to_numpy().astype(np.int64), bits(rows, c.layout.deviation), c.plan.block_rows, c.order, image, c.plan.encoding, c.plan.delta, [(f.name, f.dtype) for f in c.info.features])
+    return Dataset(c.info, c.layout, _base_bits(c), rows["base_id"].to_numpy().astype(np.int64), _bits_at(rows, [c.info.place(p) for p in c.layout.deviation]), c.plan.block_rows, c.order, image, c.plan.encoding, c.plan.delta, _columns(c))
+
+
+def _columns(c: Compressed) -> list[tuple[str, str]]:
+    return [(f.name, f.dtype) for f in c.info.features]
+
+
+def _bits_at(frame, places: list[tuple[str, int]]) -> np.ndarray:
+    """A row of the bits at ``places``, columns and bits in them, for each row of a Pandas frame or an Arrow table."""
+    out = np.zeros((len(frame), len(places)), dtype=np.uint8)
+    for i, (name, local) in enumerate(places):
+        out[:, i] = frame[name].to_numpy().astype(np.int64) >> local & 1
+    return out
+
+
+def _base_bits(c: Compressed) -> np.ndarray:
+    return _bits_at(c.bases.orderBy("base_id").toPandas(), [c.info.place(p) for p in c.layout.variable])
+
+
+def _numbered(frame: DataFrame, position: str) -> DataFrame:
+    """``frame`` with positions from 0 without gaps, in the same order."""
+    found = frame.agg(F.min(position).alias("low"), F.max(position).alias("high"), F.count("*").alias("n")).first()
+    if not found["n"] or (found["low"], found["high"]) == (0, found["n"] - 1):
+        return frame
+    return with_position(frame.withColumnRenamed(position, "_old"), [F.col("_old")], position).drop("_old")
+
+
+def packed_chunks(frame: DataFrame, position: str, info: DatasetInfo, positions: list[int], id_bits: int, width: int) -> DataFrame:
+    """Chunks of rows, in the order of a dense ``position``, as bytes: the bits at ``positions``, then ``id_bits`` of base_id, then zeros up to ``width`` bits a row."""
+    import pyarrow as pa
+
+    rows = max(8, min(CHUNK_ROWS, CHUNK_BITS // max(1, width)) // 8 * 8)
+    places = [info.place(p) for p in positions]
+    alias = {name: f"_{i}" for i, name in enumerate(dict.fromkeys(name for name, _ in places))}
+    places = [(alias[name], local) for name, local in places]
+
+    def pack(key, table):
+        table = table.sort_by("_at")
+        bits = np.zeros((len(table), width), dtype=np.uint8)
+        bits[:, : len(positions)] = _bits_at(table, places)
+        if id_bits:
+            bits[:, len(positions) : len(positions) + id_bits] = _value_bits(table["_id"].to_numpy(), id_bits)
+        return pa.table({"chunk": [key[0].as_py()], "data": pa.array([_to_bytes(bits.reshape(-1))], pa.binary())})
+
+    at = F.col(position).cast("bigint")
+    chosen = frame.select(F.floor(at / rows).alias("chunk"), at.alias("_at"), F.col("base_id").cast("bigint").alias("_id"), *[F.col(f"`{name}`").alias(a) for name, a in alias.items()])
+    return chosen.groupBy("chunk").applyInArrow(pack, "chunk long, data binary")
+
+
+def in_order(chunks: DataFrame) -> Iterable[bytes]:
+    """The chunks' bytes, of which the driver holds those of a partition or two at a time."""
+    placed = settle(chunks, "chunks")
+    for row in placed.orderBy("chunk").select("data").toLocalIterator():
+        yield bytes(row["data"])
+    release(placed)
+
+
+def _save_flat(c: Compressed, path: str, kind: str, image: ImageInfo | None) -> int:
+    """Write a container of flat rows, packed by tasks."""
+    total, v = c.info.n + len(c.info.weights), len(c.layout.variable)
+    head = egd_head(by_channel(c.info, image) if kind == "igd" else c.info, c.layout)
+    if c.plan.delta and c.n_bases > MAX_ROWS:
+        raise StorageError(f"{c.n_bases} bases are too many for deltas in a container")
+    if c.plan.delta:
+        table: list[bytes] | Iterable[bytes] = [_write_table(Dataset(c.info, c.layout, _base_bits(c), np.zeros(0), np.zeros(0), order=c.order), c.plan.delta)]
+        table_size = len(table[0])
+    else:
+        begin, wide = struct.pack("<BQ", TABLE_RAW, c.n_bases), -(-v // 8)
+        table_size = len(begin) + c.n_bases * wide
+        table = chain([begin], in_order(packed_chunks(_numbered(c.bases, "base_id"), "base_id", c.info, c.layout.variable, 0, 8 * wide)) if wide else [])
+    id_bits = bits_needed_nonzero(c.n_bases)
+    width = len(c.layout.deviation) + id_bits
+    rows = in_order(packed_chunks(_numbered(c.rows, "row_idx"), "row_idx", c.info, c.layout.deviation, id_bits, width))
+    size = len(head) + table_size + 1 + -(-total * width // 8)
+    before = {"egd": lambda: b"", "tgd": lambda: tgd_head(_columns(c), size), "igd": lambda: igd_head(image, size)}[kind]()
+    written = write_file(c.rows.sparkSession, path, chain([before, head], table, [bytes([ROWS_FLAT])], rows))
+    if written != len(before) + size:
+        raise StorageError(f"{path} has {written} bytes instead of {len(before) + size}")
+    return written
 
 
 def to_compressed(spark: SparkSession, d: Dataset) -> Compressed:
@@ -448,13 +541,25 @@ def to_compressed(spark: SparkSession, d: Dataset) -> Compressed:
     return Compressed(d.info, d.layout, spark.createDataFrame(bases, f"base_id long, {fields}, cnt long, first_row long"), made, len(d.bases), Plan(block_rows=d.block_rows, encoding=d.encoding, delta=d.delta), d.order)
 
 
-def write_file(spark: SparkSession, path: str, data: bytes) -> None:
-    """Write bytes through Spark's file system layer, so that any store will do."""
+def write_file(spark: SparkSession, path: str, data: bytes | Iterable[bytes]) -> int:
+    """Write bytes, or pieces of them, through Spark's file system layer, so that any store will do; returns how many.
+
+    A file that could not be finished is deleted.
+    """
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
-    for i in range(0, len(data), 1 << 20):
-        out.write(bytearray(data[i : i + (1 << 20)]))
-    out.close()
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, written = fs.create(where, True), 0
+    try:
+        for piece in [data] if isinstance(data, bytes) else data:
+            for i in range(0, len(piece), 1 << 20):
+                out.write(bytearray(piece[i : i + (1 << 20)]))
+            written += len(piece)
+        out.close()
+    except BaseException:
+        out.close()
+        fs.delete(where, False)
+        raise
+    return written
 
 
 def read_file(spark: SparkSession, path: str) -> bytes:
@@ -473,9 +578,10 @@ def kind_of(path: str) -> str:
 
 def save(c: Compressed, path: str, image: ImageInfo | None = None) -> int:
     """Write a container whose kind the path's extension names; returns its bytes."""
-    data = WRITERS[kind_of(path)](collect(c, image))
-    write_file(c.rows.sparkSession, path, data)
-    return len(data)
+    kind = kind_of(path)
+    if c.plan.encoding == "flat":
+        return _save_flat(c, path, kind, image)
+    return write_file(c.rows.sparkSession, path, WRITERS[kind](collect(c, image)))
 
 
 def load(spark: SparkSession, path: str) -> Compressed:

@@ -1,7 +1,8 @@
 """Image files to pixel frames and back.
 
 PNG, JPEG, BMP and GIF are decoded by Spark's image source, in parallel; only RGB and RGBA
-of 8 bits are taken.  PNG files are written with the standard library.
+of 8 bits are taken.  PNG and PPM files are written here, JPEG, BMP, GIF and TIFF files by the
+codecs of the Java runtime, which take no alpha channel for JPEG and BMP.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from bitloom.plans.compress import Compressed, Plan, compress_normalized
 from bitloom.operators.ordered import settle
 
 EXTENSIONS = "*.{png,PNG,jpg,JPG,jpeg,JPEG,bmp,BMP,gif,GIF}"
+#: Extensions that images are written with, and what the Java runtime calls their formats.
+FORMATS = {"png": None, "ppm": None, "jpg": "jpg", "jpeg": "jpg", "bmp": "bmp", "gif": "gif", "tif": "tiff", "tiff": "tiff"}
 #: Largest image that is put together in one task.
 MAX_PIXELS = 1 << 28
 
@@ -70,10 +73,41 @@ def png_bytes(cells: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
-def write_png(pixels: DataFrame, path: str, width: int, height: int, channels: int = 3) -> None:
-    """One image's pixels as a PNG file."""
+def ppm_bytes(cells: np.ndarray) -> bytes:
+    """A binary PPM file of an array (height, width, 3) of bytes."""
+    height, width, channels = cells.shape
+    if channels != 3:
+        raise ImageError(f"{channels} channels can't be written as PPM")
+    return f"P6\n{width} {height}\n255\n".encode() + cells.tobytes()
+
+
+def format_of(path: str) -> str:
+    """The extension of an image file, in lower case."""
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix not in FORMATS:
+        raise ImageError(f"images can't be written as {path}")
+    return suffix
+
+
+def image_bytes(spark: SparkSession, cells: np.ndarray, suffix: str) -> bytes:
+    """An image file of the kind that an extension names."""
+    if suffix == "ppm":
+        return ppm_bytes(cells)
+    png = png_bytes(cells)
+    if not (format_name := FORMATS[suffix]):
+        return png
+    io, streams = spark._jvm.javax.imageio.ImageIO, spark._jvm.java.io
+    out = streams.ByteArrayOutputStream()
+    if not io.write(io.read(streams.ByteArrayInputStream(bytearray(png))), format_name, out):
+        raise ImageError(f"{cells.shape[2]} channels can't be written as {suffix}")
+    return bytes(out.toByteArray())
+
+
+def write_image(pixels: DataFrame, path: str, width: int, height: int, channels: int = 3) -> None:
+    """One image's pixels as a file of the kind that the path's extension names."""
     from bitloom.sources.containers import write_file
 
+    suffix = format_of(path)
     if width * height > MAX_PIXELS:
         raise ImageError(f"{width} x {height} pixels are too many for one file")
     names = ["r", "g", "b", "a"][:channels]
@@ -83,7 +117,7 @@ def write_png(pixels: DataFrame, path: str, width: int, height: int, channels: i
     cells = np.zeros((height, width, channels), dtype=np.uint8)
     for i, n in enumerate(names):
         cells[frame["y"], frame["x"], i] = frame[n]
-    write_file(pixels.sparkSession, path, png_bytes(cells))
+    write_file(pixels.sparkSession, path, image_bytes(pixels.sparkSession, cells, suffix))
 
 
 def compress_image(spark: SparkSession, path: str, group: tuple[int, int] = (3, 3), grouping: str = "for_first", color_model: str = "ycocg_r", plan: Plan | None = None) -> tuple[Compressed, ImageInfo]:

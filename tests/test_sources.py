@@ -1,10 +1,12 @@
 import itertools
+from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bitloom import cli
-from bitloom.errors import BitloomError, InvalidMetadata, StorageError
+from bitloom.errors import BitloomError, ImageError, InvalidMetadata, StorageError
 from bitloom.operators import analysis, images
 from bitloom.operators.normalize import Options
 from bitloom.plans.compress import Plan, compress
@@ -36,6 +38,17 @@ def test_container_round_trip(spark, events, tmp_path, encoding, delta):
     assert containers.tgd_bytes(d) == (tmp_path / "t.tgd").read_bytes()
 
 
+@pytest.mark.parametrize("delta", [None, "fixed"])
+def test_flat_container_in_chunks(spark, events, tmp_path, monkeypatch, delta):
+    """Many small chunks give the bytes that one place writes, gaps in the row numbers or not."""
+    c = compress(events, "event_id", plan=Plan(options=Options(decimals=2), delta=delta, append_condensed=True))
+    whole = containers.tgd_bytes(containers.collect(c))
+    monkeypatch.setattr(containers, "CHUNK_ROWS", 56)
+    for k, rows in enumerate((c.rows, c.rows.withColumn("row_idx", F.col("row_idx") * 3 + 7))):
+        size = containers.save(replace(c, rows=rows), f"file://{tmp_path}/{k}.tgd")
+        assert (tmp_path / f"{k}.tgd").read_bytes() == whole and size == len(whole)
+
+
 def test_egd_and_many_files(spark, events, tmp_path):
     c = compress(events, "event_id", plan=Plan(options=Options(decimals=2), m_max=None))
     containers.save(c, f"file://{tmp_path}/a.egd")
@@ -91,9 +104,9 @@ def test_image_file_round_trip(spark, tmp_path, channels, grouping, group):
     d = containers.read_igd((tmp_path / "a.igd").read_bytes())
     assert d.image == info
     back = containers.to_compressed(spark, d)
-    files.write_png(files.decompress_image(back, d.image), f"file://{tmp_path}/b.png", 17, 13, channels)
+    files.write_image(files.decompress_image(back, d.image), f"file://{tmp_path}/b.png", 17, 13, channels)
     assert np.array_equal(_pixels(spark, f"file://{tmp_path}/b.png"), picture)
-    files.write_png(files.decompress_image(back, d.image, (2, 3, 9, 8)), f"file://{tmp_path}/c.png", 8, 6, channels)
+    files.write_image(files.decompress_image(back, d.image, (2, 3, 9, 8)), f"file://{tmp_path}/c.png", 8, 6, channels)
     assert np.array_equal(_pixels(spark, f"file://{tmp_path}/c.png"), picture[3:9, 2:10])
 
 
@@ -175,3 +188,27 @@ def test_precision_summary(spark, sf_dir):
 
     found = analysis.precision_summary(catalog.hll_precision(spark, sf_dir)).first()
     assert found["steps"] > 10 and found["mape"] < 0.2
+
+
+@pytest.mark.parametrize("suffix", ["png", "ppm", "bmp", "tiff", "gif", "jpg"])
+def test_image_formats(spark, tmp_path, suffix):
+    """Images are written as their extension says; Spark reads them back, exactly where the format loses nothing."""
+    cells = np.random.default_rng(3).integers(0, 4, (5, 7, 3), dtype=np.uint8) * 80
+    pixels = spark.createDataFrame([(x, y, *map(int, cells[y, x])) for y in range(5) for x in range(7)], "x int, y int, r int, g int, b int")
+    files.write_image(pixels, f"file://{tmp_path}/a.{suffix}", 7, 5)
+    data = (tmp_path / f"a.{suffix}").read_bytes()
+    if suffix == "ppm":
+        assert data == b"P6\n7 5\n255\n" + cells.tobytes()
+    elif suffix == "tiff":
+        assert data[:2] in (b"II", b"MM") and len(data) > 100
+    else:
+        found = files.to_pixels(files.open_images(spark, f"file://{tmp_path}/a.{suffix}")).select("x", "y", "r", "g", "b")
+        assert found.count() == 35 and (suffix in ("gif", "jpg") or _same(found, pixels))
+
+
+def test_images_that_cannot_be_written(spark, tmp_path):
+    with pytest.raises(ImageError):
+        files.format_of("a.xyz")
+    for suffix in ("jpg", "ppm"):
+        with pytest.raises(ImageError):
+            files.image_bytes(spark, np.zeros((2, 2, 4), dtype=np.uint8), suffix)
