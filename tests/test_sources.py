@@ -10,7 +10,7 @@ from bitloom.errors import BitloomError, ImageError, InvalidMetadata, StorageErr
 from bitloom.operators import analysis, images
 from bitloom.operators.normalize import Options
 from bitloom.plans.compress import Plan, compress
-from bitloom.sources import containers, store
+from bitloom.sources import chunked, containers, store
 from bitloom.sources import images as files
 
 
@@ -59,6 +59,30 @@ def test_egd_and_many_files(spark, events, tmp_path):
     assert containers.read_tables(spark, f"file://{tmp_path}/*.tgd").count() == 2 * events.count()
 
 
+def _streamed(monkeypatch):
+    """Small chunks, pieces and stages; nothing may be read or collected whole."""
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("the driver holds the whole container")
+
+    for name in ("read_file", "to_compressed", "collect"):
+        monkeypatch.setattr(containers, name, refuse)
+    monkeypatch.setattr(containers, "CHUNK_ROWS", 56)
+    monkeypatch.setattr(chunked, "PIECE_BYTES", 100)
+    monkeypatch.setattr(chunked, "STAGE_BYTES", 1000)
+
+
+@pytest.mark.parametrize("kind", ["egd", "tgd"])
+def test_flat_container_is_streamed(spark, events, tmp_path, monkeypatch, kind):
+    _streamed(monkeypatch)
+    c = compress(events, "event_id", plan=Plan(options=Options(decimals=2), append_condensed=True))
+    containers.save(c, f"file://{tmp_path}/a.{kind}")
+    back = containers.load(spark, f"file://{tmp_path}/a.{kind}")
+    assert _same(back.decompress().toDF("row_idx", "user_id", "value"), events.withColumnRenamed("event_id", "row_idx"))
+    assert back.n_bases == c.n_bases and _same(back.bases.select("base_id", "cnt"), c.bases.select("base_id", "cnt"))
+    assert back.analytics().agg({"weight": "sum"}).first()[0] == back.info.n
+
+
 def test_broken_containers(tmp_path):
     with pytest.raises(InvalidMetadata):
         containers.read_egd(b"XXX\x01")
