@@ -83,6 +83,21 @@ def test_flat_container_is_streamed(spark, events, tmp_path, monkeypatch, kind):
     assert back.analytics().agg({"weight": "sum"}).first()[0] == back.info.n
 
 
+@pytest.mark.parametrize("encoding, delta", [("rle", None), ("rle", "fixed"), ("flat", "unary")])
+def test_coded_container_is_streamed(spark, events, tmp_path, monkeypatch, encoding, delta):
+    """Many small chunks give the bytes that one place writes, and are read again."""
+    runs = events.select("event_id", F.when(F.col("event_id") % 97 < 60, 7).otherwise(F.col("user_id")).alias("user_id"), F.when(F.col("event_id") % 97 < 60, 0.5).otherwise(F.col("value")).alias("value"))
+    c = compress(runs, "event_id", plan=Plan(options=Options(decimals=2), encoding=encoding, delta=delta, append_condensed=True, block_rows=20))
+    whole = containers.tgd_bytes(containers.collect(c))
+    _streamed(monkeypatch)
+    assert containers.save(c, f"file://{tmp_path}/a.tgd") == len(whole)
+    assert (tmp_path / "a.tgd").read_bytes() == whole
+    back = containers.load(spark, f"file://{tmp_path}/a.tgd")
+    assert (back.plan.encoding, back.plan.delta, back.order) == (encoding, delta, c.order)
+    assert _same(back.decompress(), runs.withColumnRenamed("event_id", "row_idx"))
+    assert _same(back.bases.select("base_id", "cnt"), c.bases.select("base_id", "cnt"))
+
+
 def test_broken_containers(tmp_path):
     with pytest.raises(InvalidMetadata):
         containers.read_egd(b"XXX\x01")
