@@ -83,7 +83,7 @@ def test_flat_container_is_streamed(spark, events, tmp_path, monkeypatch, kind):
     assert back.analytics().agg({"weight": "sum"}).first()[0] == back.info.n
 
 
-@pytest.mark.parametrize("encoding, delta", [("rle", None), ("rle", "fixed"), ("flat", "unary")])
+@pytest.mark.parametrize("encoding, delta", [("rle", None), ("rle", "fixed"), ("flat", "unary"), ("huffman", "unary")])
 def test_coded_container_is_streamed(spark, events, tmp_path, monkeypatch, encoding, delta):
     """Many small chunks give the bytes that one place writes, and are read again."""
     runs = events.select("event_id", F.when(F.col("event_id") % 97 < 60, 7).otherwise(F.col("user_id")).alias("user_id"), F.when(F.col("event_id") % 97 < 60, 0.5).otherwise(F.col("value")).alias("value"))
