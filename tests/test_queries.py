@@ -40,6 +40,22 @@ def test_query(spark, sf_dir, oracle, name):
     assert found == expected
 
 
+def _same_as_sql(spark, folder, name, events):
+    """A query over an ``events`` table of (event_id, user_id, value), compared with its SQL."""
+    spark.createDataFrame(events, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    result = con.execute(catalog.ORACLE_SQL[name])
+    names = [d[0] for d in result.description]
+    assert sorted(tuple(r[n] for n in names) for r in catalog.QUERIES[name](spark, str(folder)).collect()) == sorted(result.fetchall())
+
+
+@pytest.mark.parametrize("name", ["base_table_sorted_events"])
+def test_no_base_bit_varies(spark, tmp_path, name):
+    """Users so far apart that the first bits of the entropy order are all constant."""
+    _same_as_sql(spark, tmp_path, name, [(i, 65536 * (i % 2), 1.5) for i in range(4)])
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "entropy" in df.columns
