@@ -52,7 +52,7 @@ def _same_as_sql(spark, folder, name, events):
     assert sorted(tuple(r[n] for n in names) for r in catalog.QUERIES[name](spark, str(folder)).collect()) == sorted(result.fetchall())
 
 
-@pytest.mark.parametrize("name", ["base_table_sorted_events", "huffman_total_bits_events"])
+@pytest.mark.parametrize("name", ["base_table_sorted_events", "huffman_total_bits_events", "delta_roundtrip_keys"])
 def test_no_base_bit_varies(spark, tmp_path, name):
     """Users so far apart that the first bits of the entropy order are all constant."""
     _same_as_sql(spark, tmp_path, name, [(i, 65536 * (i % 2), 1.5) for i in range(4)])
