@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -264,6 +265,31 @@ def test_run_pairs(spark):
     assert encode.expand_runs(encode.islands(rows, ["s"]), ["s"]).exceptAll(rows.select("row_idx", "s")).count() == 0
 
 
+def _literal_package_merge(frequencies, longest):
+    leaves, packages = sorted((f, (s,)) for s, f in frequencies.items()), []
+    for _ in range(longest):
+        paired = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(packages[::2], packages[1::2], strict=False)]
+        packages = sorted(paired + leaves, key=lambda x: x[0])
+    taken = [s for _, symbols in packages[: 2 * len(leaves) - 2] for s in symbols]
+    return {s: taken.count(s) for s in frequencies}
+
+
+def test_limited_code_lengths():
+    draw = random.Random(5)
+    for _ in range(40):
+        found = {s: draw.choice([0, 1, 1, 2, 3, 50, 1000]) for s in draw.sample(range(100), draw.randint(2, 20))}
+        for longest in (5, 6, 9):
+            assert encode.limited_lengths(found, longest) == _literal_package_merge(found, longest)
+    # rare symbols beside frequent ones need the limit; the memory stays small
+    many = {s: 1 + s % 7 for s in range(20_000)} | {20_000 + k: 1 << 14 + k for k in range(20)}
+    tracemalloc.start()
+    lengths = encode.code_lengths(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(lengths.values()) == encode.MAX_CODE and len(encode.canonical_codes(lengths)) == len(many)
+    assert peak < 20 << 20
+
+
 def test_huffman():
     lengths = encode.code_lengths({0: 5, 1: 1, 2: 1, 3: 2})
     assert lengths == {0: 1, 3: 2, 1: 3, 2: 3}
