@@ -582,7 +582,8 @@ def _run_search(rows: DataFrame, n_tasks: int) -> DataFrame:
     """``rows``: task, side, sid, n, n_copies, tokens."""
     parts = max(1, min(n_tasks, 4 * partitions(rows.sparkSession)))
     dealt = rows.repartition(parts, "task").sortWithinPartitions("task", "side", "sid")
-    return settle(dealt.mapInArrow(freeing(_search), FOUND), "links")
+    # summed in a shuffle, as each of very many tasks would write a file of the few links it finds
+    return settle(dealt.mapInArrow(freeing(_search), FOUND).groupBy("u", "v").agg(F.sum("links").alias("links")), "links")
 
 
 def _blocks(count: Column, shingles_: Column) -> Column:

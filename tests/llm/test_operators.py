@@ -668,6 +668,16 @@ def test_jaccard_counts_every_link(spark, block, monkeypatch):
     assert {r["doc_id"]: r["n_links"] for r in jaccard.link(docs).collect()} == expected
 
 
+def test_many_search_tasks_write_few_files(spark):
+    """40 steps on 16 partitions, two linked sets each; one pair of sets meets in two steps, and its links add up."""
+    tokens = np.arange(20, dtype="<u8").tobytes()
+    rows = [(task, jaccard.BOTH, 2 * min(task, 38) + k, 20, 1, tokens) for task in range(40) for k in range(2)]
+    found = jaccard._run_search(spark.createDataFrame(rows, "task long, side int, sid long, n long, n_copies long, tokens binary"), 40)
+    expected = [(2 * task + k, 2 * task, 2 if task == 38 else 1) for task in range(39) for k in range(2)]
+    assert sorted(map(tuple, found.collect())) == expected and found.columns == ["u", "v", "links"]
+    assert len(found.inputFiles()) <= common.partitions(spark)
+
+
 def test_frames_made_in_memory_get_few_partitions(spark, sf_dir):
     made = spark.createDataFrame([(1, "a b c")], "doc_id long, text string").rdd.toDF()
     assert common.input_bytes(made) is None and common.parts_for(made) == common.partitions(spark)
